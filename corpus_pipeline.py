@@ -1,3 +1,57 @@
-STAGES = []
+"""A corpus pipeline: five stages over documents, each written as Parquet and read again as the next one's input.
+
+Every stage but the last returns the columns of documents.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from pulseloom.llm import bpe, decontaminate, line_dedup, near_dedup, quality_crf
+from pulseloom.llm.common import new_path, table
+from pulseloom.llm.queries import fold, vocabulary
+
+MIN_SCORE = 0.3
+
+
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents whose quality score is under MIN_SCORE."""
+    model = quality_crf.learn(docs, table(spark, sf_dir, "labels"), fold(5) != 0)
+    return quality_crf.score(docs, model, "__quality").where(F.col("__quality") >= MIN_SCORE).drop("__quality")
+
+
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cuts later repeats of three lines; documents of which nothing is left go."""
+    return line_dedup.dedup_lines(docs, "__removed", drop_emptied=True).drop("__removed")
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each group of near copies."""
+    return near_dedup.one_of_each(docs)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that hold too much of the benchmark; leaves the others as they are."""
+    p = "__hit_"
+    x = decontaminate.find_items(docs, table(spark, sf_dir, "benchmark"), prefix=p)
+    return x.where(~decontaminate.contaminated(p)).select(docs.columns)
+
+
+def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Adds n_tokens and token_ids, and the text that they decode to."""
+    x = bpe.encode(docs, vocabulary("byte_bpe_50k.json"), "n_tokens long, token_ids binary")
+    return bpe.decode(x, vocabulary("byte_bpe_50k.json"), "token_ids", "decoded")
+
+
+STAGES = [("quality_classifier", keep_good), ("line_dedup", drop_repeated_lines), ("near_dedup", drop_near_copies), ("decontaminate", drop_contaminated), ("bpe", tokenize)]
 ORACLE_SQL = None
-def run(spark, sf_dir): ...
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        path = new_path(spark, name)
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return docs

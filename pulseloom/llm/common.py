@@ -62,3 +62,31 @@ def components(edges: DataFrame, name: str = "cc") -> DataFrame:
             break
         before = after
     return e.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct())
+
+
+def annotate(docs: DataFrame, run, fields: str, column: str = "text", step: int = 500) -> DataFrame:
+    """docs with columns that run makes of one column: run() gives a function from a list of values to a list of columns.
+
+    fields is a DDL list. An input column that has the name of a field is replaced. Rows go through in
+    slices of `step`, so a worker holds few texts at once.
+    """
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    added = StructType.fromDDL(fields)
+    rest = docs.select([F.col(f"`{c}`") for c in docs.columns if c not in added.names])
+    schema = StructType(rest.schema.fields + added.fields)
+    types = [f.type for f in to_arrow_schema(added)]
+    names = schema.names
+    at = rest.columns.index(column)
+
+    def mapped(batches):
+        work = run()
+        for whole in batches:
+            for i in range(0, whole.num_rows, step):
+                b = whole.slice(i, step)
+                made = work(b.column(at).to_pylist())
+                yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(x, t) for x, t in zip(made, types, strict=True))], names)
+
+    return rest.mapInArrow(mapped, schema)

@@ -238,16 +238,8 @@ def confirm(pairs: DataFrame, docs: DataFrame, classes: DataFrame, k: int, perce
     return x.select("a", "b", "ta", "tb").mapInArrow(run, "a binary, b binary")
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, threshold: float = 0.8, trees: int = 10, rounds: int = 4) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every row of docs (doc_id, text; other columns are ignored).
-
-    Documents are linked if 100 * |A & B| >= 100 * threshold * |A | B| for their sets of distinct k-word
-    shingles (one shingle of all words if there are fewer). component_id is the smallest doc_id reachable,
-    kept says that it is the row's own. Null, empty and blank texts have no shingles and are linked with
-    nothing. Rows that repeat count as copies: if they share a doc_id, each has it as its own. Rows with a
-    null doc_id are linked but never name a component unless all of it has none; they are not kept otherwise.
-    An empty table gives an empty result.
-    """
+def groups(docs: DataFrame, k: int, threshold: float, trees: int = 10, rounds: int = 4) -> DataFrame:
+    """doc_id, rk, n_shingles, comp (null without shingles) and component_id for every row of docs."""
     percent = round(100 * threshold)
     least = threshold - 4 * (threshold * (1 - threshold) / T) ** 0.5
     sigs = staged(signatures(docs, k), "signatures")
@@ -267,7 +259,34 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: float = 0.8, trees:
         comps = components(found)
     lowest = classes.join(comps, classes.cid == comps.node, "left").select("cid", F.coalesce("comp", "cid").alias("comp"), "low")
     ids = lowest.groupBy("comp").agg(F.min("low").alias("component_id"))
-    owner = lowest.select("cid", "comp").join(ids, "comp").select("cid", "component_id")
-    out = sigs.select("doc_id", "n_shingles", "cid").join(owner, "cid", "left")
-    out = out.select("doc_id", "n_shingles", F.when(F.col("cid").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
-    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    owner = lowest.select("cid", "comp").join(ids, "comp")
+    out = sigs.select("doc_id", "rk", "n_shingles", "cid").join(owner, "cid", "left")
+    return out.select("doc_id", "rk", "n_shingles", "comp", F.when(F.col("cid").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def near_duplicates(docs: DataFrame, k: int = 5, threshold: float = 0.8, trees: int = 10, rounds: int = 4) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for every row of docs (doc_id, text; other columns are ignored).
+
+    Documents are linked if 100 * |A & B| >= 100 * threshold * |A | B| for their sets of distinct k-word
+    shingles (one shingle of all words if there are fewer). component_id is the smallest doc_id reachable,
+    kept says that it is the row's own. Null, empty and blank texts have no shingles and are linked with
+    nothing. Rows that repeat count as copies: if they share a doc_id, each has it as its own. Rows with a
+    null doc_id are linked but never name a component unless all of it has none; they are not kept otherwise.
+    An empty table gives an empty result.
+    """
+    out = groups(docs, k, threshold, trees, rounds)
+    return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def one_of_each(docs: DataFrame, k: int = 5, threshold: float = 0.8) -> DataFrame:
+    """One row of docs of each group of near duplicates: of the smallest doc_id, null last, then of the smallest hash
+    of the text. Rows without shingles all stay."""
+    found = groups(docs, k, threshold).where("comp is not null")
+    rows = found.groupBy("comp", "doc_id", "rk").agg(F.count("*").alias("n"))
+    first = rows.groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "rk", "n")).alias("f"))
+    first = staged(first.select(F.col("f.doc_id").alias("__d"), F.col("f.rk").alias("__r"), F.col("f.n").alias("__n")), "first")
+    blank = F.coalesce(F.col("text"), F.lit("")).rlike("^[\\x20\\x09-\\x0D]*$")
+    x = docs.where(~blank).withColumn("__rk", F.xxhash64("text"))
+    x = x.join(first, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("__rk") == F.col("__r")))
+    out = x.where("__n = 1").unionByName(x.where("__n > 1").dropDuplicates(["doc_id", "__rk"]))
+    return out.select(docs.columns).unionByName(docs.where(blank))

@@ -3,14 +3,71 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from .common import table
+from . import bpe, chat_format, decontaminate, html_extract, language_id, line_dedup, quality_crf, quality_rules, token_files
+from .common import new_path, table
 from .near_dedup import near_duplicates
 
 
+def vocabulary(name: str) -> str:
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
+def fold(of: int) -> F.Column:
+    return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(of))
+
+
 def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), k=3, threshold=0.85)
 
 
-QUERIES = {f.__name__: f for f in (op1_near_dedup,)}
-ORACLE_SQL: dict[str, str] = {}
+def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_format.format_chats(table(spark, sf_dir, "conversations"))
+
+
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language_id.learn(docs, F.coalesce(fold(4) != 2, F.lit(True)))
+    x = language_id.identify(docs.select("doc_id", "text"), model)
+    return x.select("doc_id", F.coalesce(fold(4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score", "n_spans")
+
+
+def op4_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality_crf.learn(docs, table(spark, sf_dir, "labels"), fold(5) != 0)
+    x = quality_crf.score(docs.select("doc_id", "text"), model)
+    return x.select("doc_id", F.coalesce(fold(5) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.quality_rules(table(spark, sf_dir, "documents")).drop("host_rate")
+
+
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark, "tokens")
+    token_files.write_tokens(table(spark, sf_dir, "documents"), path, vocabulary("word_bpe_49k.json"), end_id=2)
+    return token_files.checksums(token_files.read_tokens(spark, path))
+
+
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = decontaminate.find_items(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    return x.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), decontaminate.contaminated().alias("contaminated"))
+
+
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
+
+
+def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
+QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_chat_format, op3_language_id, op4_quality_crf, op5_quality_rules, op6_token_files, op7_decontaminate, op8_line_dedup, op9_bpe, op10_html_extract)}
+ORACLE_SQL = {"op2_chat_format": chat_format.SQL, "op5_quality_rules": quality_rules.SQL, "op8_line_dedup": line_dedup.SQL}
