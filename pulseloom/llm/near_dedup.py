@@ -9,7 +9,7 @@ compared by signature, and what looks similar is confirmed on the full sets.
 
 Classes that are already connected need no comparison with each other. So the trees run in rounds: the
 first links most copies through the likeliest pairs of one tree, later ones only look at pairs across
-components, and the last takes every remaining pair. A large group of near copies is connected by about
+components, and the last compares all that is left across components. A large group of near copies is connected by about
 as many confirmed pairs as it has members. Nothing is capped: a node that deepest branching leaves large
 is dealt out as pairs of blocks.
 """
@@ -22,10 +22,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, staged
+from .common import components, kept, staged
 
 T = 64  # coordinates of a signature
-SMALL = 128  # classes in a node that are compared exhaustively
+SMALL = 512  # classes in a node that are compared exhaustively
+PART = 128  # classes that are compared at once while links are still few
 CACHE = 300_000  # words whose hashes a worker keeps
 
 
@@ -70,7 +71,7 @@ def signatures(docs: DataFrame, k: int) -> DataFrame:
     xor = rng.integers(0, 1 << 63, T, np.uint64)
 
     def run(batches):
-        hashes = Hashes()
+        hashes = kept(("hashes",), Hashes)
         for whole in batches:
             for at in range(0, whole.num_rows, 1000):
                 batch = whole.slice(at, 1000)
@@ -133,65 +134,120 @@ def mixed(node: np.ndarray, token: np.ndarray, salt: int) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def node_pairs(rows: DataFrame, least: float, every: bool) -> DataFrame:
-    """Pairs (a, b) across components of a (node, part) whose signatures agree in `least` of the coordinates.
-
-    every: all such pairs; else, for each two components that a likely pair joins, the likeliest pairs only.
-    """
+def node_pairs(rows: DataFrame, least: float) -> DataFrame:
+    """The likeliest pair (a, b) for each two components that join when likely pairs are taken, best first, in a (node, part)."""
 
     def run(key, pdf):
+        import pandas as pd
+
         pdf = pdf.drop_duplicates("cid")
-        n = len(pdf)
-        sig = np.frombuffer(b"".join(pdf["sig"]), np.uint16).reshape(n, T)
-        comp = np.unique(np.array([c.hex() for c in pdf["comp"]]), return_inverse=True)[1]
+        sig, comp = table_of(pdf)
         cid = pdf["cid"].to_list()
-        ia, ib, est = [], [], []
-        need = int(np.ceil(least * T))
-        for i in range(n - 1):
-            same = (sig[i + 1 :] == sig[i]).sum(1)
-            j = np.flatnonzero((same >= need) & (comp[i + 1 :] != comp[i]))
-            ia.append(np.full(len(j), i))
-            ib.append(j + i + 1)
-            est.append(same[j])
-        ia, ib, est = (np.concatenate(x) if x else np.empty(0, int) for x in (ia, ib, est))
-        keep = range(len(ia))
-        if not every:
-            up = list(range(int(comp.max()) + 1 if n else 0))
-
-            def root(x):
-                while up[x] != x:
-                    up[x] = x = up[up[x]]
-                return x
+        pairs = list(likely(sig, comp, least))
+        est = [-int((sig[i] == sig[j]).sum()) for i, j in pairs]
+        up, out = list(range(len(pdf))), []
+
+        def root(x):
+            while up[x] != x:
+                up[x] = x = up[up[x]]
+            return x
+
+        for e in np.argsort(est, kind="stable"):
+            i, j = pairs[e]
+            x, y = root(comp[i]), root(comp[j])
+            if x != y:
+                up[x] = y
+                out.append((min(cid[i], cid[j]), max(cid[i], cid[j])))
+        return pd.DataFrame(out, columns=["a", "b"])
 
-            keep = []
-            for e in np.argsort(-est, kind="stable"):
-                x, y = root(comp[ia[e]]), root(comp[ib[e]])
-                if x != y:
-                    up[x] = y
-                    keep.append(e)
-        import pandas as pd
+    return rows.groupBy("node", "part").applyInPandas(run, "a binary, b binary").distinct()
 
-        pairs = [(min(cid[ia[e]], cid[ib[e]]), max(cid[ia[e]], cid[ib[e]])) for e in keep]
-        return pd.DataFrame(pairs, columns=["a", "b"])
 
-    return rows.groupBy("node", "part").applyInPandas(run, "a binary, b binary").distinct()
+def likely(sig: np.ndarray, comp: np.ndarray, least: float):
+    """Pairs i < j of rows of different components whose signatures agree in `least` of the coordinates."""
+    need = int(np.ceil(least * T))
+    for i in range(len(sig) - 1):
+        same = (sig[i + 1 :] == sig[i]).sum(1)
+        for j in np.flatnonzero((same >= need) & (comp[i + 1 :] != comp[i])) + i + 1:
+            yield i, int(j)
+
+
+def table_of(pdf) -> tuple[np.ndarray, np.ndarray]:
+    sig = np.frombuffer(b"".join(pdf["sig"]), np.uint16).reshape(len(pdf), T)
+    return sig, np.unique(np.array([c.hex() for c in pdf["comp"]]), return_inverse=True)[1].ravel()
+
+
+def node_links(rows: DataFrame, docs: DataFrame, classes: DataFrame, least: float, k: int, percent: int) -> DataFrame:
+    """Confirmed pairs (a, b) across the components of each (node, part): enough of them to join all that are linked.
+
+    Each node compares its classes exhaustively, on signatures first; only classes with a likely partner get
+    their texts, so what is moved grows with classes and not with pairs.
+    """
+
+    def partnered(key, pdf):
+        pdf = pdf.drop_duplicates("cid")
+        use = {x for pair in likely(*table_of(pdf), least) for x in pair}
+        return pdf.iloc[sorted(use)]
+
+    def linked(key, pdf):
+        import pandas as pd
+
+        hashes = Hashes()
+        sets = [shingles(words_of(t), k, hashes) for t in pdf["text"]]
+        sig, comp = table_of(pdf)
+        cid, up, out = pdf["cid"].to_list(), list(range(len(pdf))), []
+
+        def root(x):
+            while up[x] != x:
+                up[x] = x = up[up[x]]
+            return x
+
+        for i, j in likely(sig, comp, least):
+            x, y = root(comp[i]), root(comp[j])
+            if x != y and similar(sets[i], sets[j], percent):
+                up[x] = y
+                out.append((min(cid[i], cid[j]), max(cid[i], cid[j])))
+        return pd.DataFrame(out, columns=["a", "b"])
+
+    kind = "node long, part string, cid binary, comp binary, sig binary"
+    rows = staged(rows.select("node", "part", "cid", "comp", "sig").groupBy("node", "part").applyInPandas(partnered, kind), "partnered")
+    texts = texts_of(rows.select("cid").distinct(), docs, classes)
+    rows = rows.join(texts, "cid").groupBy("node", "part")
+    return rows.applyInPandas(linked, "a binary, b binary").distinct()
+
+
+def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    if min(len(x), len(y)) * 100 < percent * max(len(x), len(y)):
+        return False
+    total = len(x) + len(y)
+    both = np.sort(np.concatenate([x, y]))
+    both = int((both[1:] == both[:-1]).sum())
+    return 100 * both >= percent * (total - both)
+
+
+def texts_of(ids: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """cid and text, once for each cid of ids."""
+    wanted = ids.join(classes.select("cid", F.col("doc_id").alias("d"), F.col("rk").alias("r")), "cid")
+    rows = docs.select("doc_id", F.xxhash64("text").alias("rk"), "text")
+    texts = rows.join(wanted, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("rk") == F.col("r"))).select("cid", "text")
+    return staged(texts, "texts").dropDuplicates(["cid"])
 
 
 def split_nodes(rows: DataFrame, trees: list[int], threshold: float, rounds: int, salt: int, every: bool) -> DataFrame:
     """Rows (node, part, cid, comp, sig) of the small nodes; large ones are branched, then dealt out in parts."""
-    done, start, x = [], 3, branch(rows, trees, 0, 3, threshold)
+    done, start, x, small = [], 3, branch(rows, trees, 0, 3, threshold), SMALL if every else PART
     for r in range(rounds + 1):
         size = x.groupBy("tree", "node").agg(F.count("*").alias("n"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("tree", "node", "n")
         x = staged(x.join(size, ["tree", "node"]), "nodes")
-        done.append(x.where(f"n <= {SMALL}").select("tree", "node", F.lit("0").alias("part"), "cid", "comp", "sig"))
-        x = x.where(f"n > {SMALL}")
+        done.append(x.where(f"n <= {small}").select("tree", "node", F.lit("0").alias("part"), "cid", "comp", "sig"))
+        x = x.where(f"n > {small}")
         if x.isEmpty():
             break
         if r < rounds:
             x = branch(x, trees, start, 2, threshold)
             start += 2
             continue
-        parts = F.ceil(F.col("n") / (SMALL // 2 if every else SMALL)).cast("int")
+        parts = F.ceil(F.col("n") / (small // 2 if every else small)).cast("int")
         own = F.pmod(F.xxhash64("cid", F.lit(salt)), parts).cast("int")
         if every:
             other = F.explode(F.sequence(F.lit(0), parts - 1))
@@ -208,11 +264,7 @@ def split_nodes(rows: DataFrame, trees: list[int], threshold: float, rounds: int
 
 def confirm(pairs: DataFrame, docs: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets have 100 * intersection >= percent * union."""
-    ends = pairs.select(F.col("a").alias("cid")).union(pairs.select(F.col("b").alias("cid"))).distinct()
-    wanted = ends.join(classes.select("cid", F.col("doc_id").alias("d"), F.col("rk").alias("r")), "cid")
-    rows = docs.select("doc_id", F.xxhash64("text").alias("rk"), "text")
-    texts = rows.join(wanted, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("rk") == F.col("r"))).select("cid", "text")
-    texts = staged(texts, "texts").dropDuplicates(["cid"])
+    texts = texts_of(pairs.select(F.col("a").alias("cid")).union(pairs.select(F.col("b").alias("cid"))).distinct(), docs, classes)
 
     def run(batches):
         hashes, last = Hashes(), {}
@@ -227,11 +279,8 @@ def confirm(pairs: DataFrame, docs: DataFrame, classes: DataFrame, k: int, perce
         for b in batches:
             keep = []
             for i, (a, c, ta, tc) in enumerate(zip(*(b.column(x).to_pylist() for x in ("a", "b", "ta", "tb")), strict=True)):
-                x, y = of(a, ta), of(c, tc)
-                if min(len(x), len(y)) * 100 >= percent * max(len(x), len(y)):
-                    both = len(x) + len(y) - len(np.unique(np.concatenate([x, y])))
-                    if 100 * both >= percent * (len(x) + len(y) - both):
-                        keep.append(i)
+                if similar(of(a, ta), of(c, tc), percent):
+                    keep.append(i)
             yield b.select(["a", "b"]).take(pa.array(keep, pa.int64()))
 
     x = pairs.join(texts.select(F.col("cid").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("cid").alias("b"), F.col("text").alias("tb")), "b")
@@ -244,18 +293,18 @@ def groups(docs: DataFrame, k: int, threshold: float, trees: int = 10, rounds: i
     least = threshold - 4 * (threshold * (1 - threshold) / T) ** 0.5
     sigs = staged(signatures(docs, k), "signatures")
     classes = staged(sigs.where("cid is not null").groupBy("cid").agg(F.min("doc_id").alias("low"), F.min(F.struct("doc_id", "rk", "sig")).alias("s")).select("cid", "low", "s.doc_id", "s.rk", "s.sig"), "classes")
-    found, tried, comps = None, None, None
+    found = comps = None
     for step, own in enumerate(([0], list(range(1, 4)), list(range(trees)))):
-        every = step == 2
         rows = classes.select("cid", "sig")
         rows = rows.join(comps, rows.cid == comps.node, "left").select("cid", F.coalesce("comp", "cid").alias("comp"), "sig") if comps is not None else rows.withColumn("comp", F.col("cid"))
-        pairs = node_pairs(split_nodes(rows, own, threshold, rounds, step, every).select("node", "part", "cid", "comp", "sig"), least, every)
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = staged(pairs, "pairs")
-        new = staged(confirm(pairs, docs, classes, k, percent), "links")
+        every = step == 2
+        rows = split_nodes(rows, own, threshold, rounds, step, every)
+        if every:
+            new = node_links(rows, docs, classes, least, k, percent)
+        else:
+            new = confirm(staged(node_pairs(rows, least), "pairs"), docs, classes, k, percent)
+        new = staged(new, "links")
         found = new if found is None else found.unionByName(new)
-        tried = pairs if tried is None else tried.unionByName(pairs)
         comps = components(found)
     lowest = classes.join(comps, classes.cid == comps.node, "left").select("cid", F.coalesce("comp", "cid").alias("comp"), "low")
     ids = lowest.groupBy("comp").agg(F.min("low").alias("component_id"))
