@@ -18,11 +18,11 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import annotate
+from .common import Memory, annotate, kept
 
 #: Fixed value: the pattern of byte-level vocabularies of this family.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
-CACHE = 300_000  # words that a worker remembers
+CACHE = 400_000  # words of a generation that a worker remembers
 
 
 def byte_letters() -> list[str]:
@@ -54,7 +54,7 @@ class Bpe:
         self.special = {k: np.uint32(i).astype("<u4").tobytes() for k, i in own.items()}
         self.split = regex.compile("(" + "|".join(map(regex.escape, sorted(own, key=len, reverse=True))) + ")") if own else None
         self.words = regex.compile(PATTERN)
-        self.cache: dict[str, bytes] = {}
+        self.known = Memory(self.ids, CACHE)
 
     def merge(self, words: list[bytes]) -> list[list[int]]:
         """The ids of each word."""
@@ -111,16 +111,13 @@ class Bpe:
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids as little-endian unsigned 32-bit integers."""
         rows = [self.parts(t) if t else [] for t in texts]
-        cache, all_words = self.cache, set().union(*rows)
-        new = [w for w in all_words if w not in cache]
-        if len(cache) + len(new) > CACHE:
-            cache.clear()
-            new = list(all_words)
-        cache |= self.special
-        new = [w for w in new if w not in self.special]
-        for w, ids in zip(new, self.merge([w.encode("utf-8") for w in new]), strict=True):
-            cache[w] = np.array(ids, "<u4").tobytes()
-        return [b"".join(map(cache.__getitem__, row)) for row in rows]
+        known = self.known.of(set().union(*rows))
+        return [b"".join(map(known.__getitem__, row)) for row in rows]
+
+    def ids(self, words: list[str]) -> list[bytes]:
+        """The ids of each word or special token."""
+        made = iter(self.merge([w.encode("utf-8") for w in words if w not in self.special]))
+        return [self.special[w] if w in self.special else np.array(next(made), "<u4").tobytes() for w in words]
 
     def decode(self, ids: bytes) -> str:
         return b"".join(map(self.bytes.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
@@ -134,7 +131,7 @@ def encode(docs: DataFrame, path: str, fields: str = "n_tokens long, ids binary"
     """
 
     def run():
-        bpe = Bpe(path)
+        bpe = kept(("bpe", path), lambda: Bpe(path))
 
         def work(texts):
             made = bpe.encode(texts)
@@ -149,7 +146,7 @@ def decode(rows: DataFrame, path: str, ids: str = "ids", to: str = "decoded") ->
     """rows with the text of their ids; a null for a null, U+FFFD for what is not UTF-8."""
 
     def run():
-        bpe = Bpe(path)
+        bpe = kept(("bpe", path), lambda: Bpe(path))
         return lambda column: [[None if x is None else bpe.decode(x) for x in column]]
 
     return annotate(rows, run, f"`{to}` string", ids)
@@ -159,7 +156,7 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 for every row of docs (doc_id, text)."""
 
     def run():
-        bpe = Bpe(path)
+        bpe = kept(("bpe", path), lambda: Bpe(path))
 
         def work(texts):
             made = bpe.encode(texts)

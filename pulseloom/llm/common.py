@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
 import uuid
 
@@ -64,6 +65,34 @@ def components(edges: DataFrame, name: str = "cc") -> DataFrame:
     return e.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct())
 
 
+def kept(key: tuple, make):
+    """What make() gives, kept by the worker process for its later tasks; a lost worker just makes it again."""
+    store = sys.__dict__.setdefault("_pulseloom_kept", {})
+    if key not in store:
+        store[key] = make()
+    return store[key]
+
+
+class Memory:
+    """Values of words, found by `make` (from a list of words): the words of the last two generations of `size` each."""
+
+    def __init__(self, make, size: int):
+        self.make, self.size = make, size
+        self.young: dict = {}
+        self.old: dict = {}
+
+    def of(self, words: set) -> dict:
+        """A mapping that holds at least these words."""
+        new = [w for w in words if w not in self.young]
+        if len(self.young) + len(new) > self.size:
+            self.old, self.young, new = self.young, {}, list(words)
+        old = self.old
+        self.young.update((w, old[w]) for w in new if w in old)
+        new = [w for w in new if w not in old]
+        self.young.update(zip(new, self.make(new), strict=True))
+        return self.young
+
+
 def annotate(docs: DataFrame, run, fields: str, column: str = "text", step: int = 500) -> DataFrame:
     """docs with columns that run makes of one column: run() gives a function from a list of values to a list of columns.
 

@@ -8,17 +8,26 @@ Bloom filters on doc_id, so that readers split files by stripe and skip what a f
 
 from __future__ import annotations
 
+import re
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-CACHE = 300_000
+from .bpe import byte_letters
+from .common import Memory, kept, staged
+
+CACHE = 400_000  # words of a generation that a worker remembers
+BORDER = "\x01"  # stands between words that are encoded together
 #: Python's split() takes these for white space, the tokenizers library does not.
 NOT_SPACE = tuple(map(chr, range(0x1C, 0x20)))
 
+PLAIN = re.compile(r"([a-zß-öø-ÿ]+)([!-/:-@\[-`{-~]*)")
+WIDE = re.compile("[\u0130-\U0010ffff]")
+
 
 class WordCache:
     """The library's ids of a text, with those of its words remembered.
@@ -33,22 +42,61 @@ class WordCache:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.known: dict[str, bytes] = {}
-
-    def plain(self, texts: list[str]) -> list[bytes]:
-        return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        self.border = self.ids(BORDER)
+        self.known = Memory(self.words, CACHE)
+        self.tails: dict[str, bytes] = {}
+        self.letters = dict(enumerate(byte_letters()))
+        #: The kind of tokenizer whose words of letters are one piece: folded, cut at borders of letters, by bytes.
+        self.folds = '"type":"Lowercase"' in self.tokenizer.to_str().replace(" ", "") and "[\\\\p{L}]+" in self.tokenizer.to_str()
+
+    def ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+
+    def words(self, words: list[str]) -> list[bytes]:
+        """The ids of each word. Letters with punctuation behind go straight to the library's model."""
+        if not self.folds:
+            return self.whole(words)
+        plain, tokenize, tails = list(map(PLAIN.fullmatch, words)), self.tokenizer.model.tokenize, self.tails
+        rest = iter(self.whole([w for w, m in zip(words, plain, strict=True) if not m]))
+        out = []
+        for m in plain:
+            if not m:
+                out.append(next(rest))
+                continue
+            word, tail = m.groups()
+            if not word.isascii():
+                word = word.encode("utf-8").decode("latin-1").translate(self.letters)
+            ids = array("I", [x.id for x in tokenize(word)]).tobytes()
+            if tail:
+                if tail not in tails:
+                    if len(tails) > 10_000:
+                        tails.clear()
+                    tails[tail] = self.ids(tail).tobytes()
+                ids += tails[tail]
+            out.append(ids)
+        return out
+
+    def whole(self, words: list[str]) -> list[bytes]:
+        """The ids of each word; many words go as one text with borders that no word has."""
+        out: list[bytes] = []
+        for i in range(0, len(words), 4000):
+            part = words[i : i + 4000]
+            if len(self.border) == 1 and not any(BORDER in w for w in part):
+                flat = self.ids(f" {BORDER} ".join([*part, ""]))
+                ends = np.flatnonzero(flat == self.border[0])
+                if len(ends) == len(part):
+                    out += [flat[x:y].tobytes() for x, y in zip([0, *(ends[:-1] + 1).tolist()], ends.tolist(), strict=True)]
+                    continue
+            out += [self.ids(w).tobytes() for w in part]
+        return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
         odd = [any(c in t for c in NOT_SPACE) for t in texts]
+        if self.folds:
+            texts = [t if WIDE.search(t) else t.lower() for t in texts]  # below U+0130 that is what the library does
         rows = [[] if o else t.split() for t, o in zip(texts, odd, strict=True)]
-        words = set().union(*rows)
-        new = [w for w in words if w not in self.known]
-        if len(self.known) + len(new) > CACHE:
-            self.known.clear()
-            new = list(words)
-        for i in range(0, len(new), 5000):
-            self.known.update(zip(new[i : i + 5000], self.plain(new[i : i + 5000]), strict=True))
-        return [self.plain([t])[0] if o else b"".join(map(self.known.__getitem__, row)) for t, o, row in zip(texts, odd, rows, strict=True)]
+        known = self.known.of(set().union(*rows))
+        return [self.ids(t).tobytes() if o else b"".join(map(known.__getitem__, row)) for t, o, row in zip(texts, odd, rows, strict=True)]
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, stripe_bytes: int = 16 << 20, stride: int = 2000) -> None:
@@ -60,7 +108,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, stripe
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches):
-        words, at = WordCache(tokenizer), 0
+        words, at = kept(("words", tokenizer), lambda: WordCache(tokenizer)), 0
         for whole in batches:
             for i in range(0, whole.num_rows, 500):
                 b = whole.slice(i, 500)
@@ -74,7 +122,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, stripe
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     rows = rows.mapInArrow(run, "doc_id long, at long, n_tokens long, ids array<int>")
     writer = rows.write.option("orc.stripe.size", stripe_bytes).option("orc.row.index.stride", stride)
-    writer.option("orc.bloom.filter.columns", "doc_id").option("orc.bloom.filter.fpp", 0.01).option("compression", "zlib").orc(path)
+    writer.option("orc.bloom.filter.columns", "doc_id").option("orc.bloom.filter.fpp", 0.01).option("compression", "zstd").orc(path)
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
@@ -83,8 +131,10 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     rows = rows.withColumn("part", F.regexp_extract(F.col("_metadata.file_name"), r"part-(\d+)", 1).cast("long"))
     files = rows.groupBy("part").agg(F.max(F.col("at") + F.col("n_tokens")).alias("total"))
     before = F.coalesce(F.sum("total").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    files = files.select(F.col("part").alias("p"), before.alias("base"))  # a row per file
-    return rows.join(files, rows.part == files.p).select("doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids")
+    files = staged(files.select(F.col("part").alias("p"), before.alias("base")), "files")  # a row per file
+    if files.count() <= 100_000:  # at most a few MB
+        files = F.broadcast(files)
+    return rows.join(files, F.col("part") == F.col("p")).select("doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids")
 
 
 def checksums(tokens: DataFrame) -> DataFrame:
