@@ -18,10 +18,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bpe import byte_letters
-from .common import Memory, kept, staged
+from .common import kept, staged
 
-CACHE = 400_000  # words of a generation that a worker remembers
-BORDER = "\x01"  # stands between words that are encoded together
+CACHE = 500_000  # words of a generation that a worker remembers
 #: Python's split() takes these for white space, the tokenizers library does not.
 NOT_SPACE = tuple(map(chr, range(0x1C, 0x20)))
 
@@ -29,11 +28,30 @@ PLAIN = re.compile(r"([a-zß-öø-ÿ]+)([!-/:-@\[-`{-~]*)")
 WIDE = re.compile("[\u0130-\U0010ffff]")
 
 
+class Words(dict):
+    """Ids of words by `make`; those of the last two generations of CACHE words are kept."""
+
+    def __init__(self, make):
+        super().__init__()
+        self.make, self.old = make, {}
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.old.get(word)
+        if ids is None:
+            ids = self.make(word)
+        if len(self) >= CACHE:
+            self.old = self.copy()
+            self.clear()
+        self[word] = ids
+        return ids
+
+
 class WordCache:
     """The library's ids of a text, with those of its words remembered.
 
     Holds for tokenizers that treat white space as a border of no tokens of its own, as those with a split
-    pattern that removes it do: what stands between white space is encoded alone.
+    pattern that removes it do: what stands between white space is encoded alone. Words of letters with
+    punctuation behind go straight to the library's model.
     """
 
     def __init__(self, path: str):
@@ -42,61 +60,37 @@ class WordCache:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.border = self.ids(BORDER)
-        self.known = Memory(self.words, CACHE)
-        self.tails: dict[str, bytes] = {}
-        self.letters = dict(enumerate(byte_letters()))
+        spec = self.tokenizer.to_str().replace(" ", "")
         #: The kind of tokenizer whose words of letters are one piece: folded, cut at borders of letters, by bytes.
-        self.folds = '"type":"Lowercase"' in self.tokenizer.to_str().replace(" ", "") and "[\\\\p{L}]+" in self.tokenizer.to_str()
-
-    def ids(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
-
-    def words(self, words: list[str]) -> list[bytes]:
-        """The ids of each word. Letters with punctuation behind go straight to the library's model."""
-        if not self.folds:
-            return self.whole(words)
-        plain, tokenize, tails = list(map(PLAIN.fullmatch, words)), self.tokenizer.model.tokenize, self.tails
-        rest = iter(self.whole([w for w, m in zip(words, plain, strict=True) if not m]))
-        out = []
-        for m in plain:
-            if not m:
-                out.append(next(rest))
-                continue
-            word, tail = m.groups()
-            if not word.isascii():
-                word = word.encode("utf-8").decode("latin-1").translate(self.letters)
-            ids = array("I", [x.id for x in tokenize(word)]).tobytes()
-            if tail:
-                if tail not in tails:
-                    if len(tails) > 10_000:
-                        tails.clear()
-                    tails[tail] = self.ids(tail).tobytes()
-                ids += tails[tail]
-            out.append(ids)
-        return out
-
-    def whole(self, words: list[str]) -> list[bytes]:
-        """The ids of each word; many words go as one text with borders that no word has."""
-        out: list[bytes] = []
-        for i in range(0, len(words), 4000):
-            part = words[i : i + 4000]
-            if len(self.border) == 1 and not any(BORDER in w for w in part):
-                flat = self.ids(f" {BORDER} ".join([*part, ""]))
-                ends = np.flatnonzero(flat == self.border[0])
-                if len(ends) == len(part):
-                    out += [flat[x:y].tobytes() for x, y in zip([0, *(ends[:-1] + 1).tolist()], ends.tolist(), strict=True)]
-                    continue
-            out += [self.ids(w).tobytes() for w in part]
-        return out
+        self.folds = '"type":"Lowercase"' in spec and "[\\\\p{L}]+" in spec
+        self.model = self.tokenizer.model
+        self.letters = dict(enumerate(byte_letters()))
+        self.tails = Words(self.ids)
+        self.known = Words(self.word if self.folds else self.ids)
+
+    def ids(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def word(self, word: str) -> bytes:
+        m = PLAIN.fullmatch(word)
+        if not m:
+            return self.ids(word)
+        word, tail = m.groups()
+        if not word.isascii():
+            word = word.encode("utf-8").decode("latin-1").translate(self.letters)
+        ids = array("I", [x.id for x in self.model.tokenize(word)]).tobytes()
+        return ids + self.tails[tail] if tail else ids
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        odd = [any(c in t for c in NOT_SPACE) for t in texts]
-        if self.folds:
-            texts = [t if WIDE.search(t) else t.lower() for t in texts]  # below U+0130 that is what the library does
-        rows = [[] if o else t.split() for t, o in zip(texts, odd, strict=True)]
-        known = self.known.of(set().union(*rows))
-        return [self.ids(t).tobytes() if o else b"".join(map(known.__getitem__, row)) for t, o, row in zip(texts, odd, rows, strict=True)]
+        get, out = self.known.__getitem__, []
+        for t in texts:
+            if any(c in t for c in NOT_SPACE):
+                out.append(self.ids(t))
+            else:
+                if self.folds and not WIDE.search(t):
+                    t = t.lower()  # below U+0130 that is what the library does
+                out.append(b"".join(map(get, t.split())))
+        return out
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, stripe_bytes: int = 16 << 20, stride: int = 2000) -> None:
