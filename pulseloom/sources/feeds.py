@@ -8,10 +8,20 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import BooleanType, DoubleType, LongType, StructType
 
-TRADES = StructType.fromDDL("id long, price double, qty double, quote_qty double, time long, is_buyer_maker boolean")
-QUOTES = StructType.fromDDL("update_id long, best_bid_price double, best_bid_qty double, best_ask_price double, best_ask_qty double, transaction_time long, event_time long")
+KINDS = {"long": LongType, "double": DoubleType, "boolean": BooleanType}
+
+
+def schema_of(fields: str) -> StructType:
+    out = StructType()
+    for name, kind in map(str.split, fields.split(",")):
+        out = out.add(name, KINDS[kind]())
+    return out
+
+
+TRADES = schema_of("id long, price double, qty double, quote_qty double, time long, is_buyer_maker boolean")
+QUOTES = schema_of("update_id long, best_bid_price double, best_bid_qty double, best_ask_price double, best_ask_qty double, transaction_time long, event_time long")
 FEEDS = {"trades": TRADES, "bookTicker": QUOTES}
 
 #: Event types by code: changes of the best bid, of the best ask, trades.
