@@ -21,11 +21,13 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from .common import components, kept, staged
 
 T = 64  # coordinates of a signature
-SMALL = 512  # classes in a node that are compared exhaustively
+SMALL = 1024  # classes in a node that are compared exhaustively
 PART = 128  # classes that are compared at once while links are still few
 CACHE = 300_000  # words whose hashes a worker keeps
 
@@ -134,86 +136,125 @@ def mixed(node: np.ndarray, token: np.ndarray, salt: int) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def node_pairs(rows: DataFrame, least: float) -> DataFrame:
-    """The likeliest pair (a, b) for each two components that join when likely pairs are taken, best first, in a (node, part)."""
+def by_node(rows: DataFrame, columns: list[str], work, schema: str) -> DataFrame:
+    """What work gives for the rows of each (node, part): a list of rows of `schema` from lists of the columns.
 
-    def run(key, pdf):
-        import pandas as pd
+    Rows come sorted by node, so a task streams through its nodes and holds one at a time.
+    """
 
-        pdf = pdf.drop_duplicates("cid")
-        sig, comp = table_of(pdf)
-        cid = pdf["cid"].to_list()
-        pairs = list(likely(sig, comp, least))
-        est = [-int((sig[i] == sig[j]).sum()) for i, j in pairs]
-        up, out = list(range(len(pdf))), []
+    target = to_arrow_schema(StructType.fromDDL(schema))
 
-        def root(x):
-            while up[x] != x:
-                up[x] = x = up[up[x]]
-            return x
+    def run(batches):
+        held = None
 
-        for e in np.argsort(est, kind="stable"):
-            i, j = pairs[e]
-            x, y = root(comp[i]), root(comp[j])
-            if x != y:
-                up[x] = y
-                out.append((min(cid[i], cid[j]), max(cid[i], cid[j])))
-        return pd.DataFrame(out, columns=["a", "b"])
+        def made(table, cuts):
+            out = []
+            for x, y in zip(cuts[:-1], cuts[1:], strict=True):
+                if y - x > 1:
+                    part = table.slice(x, y - x)
+                    out += work(int(part.column(0)[0].as_py()), int(part.column(1)[0].as_py()), *(part.column(c).to_pylist() for c in columns))
+            cols = list(zip(*out, strict=True)) or [[]] * len(target)
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, target, strict=True)], schema=target)
 
-    return rows.groupBy("node", "part").applyInPandas(run, "a binary, b binary").distinct()
+        for b in batches:
+            t = pa.Table.from_batches([b])
+            t = t if held is None else pa.concat_tables([held, t]).combine_chunks()
+            key = [t.column(i).to_numpy() for i in (0, 1)]
+            cuts = (np.flatnonzero((key[0][1:] != key[0][:-1]) | (key[1][1:] != key[1][:-1])) + 1).tolist()
+            if cuts:
+                yield made(t, [0, *cuts])
+            held = t.slice(cuts[-1] if cuts else 0)
+        if held is not None and held.num_rows:
+            yield made(held, [0, held.num_rows])
+
+    x = rows.select("node", "part", *columns).repartition("node", "part").sortWithinPartitions("node", "part")
+    return x.mapInArrow(run, schema)
+
+
+class Joined:
+    """Components that grow together."""
+
+    def __init__(self, n: int):
+        self.up = list(range(n))
+
+    def root(self, x: int) -> int:
+        up = self.up
+        while up[x] != x:
+            up[x] = x = up[up[x]]
+        return x
+
+    def join(self, x: int, y: int) -> None:
+        self.up[self.root(x)] = self.root(y)
+
+
+def likely(cid: list, comp: list, sig: list, least: float) -> tuple[list, list, np.ndarray]:
+    """Rows without repeated cid: their places, their components as numbers, and (i, j, coordinates that agree) of the
+    pairs of different components that agree in `least` of the coordinates."""
+    at = list({c: i for i, c in reversed(list(enumerate(cid)))}.values())[::-1]
+    names: dict = {}
+    codes = np.array([names.setdefault(comp[i], len(names)) for i in at])
+    found = []
+    if len(names) > 1:
+        s = np.frombuffer(b"".join([sig[i] for i in at]), np.uint16).reshape(len(at), T)
+        need = int(np.ceil(least * T))
+        for i in range(len(at) - 1):
+            same = (s[i + 1 :] == s[i]).sum(1)
+            j = np.flatnonzero((same >= need) & (codes[i + 1 :] != codes[i]))
+            if len(j):
+                found.append(np.stack([np.full(len(j), i), j + i + 1, same[j]], 1))
+    return at, codes.tolist(), np.concatenate(found) if found else np.empty((0, 3), int)
 
 
-def likely(sig: np.ndarray, comp: np.ndarray, least: float):
-    """Pairs i < j of rows of different components whose signatures agree in `least` of the coordinates."""
-    need = int(np.ceil(least * T))
-    for i in range(len(sig) - 1):
-        same = (sig[i + 1 :] == sig[i]).sum(1)
-        for j in np.flatnonzero((same >= need) & (comp[i + 1 :] != comp[i])) + i + 1:
-            yield i, int(j)
+def node_pairs(rows: DataFrame, least: float) -> DataFrame:
+    """The likeliest pair (a, b) for each two components that join when likely pairs are taken, best first, in a (node, part)."""
 
+    def work(node, part, cid, comp, sig):
+        at, codes, pairs = likely(cid, comp, sig, least)
+        sets, out = Joined(max(codes) + 1), []
+        for i, j, _ in pairs[np.argsort(-pairs[:, 2], kind="stable")].tolist():
+            if sets.root(codes[i]) != sets.root(codes[j]):
+                sets.join(codes[i], codes[j])
+                out.append(tuple(sorted((cid[at[i]], cid[at[j]]))))
+        return out
 
-def table_of(pdf) -> tuple[np.ndarray, np.ndarray]:
-    sig = np.frombuffer(b"".join(pdf["sig"]), np.uint16).reshape(len(pdf), T)
-    return sig, np.unique(np.array([c.hex() for c in pdf["comp"]]), return_inverse=True)[1].ravel()
+    return by_node(rows, ["cid", "comp", "sig"], work, "a binary, b binary").distinct()
 
 
 def node_links(rows: DataFrame, docs: DataFrame, classes: DataFrame, least: float, k: int, percent: int) -> DataFrame:
     """Confirmed pairs (a, b) across the components of each (node, part): enough of them to join all that are linked.
 
-    Each node compares its classes exhaustively, on signatures first; only classes with a likely partner get
-    their texts, so what is moved grows with classes and not with pairs.
+    Each node compares its classes exhaustively, on signatures first. A node with no more likely pairs than classes
+    hands them on, so that pairs of several trees are confirmed once. In others the classes with a partner get their
+    texts and are compared in place: what is moved grows with classes and not with pairs.
     """
 
-    def partnered(key, pdf):
-        pdf = pdf.drop_duplicates("cid")
-        use = {x for pair in likely(*table_of(pdf), least) for x in pair}
-        return pdf.iloc[sorted(use)]
-
-    def linked(key, pdf):
-        import pandas as pd
-
-        hashes = Hashes()
-        sets = [shingles(words_of(t), k, hashes) for t in pdf["text"]]
-        sig, comp = table_of(pdf)
-        cid, up, out = pdf["cid"].to_list(), list(range(len(pdf))), []
+    def first(node, part, cid, comp, sig):
+        at, codes, pairs = likely(cid, comp, sig, least)
+        if len(pairs) <= len(at):
+            return [(None, None, None, None, None, *sorted((cid[at[i]], cid[at[j]]))) for i, j, _ in pairs.tolist()]
+        return [(node, part, cid[at[i]], comp[at[i]], sig[at[i]], None, None) for i in np.unique(pairs[:, :2]).tolist()]
 
-        def root(x):
-            while up[x] != x:
-                up[x] = x = up[up[x]]
-            return x
-
-        for i, j in likely(sig, comp, least):
-            x, y = root(comp[i]), root(comp[j])
-            if x != y and similar(sets[i], sets[j], percent):
-                up[x] = y
-                out.append((min(cid[i], cid[j]), max(cid[i], cid[j])))
-        return pd.DataFrame(out, columns=["a", "b"])
-
-    kind = "node long, part string, cid binary, comp binary, sig binary"
-    rows = staged(rows.select("node", "part", "cid", "comp", "sig").groupBy("node", "part").applyInPandas(partnered, kind), "partnered")
-    texts = texts_of(rows.select("cid").distinct(), docs, classes)
-    rows = rows.join(texts, "cid").groupBy("node", "part")
-    return rows.applyInPandas(linked, "a binary, b binary").distinct()
+    def second(node, part, cid, comp, sig, text):
+        hashes = kept(("hashes",), Hashes)
+        at, codes, pairs = likely(cid, comp, sig, least)
+        full, sets, out = {}, Joined(max(codes) + 1), []
+        for i, j, _ in pairs[np.argsort(-pairs[:, 2], kind="stable")].tolist():
+            if sets.root(codes[i]) != sets.root(codes[j]):
+                for x in (i, j):
+                    if x not in full:
+                        full[x] = shingles(words_of(text[at[x]]), k, hashes)
+                if similar(full[i], full[j], percent):
+                    sets.join(codes[i], codes[j])
+                    out.append(tuple(sorted((cid[at[i]], cid[at[j]]))))
+        return out
+
+    kind = "node long, part long, cid binary, comp binary, sig binary, a binary, b binary"
+    found = staged(by_node(rows, ["cid", "comp", "sig"], first, kind), "found")
+    pairs = staged(found.where("a IS NOT NULL").select("a", "b").distinct(), "pairs")
+    dense = found.where("cid IS NOT NULL")
+    texts = texts_of(dense.select("cid").distinct(), docs, classes)
+    dense = by_node(dense.join(texts, "cid"), ["cid", "comp", "sig", "text"], second, "a binary, b binary")
+    return confirm(pairs, docs, classes, k, percent).unionByName(dense).distinct()
 
 
 def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
@@ -239,7 +280,7 @@ def split_nodes(rows: DataFrame, trees: list[int], threshold: float, rounds: int
     for r in range(rounds + 1):
         size = x.groupBy("tree", "node").agg(F.count("*").alias("n"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("tree", "node", "n")
         x = staged(x.join(size, ["tree", "node"]), "nodes")
-        done.append(x.where(f"n <= {small}").select("tree", "node", F.lit("0").alias("part"), "cid", "comp", "sig"))
+        done.append(x.where(f"n <= {small}").select("tree", "node", F.lit(0).cast("long").alias("part"), "cid", "comp", "sig"))
         x = x.where(f"n > {small}")
         if x.isEmpty():
             break
@@ -252,9 +293,9 @@ def split_nodes(rows: DataFrame, trees: list[int], threshold: float, rounds: int
         if every:
             other = F.explode(F.sequence(F.lit(0), parts - 1))
             x = x.withColumn("own", own).withColumn("other", other)
-            x = x.withColumn("part", F.concat_ws("-", F.least("own", "other"), F.greatest("own", "other")))
+            x = x.withColumn("part", F.least("own", "other").cast("long") * (1 << 31) + F.greatest("own", "other"))
         else:
-            x = x.withColumn("part", own.cast("string"))
+            x = x.withColumn("part", own.cast("long"))
         done.append(x.select("tree", "node", "part", "cid", "comp", "sig"))
     out = done[0]
     for d in done[1:]:
