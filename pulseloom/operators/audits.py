@@ -19,8 +19,8 @@ def gaps(rows: DataFrame, slot: int = 10, day: int = WIDTH) -> DataFrame:
     """symbol, day, n_gaps and longest: runs of slots without a row, the day's edges included."""
     per = day // slot
     x = rows.select("symbol", F.expr(f"floor(tick / {day})").alias("day"), F.expr(f"floor(tick % {day} / {slot})").alias("slot")).distinct()
-    edges = x.select("symbol", "day").distinct().select("symbol", "day", F.explode(F.array(F.lit(-1), F.lit(per))).cast("long").alias("slot"))
-    x = previous(x.withColumn("slot", F.col("slot").cast("long")).unionByName(edges).withColumn("tick", F.col("day") * (per + 2) + F.col("slot") + 1), ["symbol", "day"], ["slot"], ["slot"], "p", F.lit(0))
+    edges = x.select("symbol", "day").distinct().select("symbol", "day", F.explode(F.array(F.lit(-1), F.lit(per))).alias("slot"))
+    x = previous(x.withColumn("slot", F.col("slot").cast("long")).unionByName(edges.withColumn("slot", F.col("slot").cast("long"))).withColumn("tick", F.col("day") * (per + 2) + F.col("slot") + 1), ["symbol", "day"], ["slot"], ["slot"], "p", F.lit(0))
     run = F.col("slot") - F.col("p.slot") - 1
     return x.groupBy("symbol", "day").agg(F.count_if(run > 0).alias("n_gaps"), F.coalesce(F.max(run), F.lit(0)).alias("longest"))
 

@@ -24,46 +24,46 @@ def block_of(beta: float, unit: int) -> int:
     return round(30 / beta * unit)
 
 
-def scan(rows: DataFrame, beta: float, codes, weight: Column, before: bool, mark: bool = False, unit: int = UNIT) -> DataFrame:
-    """rows (symbol, time, kind, seq, event_code or null) with the decayed sums of each code up to the row in the
-    order (time, kind, seq), or before it."""
-    size = block_of(beta, unit)
-    rows = rows.withColumn("__k", F.expr(f"time div {size}L"))
-    g = F.exp(F.lit(beta) * (F.col("time") - F.col("__k") * size) / unit)
-    rows = rows.withColumn("__g", g)
-    own = {c: F.when(F.col("event_code") == c, weight * F.col("__g")) for c in codes}
-    sums = rows.where("event_code IS NOT NULL").groupBy("symbol", "__k").agg(*(F.coalesce(F.sum(own[c]), F.lit(0.0)).alias(f"__s{c}") for c in codes))
-    decay = [float(2.718281828459045235 ** (-beta * n * size / unit)) for n in (1, 2)]
-    carry = sums.select("symbol", (F.col("__k") + 1).alias("__k"), *((F.col(f"__s{c}") * decay[0]).alias(f"__s{c}") for c in codes))
-    carry = carry.unionByName(sums.select("symbol", (F.col("__k") + 2).alias("__k"), *((F.col(f"__s{c}") * decay[1]).alias(f"__s{c}") for c in codes)))
-    carry = carry.groupBy("symbol", "__k").agg(*(F.sum(f"__s{c}").alias(f"__s{c}") for c in codes))
-    w = Window.partitionBy("symbol", "__k").orderBy("time", "kind", "seq").rowsBetween(Window.unboundedPreceding, -1 if before else 0)
-    x = rows.join(carry, ["symbol", "__k"], "left")
-    z = {name_of(c, beta, mark): (F.coalesce(F.sum(own[c]).over(w), F.lit(0.0)) + F.coalesce(F.col(f"__s{c}"), F.lit(0.0))) / F.col("__g") for c in codes}
-    return x.withColumns(z).drop("__k", "__g", *(f"__s{c}" for c in codes))
+def scan(rows: DataFrame, keys: list[str], betas, codes, before: bool, mark: bool = False, unit: int = UNIT) -> DataFrame:
+    """keys and the decayed sums of each code and beta up to the row in the order (time, kind, seq), or before it.
+
+    rows: symbol, time, kind, seq, event_code (null if not an event), weight, keep (whether the row is asked for) and
+    keys, which name a row. Each row stands once per beta, so one pass serves all of them.
+    """
+    each = F.explode(F.array(*(F.struct(F.lit(p).alias("p"), F.lit(float(b)).alias("beta"), F.lit(block_of(b, unit)).cast("long").alias("size")) for p, b in enumerate(betas))))
+    x = rows.withColumn("__b", each).select("*", F.col("__b.p").alias("__p"), F.expr("time div __b.size").alias("__k"))
+    x = x.withColumn("__g", F.exp(F.col("__b.beta") * (F.col("time") - F.col("__k") * F.col("__b.size")) / unit))
+    own = {c: F.when(F.col("event_code") == c, F.col("weight") * F.col("__g")) for c in codes}
+    sums = x.where("event_code IS NOT NULL").groupBy("symbol", "__p", "__k", F.expr("exp(-__b.beta * __b.size / %d)" % unit).alias("__d")).agg(*(F.sum(own[c]).alias(f"__s{c}") for c in codes))
+    later = F.inline(F.array(F.struct(F.lit(1).alias("__n"), F.col("__d").alias("__f")), F.struct(F.lit(2).alias("__n"), (F.col("__d") * F.col("__d")).alias("__f"))))
+    carry = sums.select("symbol", "__p", "__k", later, *(f"__s{c}" for c in codes)).select("symbol", "__p", (F.col("__k") + F.col("__n")).alias("__k"), *((F.col(f"__s{c}") * F.col("__f")).alias(f"__s{c}") for c in codes))
+    carry = carry.groupBy("symbol", "__p", "__k").agg(*(F.sum(f"__s{c}").alias(f"__s{c}") for c in codes))
+    w = Window.partitionBy("symbol", "__p", "__k").orderBy("time", "kind", "seq").rowsBetween(Window.unboundedPreceding, -1 if before else 0)
+    x = x.withColumns({f"__r{c}": F.sum(own[c]).over(w) for c in codes}).where("keep").join(carry, ["symbol", "__p", "__k"], "left")
+    zero = F.lit(0.0)
+    x = x.select(*keys, "__p", *(((F.coalesce(F.col(f"__r{c}"), zero) + F.coalesce(F.col(f"__s{c}"), zero)) / F.col("__g")).alias(f"__z{c}") for c in codes))
+    return x.groupBy(*keys).agg(*(F.max(F.when(F.col("__p") == p, F.col(f"__z{c}"))).alias(name_of(c, b, mark)) for p, b in enumerate(betas) for c in codes))
 
 
 def sampled(events: DataFrame, samples: DataFrame, betas=BETAS, codes=CODES, weight: str | None = None, unit: int = UNIT) -> DataFrame:
     """symbol, tick and the states at the samples.
 
-    events: symbol, event_time, event_code (and a weight); an event of the sample's tick with a rank above 0 is later than the sample.
+    events: symbol, event_time, event_code (and a weight). An event of the sample's tick with a rank above 0 is later
+    than the sample, one with rank 0 counts.
     """
-    e = events.select("symbol", F.col("event_time").alias("time"), F.lit(0).alias("kind"), F.col("event_time").alias("seq"), "event_code", (F.col(weight) if weight else F.lit(1.0)).cast("double").alias("__w"), F.lit(None).cast("long").alias("tick"))
-    s = samples.select("symbol", (F.col("tick") * unit).alias("time"), F.lit(1).alias("kind"), F.col("tick").alias("seq"), F.lit(None).cast("int").alias("event_code"), F.lit(0.0).alias("__w"), "tick")
-    x, names = e.unionByName(s), []
-    for b in betas:
-        x = scan(x, b, codes, F.col("__w"), False, bool(weight), unit)
-        names += [name_of(c, b, bool(weight)) for c in codes]
-    return x.where("kind = 1").select("symbol", "tick", *names)
+    e = events.select("symbol", F.col("event_time").alias("time"), F.lit(0).alias("kind"), F.col("event_time").alias("seq"), "event_code", (F.col(weight) if weight else F.lit(1.0)).cast("double").alias("weight"), F.lit(None).cast("long").alias("tick"), F.lit(False).alias("keep"))
+    s = samples.select("symbol", (F.col("tick") * unit).alias("time"), F.lit(1).alias("kind"), F.col("tick").alias("seq"), F.lit(None).cast("int").alias("event_code"), F.lit(0.0).alias("weight"), "tick", F.lit(True).alias("keep"))
+    return scan(e.unionByName(s), ["symbol", "tick"], betas, codes, False, bool(weight), unit)
 
 
 def before_events(events: DataFrame, betas=BETAS, codes=CODES, weight: str | None = None, time: Column | None = None, unit: int = UNIT) -> DataFrame:
-    """events with the states just before each: the event itself doesn't count, earlier ones of its time do."""
+    """events with the states just before each: the event itself doesn't count, earlier ones of its time do.
+
+    (symbol, event_time) must name an event, as it does in an aligned stream.
+    """
     t = F.col("event_time") if time is None else time
-    x = events.withColumns({"time": t.cast("long"), "kind": F.lit(0), "seq": F.col("event_time"), "__w": (F.col(weight) if weight else F.lit(1.0)).cast("double")})
-    for b in betas:
-        x = scan(x, b, codes, F.col("__w"), True, bool(weight), unit)
-    return x.drop("time", "kind", "seq", "__w")
+    x = events.select("symbol", "event_time", "event_code", t.cast("long").alias("time"), F.lit(0).alias("kind"), F.col("event_time").alias("seq"), (F.col(weight) if weight else F.lit(1.0)).cast("double").alias("weight"), F.lit(True).alias("keep"))
+    return events.join(scan(x, ["symbol", "event_time"], betas, codes, True, bool(weight), unit), ["symbol", "event_time"])
 
 
 def before_events_masked(events: DataFrame, touch, betas=BETAS, codes=CODES) -> DataFrame:

@@ -6,6 +6,7 @@ from bisect import bisect_left, bisect_right, insort
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .align import QUOTE, WIDTH
 from .ordered import bucket_of, haloed, last_known, previous
@@ -62,7 +63,7 @@ def rolling_rank(samples: DataFrame, values: list[str], active: str, span: int =
     row's; rows that aren't active have rank 1 and count nowhere. Each bucket's task gets its rows and those of
     one span before, and holds them sorted.
     """
-    schema = samples.schema
+    schema = StructType(list(samples.schema.fields))
     for v in values:
         schema = schema.add(f"{v}_rank", "double")
     schema = schema.add("active_count", "long")

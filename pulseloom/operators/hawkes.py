@@ -10,6 +10,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .align import UNIT
 from .decay import BETAS, CODES, before_events, name_of
@@ -143,7 +144,7 @@ def stationary(fits: DataFrame, most: float = 0.995, betas=BETAS) -> DataFrame:
         shrink = min(1.0, most / radius) if radius > 0 else 1.0
         return pdf.assign(alpha=[(np.asarray(x) * shrink).tolist() for x in pdf["alpha"]], radius=radius, shrink=shrink)
 
-    schema = fits.schema.add("radius", "double").add("shrink", "double")
+    schema = StructType(list(fits.schema.fields)).add("radius", "double").add("shrink", "double")
     return fits.groupBy("symbol").applyInPandas(run, schema)
 
 

@@ -6,6 +6,7 @@ from bisect import bisect_left, insort
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .align import WIDTH
 from .ordered import haloed
@@ -14,7 +15,7 @@ from .ordered import haloed
 def rolling_median_before(rows: DataFrame, value: str, to: str = "median", span: int = 720, width: int = WIDTH) -> DataFrame:
     """rows (symbol, tick, seq, value) with the median of the values of earlier rows, by (tick, seq), of the last
     `span` ticks; rows of the same tick that stand before count, the row itself doesn't. Null if there are none."""
-    schema = rows.schema.add(to, "double")
+    schema = StructType(list(rows.schema.fields)).add(to, "double")
     names = rows.columns
 
     def run(key, pdf):
