@@ -28,7 +28,8 @@ def fit(df: DataFrame, features: list[str], label: str, rounds: int = 160, seed:
     weight = (n - positives) / positives if positives else 1.0
     x = prepared(df, features).withColumn("__weight", F.when(F.col(label) == 1, weight).otherwise(1.0)).withColumn("__label", F.col(label).cast("double"))
     names = [c for f in features for c in (f"__{f}", f"__no_{f}")]
-    gbt = GBTClassifier(featuresCol="__features", labelCol="__label", weightCol="__weight", maxIter=rounds, stepSize=0.05, seed=seed, predictionCol="__prediction", probabilityCol="__probability", rawPredictionCol="__raw", **(parameters(n) | own))
+    gbt = GBTClassifier(featuresCol="__features", labelCol="__label", weightCol="__weight", maxIter=rounds, stepSize=0.05, seed=seed, predictionCol="__prediction", **(parameters(n) | own))
+    gbt.setProbabilityCol("__probability").setRawPredictionCol("__raw")
     return Pipeline(stages=[VectorAssembler(inputCols=names, outputCol="__features"), gbt]).fit(x)
 
 

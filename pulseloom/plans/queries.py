@@ -632,12 +632,14 @@ def mdl6_windowed_radius(spark, sf_dir):
 @query()
 def mdl7_boosted_trees(spark, sf_dir):
     x, names = experiments.matrix(*book_trades(spark, sf_dir))
+    x = x.persist()  # boosting passes over it many times
     return trees.predict(trees.fit(x, names, "a_h10", rounds=5), x, names).select("symbol", "tick", "a_h10", "probability")
 
 
 @query()
 def mdl8_tuned_trees(spark, sf_dir):
     x, names = experiments.matrix(*book_trades(spark, sf_dir))
+    x = x.persist()  # boosting passes over it many times
     model, _ = trees.tuned(x, names, "a_h10", "tick", candidates=2, rounds=3)
     return trees.predict(model, x, names).select("symbol", "tick", "a_h10", "probability")
 
