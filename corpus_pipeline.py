@@ -40,8 +40,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Adds n_tokens and token_ids, and the text that they decode to."""
-    x = bpe.encode(docs, vocabulary("byte_bpe_50k.json"), "n_tokens long, token_ids binary")
-    return bpe.decode(x, vocabulary("byte_bpe_50k.json"), "token_ids", "decoded")
+    return bpe.encode_and_decode(docs, vocabulary("byte_bpe_50k.json"))
 
 
 STAGES = [("quality_classifier", keep_good), ("line_dedup", drop_repeated_lines), ("near_dedup", drop_near_copies), ("decontaminate", drop_contaminated), ("bpe", tokenize)]

@@ -22,7 +22,7 @@ from .common import Memory, annotate, kept
 
 #: Fixed value: the pattern of byte-level vocabularies of this family.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
-CACHE = 400_000  # words of a generation that a worker remembers
+CACHE = 250_000  # words of a generation that a worker remembers
 
 
 def byte_letters() -> list[str]:
@@ -152,6 +152,21 @@ def decode(rows: DataFrame, path: str, ids: str = "ids", to: str = "decoded") ->
     return annotate(rows, run, f"`{to}` string", ids)
 
 
+def encode_and_decode(docs: DataFrame, path: str, ids: str = "token_ids", to: str = "decoded") -> DataFrame:
+    """docs with n_tokens, ids and the text of the ids, made in one pass."""
+
+    def run():
+        bpe = kept(("bpe", path), lambda: Bpe(path))
+
+        def work(texts):
+            made = bpe.encode(texts)
+            return [[len(x) // 4 for x in made], made, list(map(bpe.decode, made))]
+
+        return work
+
+    return annotate(docs, run, f"n_tokens long, `{ids}` binary, `{to}` string")
+
+
 def round_trip(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 for every row of docs (doc_id, text)."""
 

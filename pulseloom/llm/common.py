@@ -66,9 +66,10 @@ def components(edges: DataFrame, name: str = "cc") -> DataFrame:
 
 
 def kept(key: tuple, make):
-    """What make() gives, kept by the worker process for its later tasks; a lost worker just makes it again."""
+    """What make() gives, kept by the worker process for its later tasks of the kind; a lost worker just makes it again."""
     store = sys.__dict__.setdefault("_pulseloom_kept", {})
     if key not in store:
+        store.clear()
         store[key] = make()
     return store[key]
 

@@ -13,18 +13,22 @@ from pyspark.sql import functions as F
 SPAN = 3
 
 
-def solid(lines: Column) -> Column:
-    """Indexes of the lines that aren't blank."""
-    return F.filter(F.sequence(F.lit(0), F.size(lines) - 1), lambda i: F.length(F.trim(F.regexp_replace(F.get(lines, i), r"\s+", " "))) > 0)
+def let(value: Column, then) -> Column:
+    """then(value), with value computed once per row however often it is used."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
 
 
 def windows(docs: DataFrame) -> DataFrame:
     """d, t (doc_id and hash of the text), j (number of the first line), h1, h2 of every window."""
-    x = docs.where(F.col("text").isNotNull()).select(F.col("doc_id").alias("d"), F.xxhash64("text").alias("t"), F.filter(F.split("text", "\n", -1), lambda s: F.length(F.trim(F.regexp_replace(s, r"\s+", " "))) > 0).alias("l"))
-    x = x.where(F.size("l") >= SPAN)
-    at = lambda j, k: F.get(F.col("l"), j + k)
-    made = F.transform(F.sequence(F.lit(0), F.size("l") - SPAN), lambda j: F.struct(j.alias("j"), F.xxhash64(at(j, 0), at(j, 1), at(j, 2)).alias("h1"), F.xxhash64(F.lit(3), at(j, 2), at(j, 0), at(j, 1)).alias("h2")))
-    return x.select("d", "t", F.inline(made))
+    lines = F.filter(F.split("text", "\n", -1), lambda s: s.rlike(r"\S"))
+
+    def hashes(x: Column) -> Column:
+        at = lambda j, k: F.get(x, j + k)
+        one = lambda j: F.struct(j.alias("j"), F.xxhash64(at(j, 0), at(j, 1), at(j, 2)).alias("h1"), F.xxhash64(F.lit(3), at(j, 2), at(j, 0), at(j, 1)).alias("h2"))
+        return F.when(F.size(x) >= SPAN, F.transform(F.sequence(F.lit(0), F.size(x) - SPAN), one))
+
+    x = docs.where(F.col("text").isNotNull())
+    return x.select(F.col("doc_id").alias("d"), F.xxhash64("text").alias("t"), F.inline(let(lines, hashes)))
 
 
 def later_windows(docs: DataFrame) -> DataFrame:
@@ -46,17 +50,15 @@ def dedup_lines(docs: DataFrame, count: str = "n_removed", drop_emptied: bool =
     """
     cover = later_windows(docs).groupBy("d", "t").agg(F.collect_set("j").alias("__js"))  # at most a document's lines
     x = docs.drop(count).withColumn("__t", F.xxhash64("text")).join(cover.select(F.col("d").alias("__d"), F.col("t").alias("__u"), "__js"), F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("__t") == F.col("__u")), "left")
-    lines = F.split("text", "\n", -1)
-    x = x.withColumn("__lines", F.when(F.col("__js").isNotNull(), lines)).withColumn("__solid", F.when(F.col("__js").isNotNull(), solid(F.col("__lines"))))
-    gone = F.array_distinct(F.flatten(F.transform("__js", lambda j: F.slice(F.col("__solid"), j + 1, SPAN))))
-    x = x.withColumn("__gone", gone)
-    kept = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), F.col("__gone"))
-    text = F.array_join(F.transform(kept, lambda i: F.get(F.col("__lines"), i)), "\n")
-    x = x.withColumn("__new", F.when(F.col("__gone").isNull(), F.col("text")).otherwise(text))
-    x = x.withColumn(count, F.coalesce(F.size("__gone"), F.lit(0)).cast("long"))
+    solid = lambda lines: F.filter(F.sequence(F.lit(0), F.size(lines) - 1), lambda i: F.get(lines, i).rlike(r"\S"))
+    covered = lambda places: F.array_distinct(F.flatten(F.transform("__js", lambda j: F.slice(places, j + 1, SPAN))))
+    without = lambda lines, gone: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone), lambda i: F.get(lines, i)), "\n")
+    new = let(F.split("text", "\n", -1), lambda lines: let(solid(lines), lambda places: let(covered(places), lambda gone: F.struct(without(lines, gone).alias("text"), F.size(gone).alias("n")))))
+    x = x.withColumn("__new", F.when(F.col("__js").isNotNull(), new))
+    x = x.withColumn(count, F.coalesce(F.col("__new.n"), F.lit(0)).cast("long"))
     if drop_emptied:
-        x = x.where((F.col("__gone").isNull()) | (F.length(F.trim(F.regexp_replace("__new", r"\s+", " "))) > 0))
-    return x.select(*[F.col("__new").alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns if c != count], count)
+        x = x.where(F.col("__new").isNull() | F.col("__new.text").rlike(r"\S"))
+    return x.select(*[F.when(F.col("__new").isNull(), F.col("text")).otherwise(F.col("__new.text")).alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns if c != count], count)
 
 
 SQL = r"""
