@@ -58,6 +58,8 @@ class Bpe:
 
     def merge(self, words: list[bytes]) -> list[list[int]]:
         """The ids of each word."""
+        if not words:
+            return []
         merges, sym, left, right, starts = self.merges, [], [], [], []
         places: dict[int, list[int]] = {}
         heap: list[tuple[int, int]] = []

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import staged
+
 SPAN = 3
 
 
@@ -33,7 +35,7 @@ def windows(docs: DataFrame) -> DataFrame:
 
 def later_windows(docs: DataFrame) -> DataFrame:
     """d, t and j of the windows that occurred before."""
-    w = windows(docs)
+    w = staged(windows(docs), "windows")
     firsts = w.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(F.struct("d", "t", "j")).alias("first")).where("n > 1")
     again = w.join(firsts.select("h1", "h2", "first"), ["h1", "h2"])
     return again.where(~F.struct("d", "t", "j").eqNullSafe(F.col("first"))).select("d", "t", "j")
@@ -49,16 +51,17 @@ def dedup_lines(docs: DataFrame, count: str = "n_removed", drop_emptied: bool =
     like the count is replaced.
     """
     cover = later_windows(docs).groupBy("d", "t").agg(F.collect_set("j").alias("__js"))  # at most a document's lines
-    x = docs.drop(count).withColumn("__t", F.xxhash64("text")).join(cover.select(F.col("d").alias("__d"), F.col("t").alias("__u"), "__js"), F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("__t") == F.col("__u")), "left")
+    x = docs.drop(count).withColumn("__t", F.xxhash64("text")).join(cover.select(F.col("d").alias("__d"), F.col("t").alias("__u"), "__js").hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("__t") == F.col("__u")), "left")
     solid = lambda lines: F.filter(F.sequence(F.lit(0), F.size(lines) - 1), lambda i: F.get(lines, i).rlike(r"\S"))
     covered = lambda places: F.array_distinct(F.flatten(F.transform("__js", lambda j: F.slice(places, j + 1, SPAN))))
     without = lambda lines, gone: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone), lambda i: F.get(lines, i)), "\n")
     new = let(F.split("text", "\n", -1), lambda lines: let(solid(lines), lambda places: let(covered(places), lambda gone: F.struct(without(lines, gone).alias("text"), F.size(gone).alias("n")))))
-    x = x.withColumn("__new", F.when(F.col("__js").isNotNull(), new))
-    x = x.withColumn(count, F.coalesce(F.col("__new.n"), F.lit(0)).cast("long"))
+    result = F.when(F.col("__js").isNull(), F.struct("text", F.lit(0).alias("n"))).otherwise(new)
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in ("text", count)]
+    x = x.select(*others, "__js", F.inline(F.array(result)).alias("__text", "__n"))  # made once per row
     if drop_emptied:
-        x = x.where(F.col("__new").isNull() | F.col("__new.text").rlike(r"\S"))
-    return x.select(*[F.when(F.col("__new").isNull(), F.col("text")).otherwise(F.col("__new.text")).alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns if c != count], count)
+        x = x.where(F.col("__js").isNull() | F.col("__text").rlike(r"\S"))
+    return x.select(*[F.col("__text").alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns if c != count], F.col("__n").cast("long").alias(count))
 
 
 SQL = r"""
