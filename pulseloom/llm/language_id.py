@@ -14,11 +14,11 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import annotate
+from .common import annotate, kept
 
 WORD = re.compile(r"[^\W\d_]+")
-ORDERS = (2, 3, 4)
-CACHE = 200_000
+ORDERS = (2, 3)
+CACHE = 400_000  # words whose scores a worker keeps
 #: First code points of blocks and the script that begins there.
 SCRIPTS = (
     (0x0041, "latin"), (0x0370, "greek"), (0x0400, "cyrillic"), (0x0530, "armenian"), (0x0590, "hebrew"), (0x0600, "arabic"), (0x0900, "devanagari"),
@@ -85,32 +85,46 @@ def learn(docs: DataFrame, use: F.Column, per_language: int = 1500, seed: int =
 class Labeller:
     def __init__(self, model: dict, price: float):
         self.model, self.price, self.n = model, price, len(model["langs"])
+        self.gram = {g: i for i, g in enumerate(model["grams"])}
+        self.logs = np.array(list(model["grams"].values()), np.float32).reshape(-1, max(1, self.n))
         self.row: dict[str, int] = {}
-        self.scores = np.zeros((1024, max(1, self.n)), np.float32)
-
-    def score(self, word: str) -> np.ndarray:
-        """Log odds of the word against its best language; far below for languages not seen in its script."""
-        logs = self.model["grams"]
-        s = np.zeros(self.n, np.float32)
-        for g in grams(word):
-            s += logs[g] if g in logs else logs.get("?" * len(g) + "?", 0)
-        seen = self.model["scripts"].get(script_of(word))
-        if seen is not None and seen.any():
-            s = np.where(seen, s, s.max() - 50)
-        return (s - s.max()) / len(ORDERS)
-
-    def rows(self, words: list[str]) -> np.ndarray:
-        row = self.row
-        new = [w for w in set(words) if w not in row]
-        if len(row) + len(new) > CACHE:
-            row.clear()
-            new = list(set(words))
-        for w in new:
-            i = row[w] = len(row)
-            if i >= len(self.scores):
-                self.scores = np.concatenate([self.scores, np.zeros_like(self.scores)])
-            self.scores[i] = self.score(w)
-        return self.scores[np.fromiter(map(row.__getitem__, words), np.int64, len(words))]
+        self.scores = np.zeros((CACHE, max(1, self.n)), np.float32)
+        self.size = np.zeros(CACHE, np.int32)
+
+    def score(self, words: list[str]) -> np.ndarray:
+        """Log odds of each word against its best language; far below for languages not seen in its script."""
+        get, found, starts = self.gram.get, [], []
+        rare = {n: self.gram.get("?" * n + "?", 0) for n in ORDERS}
+        for word in words:
+            starts.append(len(found))
+            w = f"^{word.lower()}$"
+            for n in ORDERS:
+                found += [get(w[i : i + n], rare[n]) for i in range(len(w) - n + 1)]
+        s = np.add.reduceat(self.logs[found], starts, 0)
+        for script in {script_of(w) for w in words}:
+            seen = self.model["scripts"].get(script)
+            if seen is not None and seen.any() and not seen.all():
+                own = np.array([script_of(w) == script for w in words])
+                s[own] = np.where(seen, s[own], s[own].max(1, keepdims=True) - 50)
+        return (s - s.max(1, keepdims=True)) / len(ORDERS)
+
+    def learn(self, words: set[str]) -> None:
+        """Scores what it has no scores of; makes room by forgetting all."""
+        new = [w for w in words if w not in self.row]
+        if len(self.row) + len(new) > len(self.size):
+            self.row.clear()
+            new = list(words)
+        if not new:
+            return
+        if len(new) > len(self.size):
+            self.scores, self.size = np.zeros((len(new), self.n), np.float32), np.zeros(len(new), np.int32)
+        at = len(self.row)
+        self.row.update(zip(new, range(at, at + len(new)), strict=True))
+        self.scores[at : at + len(new)] = self.score(new)
+        self.size[at : at + len(new)] = list(map(len, new))
+
+    def places(self, words: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.row.__getitem__, words), np.int64, len(words))
 
     def label(self, s: np.ndarray) -> np.ndarray:
         """The best language of each word, switches priced."""
@@ -136,19 +150,26 @@ class Labeller:
         found = list(WORD.finditer(text or ""))
         if not found or not self.n:
             return []
-        labels = self.label(self.rows([m[0] for m in found]))
+        self.learn({m[0] for m in found})
+        labels = self.label(self.scores[self.places([m[0] for m in found])])
         cuts = [0, *(np.flatnonzero(np.diff(labels)) + 1).tolist(), len(labels)]
         return [(found[i].start(), found[j - 1].end(), self.model["langs"][labels[i]]) for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
 
-    def document(self, text: str | None) -> tuple[str, float, int]:
+    def documents(self, texts: list[str | None]) -> list[tuple[str, float, int]]:
         """Language, its share of the letters, number of spans."""
-        words = WORD.findall(text) if text else []
-        if not words or not self.n:
-            return "und", 0.0, 0
-        labels = self.label(self.rows(words))
-        letters = np.bincount(labels, np.fromiter(map(len, words), np.int64, len(words)), self.n)
-        top = int(letters.argmax())
-        return self.model["langs"][top], float(letters[top] / letters.sum()), 1 + int((np.diff(labels) != 0).sum())
+        rows = [WORD.findall(t) if t and self.n else [] for t in texts]
+        self.learn(set().union(*rows))
+        out = []
+        for words in rows:
+            if not words:
+                out.append(("und", 0.0, 0))
+                continue
+            at = self.places(words)
+            labels = self.label(self.scores[at])
+            letters = np.bincount(labels, self.size[at], self.n)
+            top = int(letters.argmax())
+            out.append((self.model["langs"][top], float(letters[top] / letters.sum()), 1 + int((labels[1:] != labels[:-1]).sum())))
+        return out
 
 
 def identify(docs: DataFrame, model: dict, price: float = 8.0, prefix: str = "") -> DataFrame:
@@ -160,8 +181,8 @@ def identify(docs: DataFrame, model: dict, price: float = 8.0, prefix: str = "")
     sent = docs.sparkSession.sparkContext.broadcast(model)  # bounded by learn()'s sample
 
     def run():
-        labeller = Labeller(sent.value, price)
-        return lambda texts: list(zip(*map(labeller.document, texts), strict=True)) or [[]] * 3
+        labeller = kept(("language", sent.id), lambda: Labeller(sent.value, price))
+        return lambda texts: list(zip(*labeller.documents(texts), strict=True)) or [[]] * 3
 
     return annotate(docs, run, f"{prefix}lang_pred string, {prefix}score double, {prefix}n_spans long")
 
