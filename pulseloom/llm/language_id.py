@@ -8,6 +8,7 @@ language is the one whose spans hold most letters.
 from __future__ import annotations
 
 import re
+import uuid
 from collections import Counter
 
 import numpy as np
@@ -178,10 +179,10 @@ def identify(docs: DataFrame, model: dict, price: float = 8.0, prefix: str = "")
     `und` with score 0 for a null text, a text without letters or a model without languages. Equal shares go to
     the language first in order. Input columns that have a result's name are replaced.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # bounded by learn()'s sample
+    sent, name = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex  # bounded by learn()'s sample
 
     def run():
-        labeller = kept(("language", sent.id), lambda: Labeller(sent.value, price))
+        labeller = kept(("language", name), lambda: Labeller(sent.value, price))
         return lambda texts: list(zip(*labeller.documents(texts), strict=True)) or [[]] * 3
 
     return annotate(docs, run, f"{prefix}lang_pred string, {prefix}score double, {prefix}n_spans long")
