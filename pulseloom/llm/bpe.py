@@ -182,4 +182,4 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
 
         return work
 
-    return annotate(docs.select("doc_id", "text"), run, "n_tokens long, ids_sha256 string, decoded_sha256 string").drop("text")
+    return annotate(docs.select("doc_id", "text"), run, "n_tokens long, ids_sha256 string, decoded_sha256 string", drop=("text",))

@@ -94,11 +94,11 @@ class Memory:
         return self.young
 
 
-def annotate(docs: DataFrame, run, fields: str, column: str = "text", step: int = 500) -> DataFrame:
+def annotate(docs: DataFrame, run, fields: str, column: str = "text", step: int = 500, drop: tuple[str, ...] = ()) -> DataFrame:
     """docs with columns that run makes of one column: run() gives a function from a list of values to a list of columns.
 
-    fields is a DDL list. An input column that has the name of a field is replaced. Rows go through in
-    slices of `step`, so a worker holds few texts at once.
+    fields is a DDL list. An input column that has the name of a field is replaced, those in drop are left out.
+    Rows go through in slices of `step`, so a worker holds few texts at once.
     """
     import pyarrow as pa
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -106,7 +106,8 @@ def annotate(docs: DataFrame, run, fields: str, column: str = "text", step: int
 
     added = StructType.fromDDL(fields)
     rest = docs.select([F.col(f"`{c}`") for c in docs.columns if c not in added.names])
-    schema = StructType(rest.schema.fields + added.fields)
+    passed = [i for i, c in enumerate(rest.columns) if c not in drop]
+    schema = StructType([rest.schema.fields[i] for i in passed] + added.fields)
     types = [f.type for f in to_arrow_schema(added)]
     names = schema.names
     at = rest.columns.index(column)
@@ -117,6 +118,6 @@ def annotate(docs: DataFrame, run, fields: str, column: str = "text", step: int
             for i in range(0, whole.num_rows, step):
                 b = whole.slice(i, step)
                 made = work(b.column(at).to_pylist())
-                yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(x, t) for x, t in zip(made, types, strict=True))], names)
+                yield pa.RecordBatch.from_arrays([*(b.column(k) for k in passed), *(pa.array(x, t) for x, t in zip(made, types, strict=True))], names)
 
     return rest.mapInArrow(mapped, schema)

@@ -147,10 +147,20 @@ def blocks_of(benchmark: DataFrame, most: int):
             if n >= most:
                 yield block
                 block, n = [], 0
-    yield block
+    yield block  # the last may be empty
 
 
-def find_items(docs: DataFrame, benchmark: DataFrame, window: int = 13, prefix: str = "", block_words: int = BLOCK_WORDS) -> DataFrame:
+def with_last(items):
+    """The items, each with whether it is the last."""
+    items = iter(items)
+    held = next(items)
+    for x in items:
+        yield held, False
+        held = x
+    yield held, True
+
+
+def find_items(docs: DataFrame, benchmark: DataFrame, window: int = 13, prefix: str = "", block_words: int = BLOCK_WORDS, drop: tuple[str, ...] = ()) -> DataFrame:
     """docs with n_words, n_hit (words within an occurrence of a window), longest (words of the longest run shared
     with an item), items (sorted ids of items with occurring windows) and hits (a bit per word), each name after prefix.
 
@@ -160,7 +170,7 @@ def find_items(docs: DataFrame, benchmark: DataFrame, window: int = 13, prefix:
     items change nothing but their own rows. Input columns that have a result's name are replaced.
     """
     spark = docs.sparkSession
-    for i, block in enumerate(blocks_of(benchmark, block_words)):
+    for i, (block, last) in enumerate(with_last(blocks_of(benchmark, block_words))):
         sent = spark.sparkContext.broadcast(block)
         first = i == 0
         fields = FIELDS.format(p=prefix)
@@ -183,10 +193,10 @@ def find_items(docs: DataFrame, benchmark: DataFrame, window: int = 13, prefix:
             return work
 
         if first:
-            docs = annotate(docs, run, fields)
+            docs = annotate(docs, run, fields, drop=drop if last else ())
         else:
             state = F.struct(F.col("text").alias("t"), *(F.col(f"`{c}`").alias(k) for c, k in zip(before, "hil", strict=True)))
-            docs = annotate(docs.withColumn(f"{prefix}state", state), run, fields, f"{prefix}state").drop(f"{prefix}state")
+            docs = annotate(docs.withColumn(f"{prefix}state", state), run, fields, f"{prefix}state", drop=(f"{prefix}state", *(drop if last else ())))
     return docs
 
 

@@ -161,4 +161,4 @@ def extract(pages: DataFrame, html: str = "html") -> DataFrame:
 
         return work
 
-    return annotate(pages, run, "text string, n_chars long", html).drop(html)
+    return annotate(pages, run, "text string, n_chars long", html, drop=(html,))

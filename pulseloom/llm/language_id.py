@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 import uuid
+from array import array
 from collections import Counter
 
 import numpy as np
@@ -19,7 +20,7 @@ from .common import annotate, kept
 
 WORD = re.compile(r"[^\W\d_]+")
 ORDERS = (2, 3)
-CACHE = 400_000  # words whose scores a worker keeps
+CACHE = 300_000  # words whose scores a worker keeps
 #: First code points of blocks and the script that begins there.
 SCRIPTS = (
     (0x0041, "latin"), (0x0370, "greek"), (0x0400, "cyrillic"), (0x0530, "armenian"), (0x0590, "hebrew"), (0x0600, "arabic"), (0x0900, "devanagari"),
@@ -89,23 +90,25 @@ class Labeller:
         self.gram = {g: i for i, g in enumerate(model["grams"])}
         self.logs = np.array(list(model["grams"].values()), np.float32).reshape(-1, max(1, self.n))
         self.row: dict[str, int] = {}
+        self.script: dict[str, str] = {}
         self.scores = np.zeros((CACHE, max(1, self.n)), np.float32)
         self.size = np.zeros(CACHE, np.int32)
 
     def score(self, words: list[str]) -> np.ndarray:
         """Log odds of each word against its best language; far below for languages not seen in its script."""
-        get, found, starts = self.gram.get, [], []
+        get, found, starts = self.gram.get, array("i"), []
         rare = {n: self.gram.get("?" * n + "?", 0) for n in ORDERS}
+        scripts = [self.script.get(w[0]) or self.script.setdefault(w[0], script_of(w)) for w in words]
         for word in words:
             starts.append(len(found))
             w = f"^{word.lower()}$"
             for n in ORDERS:
-                found += [get(w[i : i + n], rare[n]) for i in range(len(w) - n + 1)]
-        s = np.add.reduceat(self.logs[found], starts, 0)
-        for script in {script_of(w) for w in words}:
+                found.extend([get(w[i : i + n], rare[n]) for i in range(len(w) - n + 1)])
+        s = np.add.reduceat(self.logs[np.frombuffer(found, np.int32)], starts, 0)
+        for script in set(scripts):
             seen = self.model["scripts"].get(script)
             if seen is not None and seen.any() and not seen.all():
-                own = np.array([script_of(w) == script for w in words])
+                own = np.array([x == script for x in scripts])
                 s[own] = np.where(seen, s[own], s[own].max(1, keepdims=True) - 50)
         return (s - s.max(1, keepdims=True)) / len(ORDERS)
 
@@ -151,14 +154,15 @@ class Labeller:
         found = list(WORD.finditer(text or ""))
         if not found or not self.n:
             return []
-        self.learn({m[0] for m in found})
-        labels = self.label(self.scores[self.places([m[0] for m in found])])
+        words = [m[0].lower() for m in found]
+        self.learn(set(words))
+        labels = self.label(self.scores[self.places(words)])
         cuts = [0, *(np.flatnonzero(np.diff(labels)) + 1).tolist(), len(labels)]
         return [(found[i].start(), found[j - 1].end(), self.model["langs"][labels[i]]) for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
 
     def documents(self, texts: list[str | None]) -> list[tuple[str, float, int]]:
         """Language, its share of the letters, number of spans."""
-        rows = [WORD.findall(t) if t and self.n else [] for t in texts]
+        rows = [WORD.findall(t.lower()) if t and self.n else [] for t in texts]
         self.learn(set().union(*rows))
         out = []
         for words in rows:
@@ -173,7 +177,7 @@ class Labeller:
         return out
 
 
-def identify(docs: DataFrame, model: dict, price: float = 8.0, prefix: str = "") -> DataFrame:
+def identify(docs: DataFrame, model: dict, price: float = 8.0, prefix: str = "", drop: tuple[str, ...] = ()) -> DataFrame:
     """docs with lang_pred, score (the language's share of the letters) and n_spans, each name after prefix.
 
     `und` with score 0 for a null text, a text without letters or a model without languages. Equal shares go to
@@ -185,7 +189,7 @@ def identify(docs: DataFrame, model: dict, price: float = 8.0, prefix: str = "")
         labeller = kept(("language", name), lambda: Labeller(sent.value, price))
         return lambda texts: list(zip(*labeller.documents(texts), strict=True)) or [[]] * 3
 
-    return annotate(docs, run, f"{prefix}lang_pred string, {prefix}score double, {prefix}n_spans long")
+    return annotate(docs, run, f"{prefix}lang_pred string, {prefix}score double, {prefix}n_spans long", drop=drop)
 
 
 def label_spans(docs: DataFrame, model: dict, price: float = 8.0) -> DataFrame:

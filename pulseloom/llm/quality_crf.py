@@ -170,7 +170,7 @@ def learn(docs: DataFrame, labels: DataFrame, use: F.Column, most: int = 6000, s
 
         return work
 
-    rows = annotate(sample, run, "f binary, s binary").select("doc_id", "quality", "f", "s").collect()
+    rows = annotate(sample, run, "f binary, s binary", drop=("text",)).select("doc_id", "quality", "f", "s").collect()
     if not rows:
         return {}
     rows.sort(key=lambda r: (r["doc_id"], r["f"]))
@@ -178,7 +178,7 @@ def learn(docs: DataFrame, labels: DataFrame, use: F.Column, most: int = 6000, s
     return fit(feats, [np.frombuffer(r["s"], np.float64) for r in rows], np.array([float(r["quality"] == 1) for r in rows]))
 
 
-def score(docs: DataFrame, model: dict, field: str = "score") -> DataFrame:
+def score(docs: DataFrame, model: dict, field: str = "score", drop: tuple[str, ...] = ()) -> DataFrame:
     """docs with the probability of label 1; a null, empty or blank text is scored as one empty line."""
     sent = docs.sparkSession.sparkContext.broadcast(model)  # a few hundred numbers
 
@@ -196,4 +196,4 @@ def score(docs: DataFrame, model: dict, field: str = "score") -> DataFrame:
 
         return work
 
-    return annotate(docs, run, f"`{field}` double")
+    return annotate(docs, run, f"`{field}` double", drop=drop)

@@ -44,7 +44,7 @@ def counts_of(text: str | None) -> tuple[int, int, int, int, int]:
 
 
 def base_counts(docs: DataFrame) -> DataFrame:
-    return annotate(docs, lambda: lambda texts: list(zip(*map(counts_of, texts), strict=True)) or [[]] * 5, COUNTS)
+    return annotate(docs, lambda: lambda texts: list(zip(*map(counts_of, texts), strict=True)) or [[]] * 5, COUNTS, drop=("text",))
 
 
 def quality_rules(docs: DataFrame, host: str = "source", min_words: int = 50, repeat_percent: int = 50, max_rate: float = 0.5) -> DataFrame:
@@ -56,7 +56,7 @@ def quality_rules(docs: DataFrame, host: str = "source", min_words: int = 50, re
     kept: it did not fail and its host's rate is at most max_rate. A null text counts as empty and fails. Repeated
     rows count each time; an empty table gives an empty result.
     """
-    x = base_counts(docs.select("doc_id", F.col(host).alias("host"), "text")).drop("text")
+    x = base_counts(docs.select("doc_id", F.col(host).alias("host"), "text"))
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > repeat_percent * F.col("n_words"))
     x = staged(x.withColumn("base_failed", failed), "rules")
     hosts = x.groupBy("host").agg(F.count("*").alias("n"), F.sum(F.col("base_failed").cast("int")).alias("f"))
