@@ -58,6 +58,18 @@ def with_rates(x: DataFrame, fits: DataFrame) -> DataFrame:
     return x.drop("__f")
 
 
+def with_marks_and_regime(x: DataFrame, book: DataFrame, trades: DataFrame, width: int = 1440) -> tuple[DataFrame, list[str]]:
+    """x with the states of trades weighed by their relative size and with the radius of the last finished window (null
+    before the first), and the new columns' names."""
+    events = align.aligned(book, trades)
+    size = marks.trade_size_marks(trades).select("symbol", F.col("id").alias("source_id"), F.lit("trades").alias("source"), "mark")
+    sized = events.where("event_code >= 8").join(size, ["symbol", "source", "source_id"])
+    states = decay.sampled(sized, features.grid(book, lead=3), decay.BETAS, (8, 9), "mark")
+    radius = step_function(x.select("symbol", "tick"), regime(events, width)).withColumnRenamed("value", "regime")
+    names = [decay.name_of(c, b, True) for b in decay.BETAS for c in (8, 9)] + ["regime"]
+    return x.join(states, ["symbol", "tick"]).join(radius, ["symbol", "tick"]), names
+
+
 def scores(x: DataFrame, label: str) -> dict:
     r = x.agg(F.count("*").alias("n"), F.avg(label).alias("prevalence"), metrics.brier(F.col(label), F.col("probability")).alias("brier"), F.avg(metrics.log_loss(F.col(label), F.col("probability"))).alias("log_loss")).first()
     ap = metrics.average_precision(x.select("symbol", "tick", label, "probability"), label, "probability", ["tick", "symbol"]).first()
@@ -65,9 +77,11 @@ def scores(x: DataFrame, label: str) -> dict:
 
 
 def learning_curve(book: DataFrame, trades: DataFrame, budgets, label: str = "a_h10", test: int = 1440 * 5, rounds: int = 160, most: int = 5000) -> DataFrame:
-    """A row per budget of training time and model: m0 (book), m1 (and decayed counts), m2 (book and intensities)."""
+    """A row per budget of training time and model: m0 (book), m1 (and decayed counts), m2 (book and intensities), m3 (m1
+    with weighted counts of trades and the regime)."""
     spark = book.sparkSession
     x, names = matrix(book, trades)
+    x, extra = with_marks_and_regime(x, book, trades)
     x = x.persist()
     last = x.agg(F.max("tick")).first()[0]
     held = x.where(F.col("tick") >= last - test)
@@ -79,7 +93,7 @@ def learning_curve(book: DataFrame, trades: DataFrame, budgets, label: str = "a_
             continue
         span = events.where((F.col("tick") >= last - test - width) & (F.col("tick") < last - test))
         fits = hawkes.fit(span, most, BETAS)
-        for model, own in (("m0", M0), ("m1", names), ("m2", M0 + RATES)):
+        for model, own in (("m0", M0), ("m1", names), ("m2", M0 + RATES), ("m3", names + extra)):
             a, b = (with_rates(train, fits), with_rates(held, fits)) if model == "m2" else (train, held)
             got = scores(trees.predict(trees.fit(a, own, label, rounds), b, own), label)
             rows.append((model, width, got["n"], got["prevalence"], got["brier"], got["log_loss"], got["pr_auc"]))

@@ -644,6 +644,13 @@ def mdl8_tuned_trees(spark, sf_dir):
     return trees.predict(model, x, names).select("symbol", "tick", "a_h10", "probability")
 
 
+@query()
+def sta3_marks_and_regime(spark, sf_dir):
+    b, t = book_trades(spark, sf_dir)
+    x, names = experiments.with_marks_and_regime(features.grid(b, lead=3), b, t)
+    return x.select("symbol", "tick", *names)
+
+
 @query()
 def exp1_learning_curve(spark, sf_dir):
     return experiments.learning_curve(*book_trades(spark, sf_dir), budgets=(1440 * 5, 1440 * 15), rounds=3)
