@@ -339,7 +339,7 @@ def groups(docs: DataFrame, k: int, threshold: float, trees: int = 10, rounds: i
         rows = classes.select("cid", "sig")
         rows = rows.join(comps, rows.cid == comps.node, "left").select("cid", F.coalesce("comp", "cid").alias("comp"), "sig") if comps is not None else rows.withColumn("comp", F.col("cid"))
         every = step == 2
-        rows = split_nodes(rows, own, threshold, rounds, step, every)
+        rows = split_nodes(rows, own, threshold, rounds if every else 1, step, every)
         if every:
             new = node_links(rows, docs, classes, least, k, percent)
         else:
