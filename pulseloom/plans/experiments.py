@@ -85,7 +85,7 @@ def learning_curve(book: DataFrame, trades: DataFrame, budgets, label: str = "a_
     x = x.persist()
     last = x.agg(F.max("tick")).first()[0]
     held = x.where(F.col("tick") >= last - test)
-    events = align.aligned(book, trades)
+    events = align.aligned(book, trades).persist()
     rows = []
     for width in budgets:
         train = train_window(x, "tick", test, width)
@@ -98,6 +98,7 @@ def learning_curve(book: DataFrame, trades: DataFrame, budgets, label: str = "a_
             got = scores(trees.predict(trees.fit(a, own, label, rounds), b, own), label)
             rows.append((model, width, got["n"], got["prevalence"], got["brier"], got["log_loss"], got["pr_auc"]))
     x.unpersist()
+    events.unpersist()
     return spark.createDataFrame(rows, "model string, budget long, n long, prevalence double, brier double, log_loss double, pr_auc double")
 
 
@@ -132,7 +133,7 @@ def order_only(book: DataFrame, trades: DataFrame, most: int = 100_000, symbol:
     """The same when only the order changes; and, as masked, with states that ignore the other feed in mixed ticks."""
     from ..sources.feeds import TOUCH
 
-    events = align.aligned(book, trades).where(F.col("symbol") == symbol)
+    events = align.aligned(book, trades).where(F.col("symbol") == symbol).persist()  # read by four fits
     turned = causality.quotes_first(events)
     plain = causality.gamma_change(gamma_of(events, most, symbol), gamma_of(turned, most, symbol)).withColumn("states", F.lit("ordered"))
     a, b = (gamma_of(e, most, symbol, decay.before_events_masked(e, TOUCH, BETAS)) for e in (events, turned))

@@ -78,6 +78,13 @@ def events(spark: SparkSession, sf_dir: str, rule: str = "trades_first") -> Data
     return align.aligned(*book_trades(spark, sf_dir), rule)
 
 
+def stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The aligned stream as a written table, for what reads it several times."""
+    path = files.shared_path(spark, "aligned")
+    events(spark, sf_dir).write.parquet(path)
+    return spark.read.parquet(path)
+
+
 # Sources and sinks
 
 
@@ -599,12 +606,12 @@ def win16_windows(spark, sf_dir):
 
 @query()
 def mdl1_hawkes_fit(spark, sf_dir):
-    return hawkes.fit(events(spark, sf_dir), 5000)
+    return hawkes.fit(stored(spark, sf_dir), 5000)
 
 
 @query()
 def mdl2_stationary_gamma(spark, sf_dir):
-    return hawkes.gamma(hawkes.stationary(hawkes.fit(events(spark, sf_dir), 5000)))
+    return hawkes.gamma(hawkes.stationary(hawkes.fit(stored(spark, sf_dir), 5000)))
 
 
 @query()
@@ -615,18 +622,18 @@ def mdl3_marked_fit(spark, sf_dir):
 
 @query()
 def mdl4_profiled_mu(spark, sf_dir):
-    e = events(spark, sf_dir)
+    e = stored(spark, sf_dir)
     return hawkes.profiled(e, hawkes.fit(e, 5000), 5000)
 
 
 @query()
 def mdl5_seasonal_profile(spark, sf_dir):
-    return hawkes.seasonal_profile(events(spark, sf_dir), most=5000)
+    return hawkes.seasonal_profile(stored(spark, sf_dir), most=5000)
 
 
 @query()
 def mdl6_windowed_radius(spark, sf_dir):
-    return hawkes.windowed_radius(events(spark, sf_dir), 1440)
+    return hawkes.windowed_radius(stored(spark, sf_dir), 1440)
 
 
 @query()
@@ -653,12 +660,12 @@ def sta3_marks_and_regime(spark, sf_dir):
 
 @query()
 def exp1_learning_curve(spark, sf_dir):
-    return experiments.learning_curve(*book_trades(spark, sf_dir), budgets=(1440 * 5, 1440 * 15), rounds=3)
+    return experiments.learning_curve(*book_trades(spark, sf_dir), budgets=(1440 * 15,), rounds=2)
 
 
 @query()
 def exp2_walk_forward(spark, sf_dir):
-    return experiments.walk_forward(*book_trades(spark, sf_dir), training_days=10, rounds=3, most_folds=2)
+    return experiments.walk_forward(*book_trades(spark, sf_dir), training_days=10, rounds=2, most_folds=1)
 
 
 @query()
@@ -678,12 +685,12 @@ def exp5_label_grid(spark, sf_dir):
 
 @query()
 def exp7_seasonal_gain(spark, sf_dir):
-    return hawkes.seasonal_profile(events(spark, sf_dir), most=5000).select("symbol", "target", (F.col("loglik") - F.col("constant")).alias("gain"))
+    return hawkes.seasonal_profile(stored(spark, sf_dir), most=5000).select("symbol", "target", (F.col("loglik") - F.col("constant")).alias("gain"))
 
 
 @query()
 def exp8_transfer(spark, sf_dir):
-    return experiments.transfer(events(spark, sf_dir), "S0", 5000)
+    return experiments.transfer(stored(spark, sf_dir), "S0", 5000)
 
 
 # Streaming
