@@ -65,6 +65,11 @@ def components(edges: DataFrame, name: str = "cc") -> DataFrame:
     return e.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct())
 
 
+def small_batches(spark: SparkSession, most: int = 4 << 20) -> None:
+    """Bounds the bytes of a batch that goes to a Python worker; by rows alone, long texts would make it any size."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(most))
+
+
 def kept(key: tuple, make):
     """What make() gives, kept by the worker process for its later tasks of the kind; a lost worker just makes it again."""
     store = sys.__dict__.setdefault("_pulseloom_kept", {})
@@ -104,6 +109,7 @@ def annotate(docs: DataFrame, run, fields: str, column: str = "text", step: int
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
+    small_batches(docs.sparkSession)
     added = StructType.fromDDL(fields)
     rest = docs.select([F.col(f"`{c}`") for c in docs.columns if c not in added.names])
     passed = [i for i, c in enumerate(rest.columns) if c not in drop]

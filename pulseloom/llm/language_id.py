@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import annotate, kept
+from .common import annotate, kept, small_batches
 
 WORD = re.compile(r"[^\W\d_]+")
 ORDERS = (2, 3)
@@ -45,6 +45,7 @@ def learn(docs: DataFrame, use: F.Column, per_language: int = 1500, seed: int =
     That bound on the sample is the only one: rows are taken by a hash of doc_id under a rate that each
     language's count gives. Without a labelled row the model knows no language.
     """
+    small_batches(docs.sparkSession)
     labelled = docs.where(use & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
     counts = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}
     langs = sorted(counts)

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from .common import components, kept, staged
+from .common import components, kept, small_batches, staged
 
 T = 64  # coordinates of a signature
 SMALL = 1024  # classes in a node that are compared exhaustively
@@ -330,6 +330,7 @@ def confirm(pairs: DataFrame, docs: DataFrame, classes: DataFrame, k: int, perce
 
 def groups(docs: DataFrame, k: int, threshold: float, trees: int = 10, rounds: int = 4) -> DataFrame:
     """doc_id, rk, n_shingles, comp (null without shingles) and component_id for every row of docs."""
+    small_batches(docs.sparkSession)
     percent = round(100 * threshold)
     least = threshold - 4 * (threshold * (1 - threshold) / T) ** 0.5
     sigs = staged(signatures(docs, k), "signatures")

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bpe import byte_letters
-from .common import kept, staged
+from .common import kept, small_batches, staged
 
 CACHE = 500_000  # words of a generation that a worker remembers
 #: Python's split() takes these for white space, the tokenizers library does not.
@@ -99,6 +99,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, stripe
     Null texts count as empty. Null doc_ids come first; rows with equal doc_ids are ordered by text, nulls first.
     An empty table makes no rows. Columns other than doc_id and text are not stored.
     """
+    small_batches(docs.sparkSession)
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches):
@@ -141,4 +142,5 @@ def checksums(tokens: DataFrame) -> DataFrame:
             crc = [zlib.crc32(flat[x:y].tobytes()) for x, y in zip(at[:-1], at[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
+    small_batches(tokens.sparkSession)
     return tokens.select("doc_id", "start", "n_tokens", "ids").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
