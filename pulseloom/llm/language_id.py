@@ -138,16 +138,16 @@ class Labeller:
         c = np.concatenate([np.zeros((1, self.n)), np.cumsum(s - s[:, best : best + 1], 0, dtype=np.float64)])
         if (c - np.minimum.accumulate(c)).max() <= self.price:
             return np.full(len(s), best)
-        v, back = s[0].astype(np.float64), np.zeros((len(s), self.n), np.int32)
-        for t in range(1, len(s)):
-            top = int(v.argmax())
-            stay = v >= v[top] - self.price
-            back[t] = np.where(stay, np.arange(self.n), top)
-            v = np.where(stay, v, v[top] - self.price) + s[t]
+        v, back = s[0].tolist(), []
+        for row in s[1:].tolist():
+            top = max(v)
+            first, least = v.index(top), top - self.price
+            back.append([k if x >= least else first for k, x in enumerate(v)])
+            v = [(x if x >= least else least) + e for x, e in zip(v, row, strict=True)]
         out = np.empty(len(s), np.int64)
-        out[-1] = int(v.argmax())
+        out[-1] = at = v.index(max(v))
         for t in range(len(s) - 1, 0, -1):
-            out[t - 1] = back[t, out[t]]
+            out[t - 1] = at = back[t - 1][at]
         return out
 
     def spans(self, text: str | None) -> list[tuple[int, int, str]]:
