@@ -8,15 +8,17 @@ in some item; nothing outside of them can hold a window, so only they go through
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import annotate
+from .common import annotate, kept
 
 #: A word is a run of digits, letters and characters beyond ASCII; A-Z count as a-z.
 TO_WORDS = bytes(c + 32 if 65 <= c <= 90 else c if c >= 0x80 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
-BLOCK_WORDS = 500_000
+BLOCK_WORDS = 100_000  # an automaton of so many has at most twice as many states
 FIELDS = "{p}n_words long, {p}n_hit long, {p}longest int, {p}items array<string>, {p}hits binary"
 
 
@@ -171,13 +173,13 @@ def find_items(docs: DataFrame, benchmark: DataFrame, window: int = 13, prefix:
     """
     spark = docs.sparkSession
     for i, (block, last) in enumerate(with_last(blocks_of(benchmark, block_words))):
-        sent = spark.sparkContext.broadcast(block)
+        sent, name = spark.sparkContext.broadcast(block), uuid.uuid4().hex
         first = i == 0
         fields = FIELDS.format(p=prefix)
         before = [f"{prefix}hits", f"{prefix}items", f"{prefix}longest"]
 
-        def run(sent=sent, first=first):
-            automaton = Automaton(sent.value, window)
+        def run(sent=sent, name=name, first=first):
+            automaton = kept(("automaton", name), lambda: Automaton(sent.value, window))
 
             def work(rows):
                 out = []
