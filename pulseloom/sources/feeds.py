@@ -24,7 +24,7 @@ TRADES = schema_of("id long, price double, qty double, quote_qty double, time lo
 QUOTES = schema_of("update_id long, best_bid_price double, best_bid_qty double, best_ask_price double, best_ask_qty double, transaction_time long, event_time long")
 FEEDS = {"trades": TRADES, "bookTicker": QUOTES}
 
-#: Event types by code: changes of the best bid, of the best ask, trades.
+#: Event types by code: changes of the best bid, of the best ask, trades.
 EVENT_TYPES = ("bid_qty_up", "bid_qty_down", "bid_price_up", "bid_price_down", "ask_qty_up", "ask_qty_down", "ask_price_up", "ask_price_down", "trade_buy", "trade_sell")
 TOUCH = (2, 3, 6, 7)
 BUY, SELL = 8, 9
