@@ -28,6 +28,7 @@ from .common import components, kept, small_batches, staged
 
 T = 64  # coordinates of a signature
 SMALL = 1024  # classes in a node that are compared exhaustively
+FIRST = 3  # levels of a tree before its nodes are counted
 PART = 128  # classes that are compared at once while links are still few
 CACHE = 300_000  # words whose hashes a worker keeps
 
@@ -99,9 +100,10 @@ def signatures(docs: DataFrame, k: int) -> DataFrame:
 
 
 def plan_of(tree: int, levels: int, threshold: float) -> list[list[int]]:
-    """The coordinates that a tree takes at each level; on average 1 / threshold of them."""
+    """The coordinates that a tree takes at each level: one in the first levels, that all classes go through, then on
+    average 1 / threshold of them."""
     rng = np.random.default_rng(1000 + tree)
-    return [list(rng.choice(T, 1 + int(rng.random() < 1 / threshold - 1), False)) for _ in range(levels)]
+    return [list(rng.choice(T, 1 + int(level >= FIRST and rng.random() < 1 / threshold - 1), False)) for level in range(levels)]
 
 
 def branch(rows: DataFrame, trees: list[int], start: int, levels: int, threshold: float) -> DataFrame:
@@ -276,7 +278,7 @@ def texts_of(ids: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
 
 def split_nodes(rows: DataFrame, trees: list[int], threshold: float, rounds: int, salt: int, every: bool) -> DataFrame:
     """Rows (node, part, cid, comp, sig) of the small nodes; large ones are branched, then dealt out in parts."""
-    done, start, x, small = [], 3, branch(rows, trees, 0, 3, threshold), SMALL if every else PART
+    done, start, x, small = [], FIRST, branch(rows, trees, 0, FIRST, threshold), SMALL if every else PART
     for r in range(rounds + 1):
         size = x.groupBy("tree", "node").agg(F.count("*").alias("n"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("tree", "node", "n")
         x = staged(x.join(size, ["tree", "node"]), "nodes")
