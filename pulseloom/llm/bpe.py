@@ -22,7 +22,7 @@ from .common import Memory, annotate, kept
 
 #: Fixed value: the pattern of byte-level vocabularies of this family.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
-CACHE = 250_000  # words of a generation that a worker remembers
+CACHE = 350_000  # words of a generation that a worker remembers
 
 
 def byte_letters() -> list[str]:
