@@ -1,11 +1,14 @@
 """Near-duplicate documents by a chosen-path similarity join on minwise signatures.
 
 A document is its set of distinct k-word shingles. Equal sets are one class, so copies cost one row.
-Classes are branched by several independent random trees: at each level a tree picks one coordinate of
-the minwise signature (sometimes two, so that a pair as similar as the threshold keeps about one common
-child in expectation) and a class goes to the child named by its minwise token there. Nodes that hold one
-class or one component end; nodes that stay large are branched further. In a small node all classes are
-compared by signature, and what looks similar is confirmed on the full sets.
+Classes are branched by several independent random trees: each node picks one coordinate of the minwise
+signature (sometimes two, so that a pair as similar as the threshold keeps about one common child in
+expectation) and a class goes to the child named by its minwise token there. Nodes that hold one class or
+one component end; nodes that stay large are branched further. In a small node all classes are compared by
+signature, and what looks similar is confirmed on the full sets.
+
+Each level loses some pairs, so trees are added with depth: classes whose nodes are still large get as many
+more trees as keep a pair at the threshold in a common node with a probability of RECALL.
 
 Classes that are already connected need no comparison with each other. So the trees run in rounds: the
 first links most copies through the likeliest pairs of one tree, later ones only look at pairs across
@@ -16,6 +19,8 @@ is dealt out as pairs of blocks.
 
 from __future__ import annotations
 
+from functools import cache
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -29,6 +34,7 @@ from .common import components, kept, small_batches, staged
 T = 64  # coordinates of a signature
 SMALL = 1024  # classes in a node that are compared exhaustively
 FIRST = 3  # levels of a tree before its nodes are counted
+RECALL = 0.99  # least probability that a pair at the threshold shares a node that is compared
 PART = 128  # classes that are compared at once while links are still few
 CACHE = 300_000  # words whose hashes a worker keeps
 
@@ -99,17 +105,49 @@ def signatures(docs: DataFrame, k: int) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, rk long, n_shingles long, cid binary, sig binary")
 
 
-def plan_of(tree: int, levels: int, threshold: float) -> list[list[int]]:
-    """The coordinates that a tree takes at each level: one in the first levels, that all classes go through, then on
-    average 1 / threshold of them."""
-    rng = np.random.default_rng(1000 + tree)
-    return [list(rng.choice(T, 1 + int(level >= FIRST and rng.random() < 1 / threshold - 1), False)) for level in range(levels)]
+@cache
+def trees_for(levels: int, threshold: float, least: int) -> int:
+    """So many trees, `least` or more, that RECALL of simulated pairs at the threshold share a node of them at a level.
+
+    The trees are not independent, as all take from the same T coordinates; so their own nodes are simulated.
+    """
+    rng, n = np.random.default_rng(11), 4000
+    a, b = rng.integers(0, 1 << 16, (2, n, T)).astype(np.uint16)
+    b = np.where(rng.random((n, T)) < threshold, a, b)
+    met, t = np.zeros(n, bool), 0
+    while t < least or met.mean() < RECALL:
+        (i, x), (j, y) = (descend(sig, np.full(n, root(t)), 0, levels, threshold) for sig in (a, b))
+        met[i[np.isin(mixed(x, i, 0), mixed(y, j, 0))]] = True
+        t += 1
+    return t
+
+
+def root(tree: int) -> np.uint64:
+    return np.uint64(0x51ED2701 + tree)
+
+
+def descend(sig: np.ndarray, nodes: np.ndarray, start: int, levels: int, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Places of rows of sig and their nodes `levels` levels under the given ones, which lie at level `start`."""
+    i, n = np.arange(len(sig)), nodes
+    for level in range(start, start + levels):
+        one, other, two = picks(n, level, threshold)
+        i, n, c = np.concatenate([i, i[two]]), np.concatenate([n, n[two]]), np.concatenate([one, other[two]])
+        n = mixed(n, sig[i, c], level * T + c)
+    return i, n
+
+
+def picks(nodes: np.ndarray, level: int, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The coordinate that each node takes, a second one, and whether it takes that too: no node in the first levels,
+    that all classes go through, then so many that nodes take 1 / threshold on average."""
+    h = mixed(nodes, np.full(len(nodes), 1 + level, np.uint64), 1 << 20)
+    one = h % np.uint64(T)
+    other = (one + np.uint64(1) + (h >> np.uint64(8)) % np.uint64(T - 1)) % np.uint64(T)
+    two = (h >> np.uint64(32)).astype(float) / 2**32 < (1 / threshold - 1 if level >= FIRST else 0)
+    return one.astype(int), other.astype(int), two
 
 
 def branch(rows: DataFrame, trees: list[int], start: int, levels: int, threshold: float) -> DataFrame:
     """Adds `levels` levels to the paths of rows (tree, node, cid, comp, sig); from the roots if start is 0."""
-    plans = {t: plan_of(t, 64, threshold) for t in trees}
-
     def run(batches):
         for b in batches:
             sig = np.frombuffer(b"".join(b.column("sig").to_pylist()), np.uint16).reshape(-1, T)
@@ -119,20 +157,18 @@ def branch(rows: DataFrame, trees: list[int], start: int, levels: int, threshold
             else:
                 todo, nodes = [(t, np.arange(b.num_rows)) for t in trees], None
             for t, at in todo:
-                paths = [(at, nodes[at] if start else np.full(len(at), 0x51ED2701 + t, np.uint64))]
-                for level in range(start, start + levels):
-                    paths = [(i, mixed(n, sig[i, c], level * T + int(c))) for i, n in paths for c in plans[t][level]]
-                for i, n in paths:
-                    if len(i):
-                        x = b.take(pa.array(i))
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(i), t, np.int32)), pa.array(n.astype(np.int64)), x.column("cid"), x.column("comp"), x.column("sig")], ["tree", "node", "cid", "comp", "sig"])
+                i, n = descend(sig[at], nodes[at] if start else np.full(len(at), root(t)), start, levels, threshold)
+                for k in range(0, len(i), 10_000):
+                    j, m = at[i[k : k + 10_000]], n[k : k + 10_000]
+                    x = b.take(pa.array(j))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(j), t, np.int32)), pa.array(m.astype(np.int64)), x.column("cid"), x.column("comp"), x.column("sig")], ["tree", "node", "cid", "comp", "sig"])
 
     cols = ["tree", "node", "cid", "comp", "sig"] if start else ["cid", "comp", "sig"]
     return rows.select(*cols).mapInArrow(run, "tree int, node long, cid binary, comp binary, sig binary")
 
 
-def mixed(node: np.ndarray, token: np.ndarray, salt: int) -> np.ndarray:
-    x = (node ^ (token.astype(np.uint64) + np.uint64(salt << 17))) * np.uint64(0x9E3779B97F4A7C15)
+def mixed(node: np.ndarray, token: np.ndarray, salt) -> np.ndarray:
+    x = (node ^ (token.astype(np.uint64) + (np.asarray(salt).astype(np.uint64) << np.uint64(17)))) * np.uint64(0x9E3779B97F4A7C15)
     x ^= x >> np.uint64(31)
     x *= np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(29))
@@ -277,7 +313,10 @@ def texts_of(ids: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def split_nodes(rows: DataFrame, trees: list[int], threshold: float, rounds: int, salt: int, every: bool) -> DataFrame:
-    """Rows (node, part, cid, comp, sig) of the small nodes; large ones are branched, then dealt out in parts."""
+    """Rows (node, part, cid, comp, sig) of the small nodes; large ones are branched, then dealt out in parts.
+
+    Before classes of large nodes are branched in every tree, they get the trees that RECALL needs at the next depth.
+    """
     done, start, x, small = [], FIRST, branch(rows, trees, 0, FIRST, threshold), SMALL if every else PART
     for r in range(rounds + 1):
         size = x.groupBy("tree", "node").agg(F.count("*").alias("n"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("tree", "node", "n")
@@ -287,8 +326,14 @@ def split_nodes(rows: DataFrame, trees: list[int], threshold: float, rounds: int
         if x.isEmpty():
             break
         if r < rounds:
-            x = branch(x, trees, start, 2, threshold)
+            deeper = branch(x, trees, start, 2, threshold)
             start += 2
+            more = list(range(len(trees), trees_for(start, threshold, len(trees)))) if every else []
+            if more:
+                at_risk = x.select("cid", "comp", "sig").dropDuplicates(["cid"])
+                deeper = deeper.unionByName(branch(at_risk, more, 0, start, threshold))
+                trees = trees + more
+            x = deeper
             continue
         parts = F.ceil(F.col("n") / (small // 2 if every else small)).cast("int")
         own = F.pmod(F.xxhash64("cid", F.lit(salt)), parts).cast("int")

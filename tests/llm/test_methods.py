@@ -11,7 +11,7 @@ public_tokenizers = pytest.importorskip("public_tokenizers")
 import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
-from pulseloom.llm import queries
+from pulseloom.llm import near_dedup, queries
 from pulseloom.llm.bpe import Bpe
 from pulseloom.llm.decontaminate import Automaton
 from pulseloom.llm.language_id import Labeller
@@ -52,6 +52,34 @@ def test_near_duplicates_with_a_dense_group(spark):
     assert got == near_truth(texts, 3, 85)
 
 
+def template_pairs(n, shared=170, pair=10, own=15):
+    """n pairs of texts over one template, with words of the pair and of the text: similar by 0.857 in a pair and by
+    0.773 otherwise, at one-word shingles."""
+    base, texts = [f"t{i}" for i in range(shared)], []
+    for p in range(n):
+        both = base + [f"p{p}x{i}" for i in range(pair)]
+        texts += [(2 * p + s, " ".join(both + [f"o{2 * p + s}x{i}" for i in range(own)])) for s in (0, 1)]
+    return texts
+
+
+def test_near_duplicates_in_large_nodes(spark, monkeypatch):
+    """Nodes that stay large to the deepest level. Found is what RECALL promises, less three standard deviations."""
+    monkeypatch.setattr(near_dedup, "SMALL", 16)
+    monkeypatch.setattr(near_dedup, "PART", 8)
+    n, p = 300, 0.99
+    texts = template_pairs(n)
+    got = near_duplicates(spark.createDataFrame(texts, "doc_id long, text string"), 1, 0.85).collect()
+    assert all(r["component_id"] in (r["doc_id"], r["doc_id"] - r["doc_id"] % 2) for r in got)
+    found = sum(not r["kept"] for r in got)
+    assert found >= n * p - 3 * (n * p * (1 - p)) ** 0.5, found
+
+
+def test_trees_grow_with_depth():
+    for threshold in (0.8, 0.85):
+        counts = [near_dedup.trees_for(level, threshold, 10) for level in range(3, 12, 2)]
+        assert counts == sorted(counts) and counts[0] == 10 < counts[-1]
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.text(max_size=60) | st.text("aAbB '.\n\t1éİΣß<|>\x1c é", max_size=40))
 def test_tokenizers_agree(text):
