@@ -640,14 +640,14 @@ def mdl6_windowed_radius(spark, sf_dir):
 def mdl7_boosted_trees(spark, sf_dir):
     x, names = experiments.matrix(*book_trades(spark, sf_dir))
     x = x.persist()  # boosting passes over it many times
-    return trees.predict(trees.fit(x, names, "a_h10", rounds=5), x, names).select("symbol", "tick", "a_h10", "probability")
+    return trees.predict(trees.fit(x, names, "a_h10"), x, names).select("symbol", "tick", "a_h10", "probability")
 
 
 @query()
 def mdl8_tuned_trees(spark, sf_dir):
     x, names = experiments.matrix(*book_trades(spark, sf_dir))
     x = x.persist()  # boosting passes over it many times
-    model, _ = trees.tuned(x, names, "a_h10", "tick", candidates=2, rounds=3)
+    model, _ = trees.tuned(x, names, "a_h10", "tick", candidates=16, rounds=160)
     return trees.predict(model, x, names).select("symbol", "tick", "a_h10", "probability")
 
 
@@ -658,14 +658,17 @@ def sta3_marks_and_regime(spark, sf_dir):
     return x.select("symbol", "tick", *names)
 
 
+BUDGETS = (120, *(1440 * days for days in (1, 3, 7, 14, 23, 31)))  # ticks of training; more than the table has is all of it
+
+
 @query()
 def exp1_learning_curve(spark, sf_dir):
-    return experiments.learning_curve(*book_trades(spark, sf_dir), budgets=(1440 * 15,), rounds=2)
+    return experiments.learning_curve(*book_trades(spark, sf_dir), budgets=BUDGETS)
 
 
 @query()
 def exp2_walk_forward(spark, sf_dir):
-    return experiments.walk_forward(*book_trades(spark, sf_dir), training_days=10, rounds=2, most_folds=1)
+    return experiments.walk_forward(*book_trades(spark, sf_dir), training_days=10)
 
 
 @query()
@@ -680,7 +683,7 @@ def exp4_order_only_gamma(spark, sf_dir):
 
 @query()
 def exp5_label_grid(spark, sf_dir):
-    return experiments.label_grid(*book_trades(spark, sf_dir), rounds=2)
+    return experiments.label_grid(*book_trades(spark, sf_dir))
 
 
 @query()

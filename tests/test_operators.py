@@ -238,6 +238,42 @@ def test_trees(spark):
         trees.tuned(x, ["a"], "y", "t", share=1.5)
 
 
+def test_registered_studies_are_whole(monkeypatch):
+    """No fewer folds, budgets, rounds or candidates than the operators' own and the reference's."""
+    import inspect
+
+    class Frame:
+        def __getattr__(self, name):
+            return lambda *a, **b: self
+
+    calls = {}
+
+    def record(module, name, result):
+        own = inspect.signature(getattr(module, name))
+
+        def call(*a, **b):
+            bound = own.bind(*a, **b)
+            bound.apply_defaults()
+            calls[name] = bound.arguments
+            return result
+
+        monkeypatch.setattr(module, name, call)
+
+    monkeypatch.setattr(queries, "book_trades", lambda *a: (Frame(), Frame()))
+    monkeypatch.setattr(experiments, "matrix", lambda *a: (Frame(), []))
+    for name in ("learning_curve", "walk_forward", "label_grid"):
+        record(experiments, name, Frame())
+    record(trees, "fit", None)
+    record(trees, "tuned", (None, {}))
+    monkeypatch.setattr(trees, "predict", lambda *a: Frame())
+    for name in ("exp1_learning_curve", "exp2_walk_forward", "exp5_label_grid", "mdl7_boosted_trees", "mdl8_tuned_trees"):
+        queries.QUERIES[name](None, SF)
+    assert calls["walk_forward"]["most_folds"] is None and calls["walk_forward"]["rounds"] == 120
+    assert len(calls["learning_curve"]["budgets"]) == 7
+    assert [calls[n]["rounds"] for n in ("learning_curve", "label_grid", "fit", "tuned")] == [160] * 4
+    assert calls["tuned"]["candidates"] == 16
+
+
 def test_files(spark, tmp_path):
     with pytest.raises(ValueError):
         files.items(spark, date(2024, 1, 2), date(2024, 1, 1))
