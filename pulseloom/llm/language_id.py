@@ -134,9 +134,10 @@ class Labeller:
     def label(self, s: np.ndarray) -> np.ndarray:
         """The best language of each word, switches priced."""
         best = int(s.sum(0).argmax())
-        # No stretch gains a switch's price over the best language: then one span is the best labelling.
+        # No stretch gains more than a switch's price over the best language, nor do a first and a last stretch together,
+        # which cost one switch if the best language has no word: then one span is the best labelling.
         c = np.concatenate([np.zeros((1, self.n)), np.cumsum(s - s[:, best : best + 1], 0, dtype=np.float64)])
-        if (c - np.minimum.accumulate(c)).max() <= self.price:
+        if (c - np.minimum.accumulate(c)).max() <= self.price and c.max() + (c[-1] - c).max() <= self.price:
             return np.full(len(s), best)
         v, back = s[0].tolist(), []
         for row in s[1:].tolist():

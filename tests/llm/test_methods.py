@@ -132,6 +132,17 @@ def test_viterbi_takes_the_best_labelling():
         assert value(own.label(s).tolist()) == pytest.approx(best, abs=1e-4)
 
 
+def test_viterbi_without_the_best_language():
+    """One switch between two languages pays for both gains over the language that is best overall."""
+    own = Labeller({"langs": ["a", "b", "c"], "grams": {}, "scripts": {}}, 8.0)
+    assert own.label(np.array([[0, -6, -100], [-100, -6, 0]], np.float32)).tolist() == [0, 2]
+    rng = np.random.default_rng(2)
+    for _ in range(100):
+        s = -rng.integers(0, 9, (5, 3)).astype(np.float32)
+        value = lambda p, s=s: sum(s[i, x] for i, x in enumerate(p)) - 8.0 * sum(a != b for a, b in zip(p, p[1:], strict=False))
+        assert value(own.label(s).tolist()) == max(value(p) for p in np.ndindex(*[3] * 5))
+
+
 def test_marginals():
     rng = np.random.default_rng(1)
     e, trans = rng.normal(size=(2, 4)), rng.normal(size=(2, 2))
