@@ -93,14 +93,21 @@ def solve(x: np.ndarray, weight: float, c: np.ndarray, span: float, l2: float =
     return float(theta[0] / scale[0]), alpha, float(-value(theta)), done
 
 
-def fit(events: DataFrame, most: int = 20_000, betas=BETAS, l2: float = 1e-6, unit: int = UNIT, states: DataFrame | None = None) -> DataFrame:
+def fit(events: DataFrame, most: int = 20_000, betas=BETAS, l2: float = 1e-6, unit: int = UNIT, states: DataFrame | None = None, mark: str | None = None) -> DataFrame:
     """symbol, target, mu, alpha (10 sources times the scales, source by source), loglik, converged, n: a fit for each type.
 
     states: events with their states, if not those of before_events(). Types without events get mu at its floor.
+    mark: a column of weights; the states weighted by it stand beside the plain ones, with alpha_mark of their own.
     """
     names = [name_of(j, b) for j in CODES for b in betas]
+    plain = len(names)
     span = events.groupBy("symbol").agg(((F.max("event_time") - F.min("event_time")) / unit).alias("span"))
     comp = compensators(events, None, betas, CODES, None, unit)
+    if mark:
+        names += [name_of(j, b, True) for j in CODES for b in betas]
+        comp = comp.unionByName(compensators(events, None, betas, CODES, mark, unit).withColumn("source", F.col("source") + len(CODES)))
+        if states is None:
+            states = before_events(before_events(events, betas, unit=unit), betas, weight=mark, unit=unit)
     vector = comp.groupBy("symbol").agg(F.map_from_entries(F.collect_list(F.struct((F.col("source") * len(betas) + F.col("scale")).alias("k"), "c"))).alias("c"))
     sample = stratified(before_events(events, betas, unit=unit) if states is None else states, most)
     rows = sample.select("symbol", F.col("event_code").alias("target"), "stratum", F.array(*names).alias("x"))
@@ -116,9 +123,10 @@ def fit(events: DataFrame, most: int = 20_000, betas=BETAS, l2: float = 1e-6, un
         c = np.array([at.get(i, 0.0) for i in range(len(names))])
         weight = float(some["stratum"].iloc[0]) / len(some) if len(some) else 0.0
         mu, alpha, loglik, done = solve(x, weight, c, float(pdf["span"].iloc[0]), l2)
-        return pd.DataFrame([(key[0], int(key[1]), mu, alpha.tolist(), loglik, done, len(some))], columns=["symbol", "target", "mu", "alpha", "loglik", "converged", "n"])
+        out = pd.DataFrame([(key[0], int(key[1]), mu, alpha[:plain].tolist(), loglik, done, len(some))], columns=["symbol", "target", "mu", "alpha", "loglik", "converged", "n"])
+        return out.assign(alpha_mark=[alpha[plain:].tolist()]) if mark else out
 
-    return rows.groupBy("symbol", "target").applyInPandas(run, "symbol string, " + FIT)
+    return rows.groupBy("symbol", "target").applyInPandas(run, "symbol string, " + FIT + (", alpha_mark array<double>" if mark else ""))
 
 
 def gamma(fits: DataFrame, betas=BETAS) -> DataFrame:

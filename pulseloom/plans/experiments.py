@@ -165,12 +165,10 @@ def label_grid(book: DataFrame, trades: DataFrame, horizons=(2, 10), depletions=
 
 
 def marked_fit(events: DataFrame, trades: DataFrame, most: int) -> DataFrame:
-    """A fit whose trades count by their size relative to the median before."""
+    """A fit with plain states and, beside them, states in which trades count by their size relative to the median before."""
     size = marks.trade_size_marks(trades).select("symbol", F.col("id").alias("source_id"), F.lit("trades").alias("source"), "mark")
     x = events.join(size, ["symbol", "source", "source_id"], "left").withColumn("mark", F.coalesce("mark", F.lit(1.0)))
-    states = decay.before_events(x, BETAS, decay.CODES, "mark")
-    plain = [c.replace("z_mark_", "z_") for c in states.columns]
-    return hawkes.fit(x, most, BETAS, states=states.toDF(*plain))
+    return hawkes.fit(x, most, mark="mark")
 
 
 def regime(events: DataFrame, width: int = 1440) -> DataFrame:

@@ -220,6 +220,16 @@ def test_fit_is_stationary(spark):
     assert hawkes.stratified(e, 100).groupBy("event_code").count().agg(F.max("count")).first()[0] == 10
 
 
+def test_marks_have_their_own_block(spark):
+    """Marks of 0 add nothing; marks of 2 give the same likelihood, as states and compensators double alike."""
+    _, e = events(spark, 200, 8)
+    own = {r["target"]: r for r in hawkes.fit(e, 200, (0.05, 0.5)).collect()}
+    for m in (0.0, 2.0):
+        for r in hawkes.fit(e.withColumn("mark", F.lit(m)), 200, (0.05, 0.5), mark="mark").collect():
+            assert len(r["alpha"]) == len(r["alpha_mark"]) == 20
+            assert r["loglik"] == pytest.approx(own[r["target"]]["loglik"], rel=1e-3, abs=1e-2)
+
+
 def test_seasonal_profile_is_no_worse_than_constant(spark):
     _, e = events(spark, 400, 5, 30)
     for r in hawkes.seasonal_profile(e, most=400).collect():
