@@ -25,7 +25,8 @@ ROWS = [
     (6, "the quick brown fox jumps over the lazy dog\nand then it rests\nfor a while\nin the shade", "en", "a", 1),
     (7, "ÜberİΣ \x1c   é <|endoftext|> 12345 !!", "de", "c", 5),
 ]
-CLASH = ["kept", "score", "node", "comp", "cid", "n_words", "ids", "rk", "part", "h1", "d", "t", "j", "host", "component_id", "__rk2"]
+#: Also names that operators use inside.
+CLASH = ["kept", "score", "node", "comp", "cid", "n_words", "ids", "rk", "part", "h1", "d", "t", "j", "host", "component_id", "__rk2", "own_d", "own_t", "own_u", "own_js", "own_text", "own_n", "own_r", "own_rk", "own_cut", "hit_hits", "Hit_Items", "own_quality", "own_removed", "__js", "__d", "__n", "__t", "__cut", "__hit_n_words", "__quality", "sig", "low", "h", "n", "m", "top", "tree", "other", "own"]
 
 
 @pytest.fixture(scope="module")
@@ -35,7 +36,13 @@ def docs(spark):
 
 @pytest.fixture(scope="module")
 def wide(docs):
-    return docs.withColumns({c: F.lit("own") for c in CLASH})
+    return docs.select("*", *(F.lit("own " + c).alias(c) for c in CLASH))
+
+
+def passed(out, *but):
+    """Whether every row of out still has the values of the clashing columns."""
+    names = [c for c in CLASH if c in out.columns and c not in but]
+    return len(names) > 40 and out.where(" OR ".join(f"`{c}` <> 'own {c}' OR `{c}` IS NULL" for c in names)).count() == 0
 
 
 def rows(df, *cols):
@@ -55,7 +62,7 @@ def test_near_duplicates(spark, docs, wide):
 
 def test_one_of_each(docs, wide):
     out = near_dedup.one_of_each(wide)
-    assert out.columns == wide.columns
+    assert out.columns == wide.columns and passed(out)
     assert [r[0] for r in rows(out, "doc_id")].count(6) == 0
     assert {r[0] for r in rows(out, "doc_id")} == {1, 2, 3, 4, 5, 7, None}
     assert near_dedup.one_of_each(docs.limit(0)).count() == 0
@@ -74,6 +81,10 @@ def test_chat(spark):
     data = [(1, 0, "user", "hi", 1), (2, 0, "user", "hi", 1), (2, 1, "assistant", "yes", 1), (3, 0, "user", "hi", 1), (3, 1, "assistant", "yes", 1), (4, None, None, None, None), (None, 0, "user", "lone", 1), (5, 0, "user", "twice", 1), (5, 0, "user", "twice", 1), (6, 0, "user", "hi", 1), (6, 1, "assistant", "yes", 1), (6, 2, "user", "", 1)]
     got = {r["conv_id"]: (r["n_turns"], r["text"]) for r in chat_format.format_chats(spark.createDataFrame(data, kind)).collect()}
     assert got == {4: (1, "<|im_start|>\n<|im_end|>\n"), None: (1, "<|im_start|>user\nlone<|im_end|>\n"), 5: (1, "<|im_start|>user\ntwice<|im_end|>\n"), 6: (3, "<|im_start|>user\nhi<|im_end|>\n<|im_start|>assistant\nyes<|im_end|>\n<|im_start|>user\n<|im_end|>\n")}
+    alone = spark.createDataFrame([(None, 3, "user", "x", 1), (None, 4, "user", "x", 1), (None, 0, "user", "y", 1), (9, 0, "user", "x", 1), (9, 1, "user", "z", 1)], kind)
+    assert sorted((r["conv_id"] or 0, r["n_turns"], r["text"][17:18]) for r in chat_format.format_chats(alone).collect()) == [(0, 1, "y"), (9, 2, "x")]
+    long = spark.range(3000).selectExpr("id % 2 AS conv_id", "id AS turn", "'user' AS role", "CAST(id AS STRING) AS text", "1 AS n").where("conv_id = 0 OR turn < 2000")
+    assert {r["conv_id"]: r["n_turns"] for r in chat_format.format_chats(long).collect()} == {0: 1500, 1: 1000}
     equal = spark.createDataFrame([(8, 0, "user", "x", 1), (7, 0, "user", "x", 1), (None, 0, "user", "x", 1)], kind)
     assert [r["conv_id"] for r in chat_format.format_chats(equal).collect()] == [7]
     assert chat_format.format_chats(equal.limit(0)).count() == 0
@@ -137,12 +148,14 @@ def test_decontaminate(spark, docs, wide):
     assert decontaminate.find_items(docs.limit(0), bench).count() == 0
     left = decontaminate.remove_spans(docs, bench)
     assert left.columns == docs.columns and 1 not in {r["doc_id"] for r in left.collect()}
+    assert passed(decontaminate.remove_spans(wide, bench))
 
 
 def test_line_dedup(spark, docs, wide):
     out = rows(line_dedup.dedup_lines(wide).where("doc_id is not null"), "doc_id", "n_removed")
     assert [n for d, n in out if d == 6] == [4, 4] and [n for d, n in out if d == 1] == [0]
     assert line_dedup.dedup_lines(docs).count() == len(ROWS)
+    assert line_dedup.dedup_lines(wide).columns == [*wide.columns, "n_removed"] and passed(line_dedup.dedup_lines(wide))
     assert line_dedup.dedup_lines(docs, drop_emptied=True).where("doc_id = 6").count() == 0
     assert line_dedup.dedup_lines(docs.limit(0)).count() == 0
     merged = spark.createDataFrame([(1, "a\nb\nc\nd\n\nx"), (2, "q\na\nb\n\nc\nd\nz")], "doc_id long, text string")
@@ -180,3 +193,4 @@ def test_pipeline_stages(spark, docs, wide, tmp_path):
             out.collect()
             if name != "bpe":
                 assert out.columns == x.columns, name
+                assert x is not wide or passed(out), name
