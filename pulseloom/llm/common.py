@@ -6,7 +6,7 @@ import sys
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -36,33 +36,70 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
-def components(edges: DataFrame, name: str = "cc") -> DataFrame:
-    """(node, comp) for the nodes of the undirected edges (a, b); comp is the smallest node reachable.
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores before those that a column of df has, in any case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        out.append(name)
+    return out
+
+
+HOT = 10_000  # a key with more than this part of all rows is hot; there are fewer than that
+
+
+def spread_join(rows: DataFrame, keyed: DataFrame, keys: list[str]) -> DataFrame:
+    """rows joined with keyed, a staged table with a row for each key and with n, how many of the rows have it.
+
+    Hot keys are fewer than HOT, so they are broadcast and their rows stay where they are. The others go through an
+    exchange in which no key holds more than its part in HOT of the rows.
+    """
+    most = (keyed.agg(F.sum("n")).first()[0] or 0) // HOT + 1
+    hot = F.broadcast(keyed.where(F.col("n") > most))
+    rest = rows.join(hot.select(keys), keys, "left_anti")
+    return rows.join(hot, keys).unionByName(rest.join(keyed.where(F.col("n") <= most), keys))
+
+
+def stars(edges: DataFrame, name: str = "cc", rounds: int | None = None) -> DataFrame:
+    """Edges (u, v), u above v, that connect what the undirected edges (a, b) connect; after enough rounds, v is the
+    smallest node that u can reach. With `rounds` it stops after so many.
 
     Alternating large-star and small-star steps: every step is an aggregation by node and an equi-join,
     so neither links nor components ever meet in one place. Null ends and loops are ignored; without
-    edges the result is empty. The edges are staged between rounds.
+    edges the result is empty. The edges are staged between rounds; their number and the sum of their hashes, which
+    the writing itself counts, tell when nothing changes.
     """
-    e = staged(edges.select("a", "b").where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), name)
 
-    def mark(x: DataFrame) -> tuple:
-        return tuple(x.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+    def written(x: DataFrame) -> tuple:
+        seen = Observation()
+        x = staged(x.distinct().observe(seen, F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")), name)
+        return x, (seen.get["n"], seen.get["h"])
 
-    before = mark(e)
-    while before[0]:
+    e, before = written(edges.select("a", "b").where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")))
+    while before[0] and rounds != 0:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u <> v").distinct()
         low2 = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = large.join(low2, "u")
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(joined.select("u", F.col("m").alias("v")))
-        e = staged(small.where("u <> v").distinct(), name)
-        after = mark(e)
+        e, after = written(small.where("u <> v"))
         if after == before:
             break
-        before = after
-    return e.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct())
+        before, rounds = after, rounds and rounds - 1
+    return e
+
+
+def labels(star_edges: DataFrame) -> DataFrame:
+    """(node, comp) for the nodes of what stars() gives."""
+    e = star_edges.groupBy("u").agg(F.min("v").alias("v"))
+    return e.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionByName(star_edges.select(F.col("v").alias("node")).distinct().join(e.select(F.col("u").alias("node")), "node", "left_anti").withColumn("comp", F.col("node")))
+
+
+def components(edges: DataFrame, name: str = "cc") -> DataFrame:
+    """(node, comp) for the nodes of the undirected edges (a, b); comp is the smallest node reachable."""
+    return labels(stars(edges, name))
 
 
 def small_batches(spark: SparkSession, most: int = 4 << 20) -> None:

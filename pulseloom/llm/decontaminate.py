@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import annotate, kept
+from .common import annotate, kept, unused
 
 #: A word is a run of digits, letters and characters beyond ASCII; A-Z count as a-z.
 TO_WORDS = bytes(c + 32 if 65 <= c <= 90 else c if c >= 0x80 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
@@ -226,9 +226,19 @@ def cut(text: str | None, bits: bytes) -> str | None:
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, window: int = 13, coverage: int = 20) -> DataFrame:
-    """docs without contaminated rows; in the other rows that have hits, the hit words are cut from the text."""
-    p = "__hit_"
+    """docs without contaminated rows; in the other rows that have hits, the hit words are cut from the text. Null and
+    empty texts stay as they are, other columns pass through whatever their names."""
+    p = prefix_for(docs)
     x = find_items(docs, benchmark, window, p).where(~contaminated(p, coverage))
-    x = x.withColumn("__cut", F.struct("text", f"{p}hits"))
-    x = annotate(x, lambda: lambda rows: [[cut(r["text"], r[f"{p}hits"]) for r in rows]], "text string", "__cut")
-    return x.select(docs.columns)
+    (both,) = unused(x, "own_cut")
+    x = x.withColumn(both, F.struct(F.col("text").alias("t"), F.col(f"{p}hits").alias("h")))
+    x = annotate(x, lambda: lambda rows: [[cut(r["t"], r["h"]) for r in rows]], "text string", both)
+    return x.select([F.col(f"`{c}`") for c in docs.columns])
+
+
+def prefix_for(docs: DataFrame) -> str:
+    """A prefix of find_items() with which no result is named like a column of docs."""
+    p = "hit_"
+    while any(c.lower().startswith(p) for c in docs.columns):
+        p = "_" + p
+    return p

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import spread_join, staged, unused
 
 SPAN = 3
 
@@ -37,7 +37,7 @@ def later_windows(docs: DataFrame) -> DataFrame:
     """d, t and j of the windows that occurred before."""
     w = staged(windows(docs), "windows")
     firsts = w.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(F.struct("d", "t", "j")).alias("first")).where("n > 1")
-    again = w.join(firsts.select("h1", "h2", "first"), ["h1", "h2"])
+    again = spread_join(w, staged(firsts, "firsts"), ["h1", "h2"])
     return again.where(~F.struct("d", "t", "j").eqNullSafe(F.col("first"))).select("d", "t", "j")
 
 
@@ -47,21 +47,24 @@ def dedup_lines(docs: DataFrame, count: str = "n_removed", drop_emptied: bool =
     Blank lines are no part of windows and stay; documents with fewer than three other lines stay whole. The
     first occurrence is that of the smallest doc_id (null first), then of the text's hash, then of the place.
     Rows with equal doc_id and text are one document: all keep the same lines. Null texts stay null. A text
-    that loses every line becomes empty; drop_emptied drops such rows. Other columns pass through, one named
-    like the count is replaced.
+    that loses every line becomes empty; drop_emptied drops such rows. Other columns pass through whatever
+    their names, one named like the count is replaced. An empty table gives an empty result.
     """
-    cover = later_windows(docs).groupBy("d", "t").agg(F.collect_set("j").alias("__js"))  # at most a document's lines
-    x = docs.drop(count).withColumn("__t", F.xxhash64("text")).join(cover.select(F.col("d").alias("__d"), F.col("t").alias("__u"), "__js").hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("__t") == F.col("__u")), "left")
+    cover = later_windows(docs).groupBy("d", "t").agg(F.collect_set("j").alias("js"))  # at most a document's lines
+    x = docs.drop(count)
+    d, t, u, js, text, n = unused(x, "own_d", "own_t", "own_u", "own_js", "own_text", "own_n")
+    cover = cover.select(F.col("d").alias(d), F.col("t").alias(u), F.col("js").alias(js))
+    x = x.withColumn(t, F.xxhash64("text")).join(cover.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col(d)) & (F.col(t) == F.col(u)), "left")
     solid = lambda lines: F.filter(F.sequence(F.lit(0), F.size(lines) - 1), lambda i: F.get(lines, i).rlike(r"\S"))
-    covered = lambda places: F.array_distinct(F.flatten(F.transform("__js", lambda j: F.slice(places, j + 1, SPAN))))
+    covered = lambda places: F.array_distinct(F.flatten(F.transform(js, lambda j: F.slice(places, j + 1, SPAN))))
     without = lambda lines, gone: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone), lambda i: F.get(lines, i)), "\n")
     new = let(F.split("text", "\n", -1), lambda lines: let(solid(lines), lambda places: let(covered(places), lambda gone: F.struct(without(lines, gone).alias("text"), F.size(gone).alias("n")))))
-    result = F.when(F.col("__js").isNull(), F.struct("text", F.lit(0).alias("n"))).otherwise(new)
+    result = F.when(F.col(js).isNull(), F.struct("text", F.lit(0).alias("n"))).otherwise(new)
     others = [F.col(f"`{c}`") for c in docs.columns if c not in ("text", count)]
-    x = x.select(*others, "__js", F.inline(F.array(result)).alias("__text", "__n"))  # made once per row
+    x = x.select(*others, js, F.inline(F.array(result)).alias(text, n))  # made once per row
     if drop_emptied:
-        x = x.where(F.col("__js").isNull() | F.col("__text").rlike(r"\S"))
-    return x.select(*[F.col("__text").alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns if c != count], F.col("__n").cast("long").alias(count))
+        x = x.where(F.col(js).isNull() | F.col(text).rlike(r"\S"))
+    return x.select(*[F.col(text).alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns if c != count], F.col(n).cast("long").alias(count))
 
 
 SQL = r"""

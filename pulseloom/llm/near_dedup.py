@@ -19,7 +19,7 @@ is dealt out as pairs of blocks.
 
 from __future__ import annotations
 
-from functools import cache
+from functools import cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -29,12 +29,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from .common import components, kept, small_batches, staged
+from .common import kept, labels, small_batches, spread_join, staged, stars, unused
 
 T = 64  # coordinates of a signature
 SMALL = 1024  # classes in a node that are compared exhaustively
 FIRST = 3  # levels of a tree before its nodes are counted
 RECALL = 0.99  # least probability that a pair at the threshold shares a node that is compared
+FEW = 3  # trees of the first step
+EARLY = 3  # rounds towards components after it; labels of what is surely connected are enough there
 PART = 128  # classes that are compared at once while links are still few
 CACHE = 300_000  # words whose hashes a worker keeps
 
@@ -290,9 +292,9 @@ def node_links(rows: DataFrame, docs: DataFrame, classes: DataFrame, least: floa
     found = staged(by_node(rows, ["cid", "comp", "sig"], first, kind), "found")
     pairs = staged(found.where("a IS NOT NULL").select("a", "b").distinct(), "pairs")
     dense = found.where("cid IS NOT NULL")
-    texts = texts_of(dense.select("cid").distinct(), docs, classes)
+    texts = texts_of(dense.select("cid").unionByName(ends_of(pairs)).distinct(), docs, classes)
     dense = by_node(dense.join(texts, "cid"), ["cid", "comp", "sig", "text"], second, "a binary, b binary")
-    return confirm(pairs, docs, classes, k, percent).unionByName(dense).distinct()
+    return confirm(pairs, texts, k, percent).unionByName(dense).distinct()
 
 
 def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
@@ -315,44 +317,52 @@ def texts_of(ids: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
 def split_nodes(rows: DataFrame, trees: list[int], threshold: float, rounds: int, salt: int, every: bool) -> DataFrame:
     """Rows (node, part, cid, comp, sig) of the small nodes; large ones are branched, then dealt out in parts.
 
-    Before classes of large nodes are branched in every tree, they get the trees that RECALL needs at the next depth.
+    Without `every` the parts of a large node are blocks of its classes. With it they hold all pairs across components:
+    the classes of a node's largest component make blocks that meet only blocks of the other classes. That makes at
+    most five times as many rows of a node of SMALL classes or SMALL / 2 others; the rest are branched. Before classes
+    are branched in every tree, they get the trees that RECALL needs at the next depth.
     """
-    done, start, x, small = [], FIRST, branch(rows, trees, 0, FIRST, threshold), SMALL if every else PART
+    done, start, x, block = [], FIRST, branch(rows, trees, 0, FIRST, threshold), SMALL // 4 if every else PART
     for r in range(rounds + 1):
-        size = x.groupBy("tree", "node").agg(F.count("*").alias("n"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("tree", "node", "n")
-        x = staged(x.join(size, ["tree", "node"]), "nodes")
-        done.append(x.where(f"n <= {small}").select("tree", "node", F.lit(0).cast("long").alias("part"), "cid", "comp", "sig"))
-        x = x.where(f"n > {small}")
-        if x.isEmpty():
+        x = x.withColumn("h", F.xxhash64("comp"))
+        size = x.groupBy("tree", "node", "h").agg(F.count("*").alias("m")).groupBy("tree", "node").agg(F.sum("m").alias("n"), F.max("m").alias("m"), F.max_by("h", "m").alias("top"), F.count("*").alias("c"))
+        x = staged(spread_join(x, staged(size.where("c > 1").drop("c"), "sizes"), ["tree", "node"]), "nodes")
+        few = 2 * block if every else block
+        done.append(x.where(f"n <= {few}").withColumn("part", F.lit(0).cast("long")))
+        x = x.where(f"n > {few}")
+        deal = F.lit(r == rounds) | ((F.col("n") <= SMALL) | (F.col("n") - F.col("m") <= SMALL // 2) if every else F.lit(False))
+        done.append(dealt(x.where(deal), block, salt, every))
+        x = x.where(~deal)
+        if r == rounds or x.isEmpty():
             break
-        if r < rounds:
-            deeper = branch(x, trees, start, 2, threshold)
-            start += 2
-            more = list(range(len(trees), trees_for(start, threshold, len(trees)))) if every else []
-            if more:
-                at_risk = x.select("cid", "comp", "sig").dropDuplicates(["cid"])
-                deeper = deeper.unionByName(branch(at_risk, more, 0, start, threshold))
-                trees = trees + more
-            x = deeper
-            continue
-        parts = F.ceil(F.col("n") / (small // 2 if every else small)).cast("int")
-        own = F.pmod(F.xxhash64("cid", F.lit(salt)), parts).cast("int")
-        if every:
-            other = F.explode(F.sequence(F.lit(0), parts - 1))
-            x = x.withColumn("own", own).withColumn("other", other)
-            x = x.withColumn("part", F.least("own", "other").cast("long") * (1 << 31) + F.greatest("own", "other"))
-        else:
-            x = x.withColumn("part", own.cast("long"))
-        done.append(x.select("tree", "node", "part", "cid", "comp", "sig"))
-    out = done[0]
-    for d in done[1:]:
-        out = out.unionByName(d)
-    return out
+        deeper = branch(x, trees, start, 2, threshold)
+        start += 2
+        more = list(range(len(trees), trees_for(start, threshold, len(trees)))) if every else []
+        if more:
+            at_risk = x.select("cid", "comp", "sig").dropDuplicates(["cid"])
+            deeper = deeper.unionByName(branch(at_risk, more, 0, start, threshold))
+            trees = trees + more
+        x = deeper
+    return reduce(DataFrame.unionByName, [d.select("tree", "node", "part", "cid", "comp", "sig") for d in done])
+
+
+def dealt(x: DataFrame, block: int, salt: int, every: bool) -> DataFrame:
+    """x (rows of nodes with n classes, m of them of the component with hash `top`) with part; rows stand once for each."""
+    place = lambda n: F.pmod(F.xxhash64("cid", F.lit(salt)), F.ceil(n / block)).cast("int")
+    if not every:
+        return x.withColumn("part", place(F.col("n")).cast("long"))
+    of_top, b, g = F.col("h") == F.col("top"), F.ceil(F.col("m") / block).cast("int"), F.ceil((F.col("n") - F.col("m")) / block).cast("int")
+    x = x.withColumn("own", F.when(of_top, place(F.col("m"))).otherwise(b + place(F.col("n") - F.col("m"))))
+    x = x.withColumn("other", F.explode(F.sequence(F.when(of_top, b).otherwise(0), b + g - 1)))
+    return x.withColumn("part", F.least("own", "other").cast("long") * (1 << 31) + F.greatest("own", "other"))
+
+
+def ends_of(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets have 100 * intersection >= percent * union."""
-    texts = texts_of(pairs.select(F.col("a").alias("cid")).union(pairs.select(F.col("b").alias("cid"))).distinct(), docs, classes)
+def confirm(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """The pairs (a, b) whose full sets have 100 * intersection >= percent * union; texts: cid and text."""
 
     def run(batches):
         hashes, last = Hashes(), {}
@@ -381,25 +391,26 @@ def groups(docs: DataFrame, k: int, threshold: float, trees: int = 10, rounds: i
     percent = round(100 * threshold)
     least = threshold - 4 * (threshold * (1 - threshold) / T) ** 0.5
     sigs = staged(signatures(docs, k), "signatures")
-    classes = staged(sigs.where("cid is not null").groupBy("cid").agg(F.min("doc_id").alias("low"), F.min(F.struct("doc_id", "rk", "sig")).alias("s")).select("cid", "low", "s.doc_id", "s.rk", "s.sig"), "classes")
-    found = comps = None
-    for step, own in enumerate(([0], list(range(1, 4)), list(range(trees)))):
+    classes = staged(sigs.where("cid is not null").groupBy("cid").agg(F.min("doc_id").alias("low"), F.min(F.struct("doc_id", "rk", "sig")).alias("s"), F.count("*").alias("n")).select("cid", "low", "n", "s.doc_id", "s.rk", "s.sig"), "classes")
+    linked = comps = None
+    for step, own in enumerate((list(range(FEW)), list(range(trees)))):
         rows = classes.select("cid", "sig")
         rows = rows.join(comps, rows.cid == comps.node, "left").select("cid", F.coalesce("comp", "cid").alias("comp"), "sig") if comps is not None else rows.withColumn("comp", F.col("cid"))
-        every = step == 2
+        every = step == 1
         rows = split_nodes(rows, own, threshold, rounds if every else 1, step, every)
         if every:
             new = node_links(rows, docs, classes, least, k, percent)
         else:
-            new = confirm(staged(node_pairs(rows, least), "pairs"), docs, classes, k, percent)
-        new = staged(new, "links")
-        found = new if found is None else found.unionByName(new)
-        comps = components(found)
-    lowest = classes.join(comps, classes.cid == comps.node, "left").select("cid", F.coalesce("comp", "cid").alias("comp"), "low")
+            pairs = staged(node_pairs(rows, least), "pairs")
+            new = confirm(pairs, texts_of(ends_of(pairs), docs, classes), k, percent)
+        edges = staged(new, "links") if linked is None else staged(new, "links").unionByName(linked.select(F.col("u").alias("a"), F.col("v").alias("b")))
+        linked = stars(edges, rounds=None if every else EARLY)
+        comps = labels(linked)
+    lowest = classes.join(comps, classes.cid == comps.node, "left").select("cid", F.coalesce("comp", "cid").alias("comp"), "low", "n")
     ids = lowest.groupBy("comp").agg(F.min("low").alias("component_id"))
-    owner = lowest.select("cid", "comp").join(ids, "comp")
-    out = sigs.select("doc_id", "rk", "n_shingles", "cid").join(owner, "cid", "left")
-    return out.select("doc_id", "rk", "n_shingles", "comp", F.when(F.col("cid").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    owner = staged(lowest.select("cid", "comp", "n").join(ids, "comp"), "owners")
+    out = spread_join(sigs.where("cid IS NOT NULL").select("doc_id", "rk", "n_shingles", "cid"), owner, ["cid"]).select("doc_id", "rk", "n_shingles", "comp", "component_id")
+    return out.unionByName(sigs.where("cid IS NULL").select("doc_id", "rk", "n_shingles", F.lit(None).cast("binary").alias("comp"), F.col("doc_id").alias("component_id")))
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, threshold: float = 0.8, trees: int = 10, rounds: int = 4) -> DataFrame:
@@ -418,13 +429,16 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: float = 0.8, trees:
 
 def one_of_each(docs: DataFrame, k: int = 5, threshold: float = 0.8) -> DataFrame:
     """One row of docs of each group of near duplicates: of the smallest doc_id, null last, then of the smallest hash
-    of the text. Rows without shingles all stay."""
+    of the text; of rows equal in both any one, as they are copies. Rows without shingles (null, empty or blank texts)
+    all stay. Other columns pass through whatever their names; an empty table gives an empty result."""
     found = groups(docs, k, threshold).where("comp is not null")
     rows = found.groupBy("comp", "doc_id", "rk").agg(F.count("*").alias("n"))
     first = rows.groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "rk", "n")).alias("f"))
-    first = staged(first.select(F.col("f.doc_id").alias("__d"), F.col("f.rk").alias("__r"), F.col("f.n").alias("__n")), "first")
+    d, r, n, rk = unused(docs, "own_d", "own_r", "own_n", "own_rk")
+    first = staged(first.select(F.col("f.doc_id").alias(d), F.col("f.rk").alias(r), F.col("f.n").alias(n)), "first")
     blank = F.coalesce(F.col("text"), F.lit("")).rlike("^[\\x20\\x09-\\x0D]*$")
-    x = docs.where(~blank).withColumn("__rk", F.xxhash64("text"))
-    x = x.join(first, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("__rk") == F.col("__r")))
-    out = x.where("__n = 1").unionByName(x.where("__n > 1").dropDuplicates(["doc_id", "__rk"]))
-    return out.select(docs.columns).unionByName(docs.where(blank))
+    x = docs.where(~blank).withColumn(rk, F.xxhash64("text"))
+    x = x.join(first, F.col("doc_id").eqNullSafe(F.col(d)) & (F.col(rk) == F.col(r)))
+    out = x.where(F.col(n) == 1).unionByName(x.where(F.col(n) > 1).dropDuplicates(["doc_id", rk]))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    return out.select(columns).unionByName(docs.where(blank))

@@ -62,18 +62,32 @@ def template_pairs(n, shared=170, pair=10, own=15):
     return texts
 
 
-def test_near_duplicates_in_large_nodes(spark, monkeypatch):
+@pytest.mark.parametrize("threshold, own", [(0.85, 15), (0.8, 22)])
+def test_near_duplicates_in_large_nodes(spark, monkeypatch, threshold, own):
     """Nodes that stay large to the deepest level. Found is what RECALL promises, less three standard deviations."""
     monkeypatch.setattr(near_dedup, "SMALL", 16)
     monkeypatch.setattr(near_dedup, "PART", 8)
     n, p = 300, 0.99
-    texts = template_pairs(n)
-    got = near_duplicates(spark.createDataFrame(texts, "doc_id long, text string"), 1, 0.85).collect()
+    texts = template_pairs(n, own=own)
+    got = near_duplicates(spark.createDataFrame(texts, "doc_id long, text string"), 1, threshold).collect()
     assert all(r["component_id"] in (r["doc_id"], r["doc_id"] - r["doc_id"] % 2) for r in got)
     found = sum(not r["kept"] for r in got)
     assert found >= n * p - 3 * (n * p * (1 - p)) ** 0.5, found
 
 
+def test_parts_of_a_node_hold_all_pairs_across_components(spark):
+    """Dealt out in blocks, each two classes of different components meet in some part, and rows stay few."""
+    rows = [(0, 7, bytes([i]), "t" if i < 150 else str(i), 1 if i < 150 else i) for i in range(180)]
+    x = spark.createDataFrame(rows, "tree int, node long, cid binary, comp string, h long").selectExpr("*", "180L AS n", "150L AS m", "1L AS top")
+    parts = {}
+    out = near_dedup.dealt(x, 16, 1, True).collect()
+    for r in out:
+        parts.setdefault(r["part"], []).append((r["cid"][0], r["comp"]))
+    met = {(a, b) for p in parts.values() for a, c in p for b, d in p if a < b and c != d}
+    assert met == {(a, b) for b in range(150, 180) for a in range(b)}
+    assert len(out) < 5 * len(rows)
+
+
 def test_trees_grow_with_depth():
     for threshold in (0.8, 0.85):
         counts = [near_dedup.trees_for(level, threshold, 10) for level in range(3, 12, 2)]
