@@ -40,13 +40,14 @@ def quotes_first(events: DataFrame) -> DataFrame:
 BLOCKS = "concat(CASE WHEN source >= 8 THEN 'trade' ELSE 'quote' END, '_to_', CASE WHEN target >= 8 THEN 'trade' ELSE 'quote' END)"
 
 
-def gamma_change(before: DataFrame, after: DataFrame) -> DataFrame:
+def gamma_change(before: DataFrame, after: DataFrame, by: list[str] | None = None) -> DataFrame:
     """By block of a (target, source, value) matrix: norms of the base and of the change, their ratio, the block's share
-    of the squared change, and the largest change."""
-    x = before.join(after.select("target", "source", F.col("value").alias("after")), ["target", "source"]).withColumn("d", F.col("after") - F.col("value"))
-    x = x.groupBy(F.expr(BLOCKS).alias("block")).agg(F.sqrt(F.sum(F.col("value") * F.col("value"))).alias("base"), F.sqrt(F.sum(F.col("d") * F.col("d"))).alias("change"), F.max(F.abs("d")).alias("largest"))
-    total = F.sum(F.col("change") * F.col("change")).over(Window.partitionBy(F.lit(0)))  # four rows
-    return x.select("block", "base", "change", (F.col("change") / F.greatest("base", F.lit(1e-12))).alias("relative"), (F.col("change") * F.col("change") / F.greatest(total, F.lit(1e-24))).alias("share"), "largest")
+    of the squared change, and the largest change; for each matrix that `by` names."""
+    by = by or []
+    x = before.join(after.select(*by, "target", "source", F.col("value").alias("after")), [*by, "target", "source"]).withColumn("d", F.col("after") - F.col("value"))
+    x = x.groupBy(*by, F.expr(BLOCKS).alias("block")).agg(F.sqrt(F.sum(F.col("value") * F.col("value"))).alias("base"), F.sqrt(F.sum(F.col("d") * F.col("d"))).alias("change"), F.max(F.abs("d")).alias("largest"))
+    total = F.sum(F.col("change") * F.col("change")).over(Window.partitionBy(*by, F.lit(0)))  # four rows a matrix
+    return x.select(*by, "block", "base", "change", (F.col("change") / F.greatest("base", F.lit(1e-12))).alias("relative"), (F.col("change") * F.col("change") / F.greatest(total, F.lit(1e-24))).alias("share"), "largest")
 
 
 def top_changes(before: DataFrame, after: DataFrame, k: int = 15) -> DataFrame:

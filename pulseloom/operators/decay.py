@@ -1,12 +1,15 @@
 """Exponentially decayed counts of the event types, without a recursion over the stream.
 
-For a decay b, time is cut into blocks of 30 / b. Within a block the sum of exp(b * age) is a running sum of
-exp(b * (s - start)) over that of the row; what came before is the sum of the two blocks before, decayed. What is
-left out weighs less than exp(-60). All terms are positive, times are integers, so nothing cancels.
+Time is cut into blocks, so long that the fastest decay takes exp(600) over one. Within a block the decayed sum is a
+running sum of exp(beta * (s - start)) over that of the row; what came before is the sum of earlier blocks' totals,
+decayed, as far back as they weigh more than exp(-60). All decays share the blocks, so one exchange and one sort of the
+events serve them all. All terms are positive, times are integers, so nothing cancels.
 """
 
 from __future__ import annotations
 
+from math import ceil
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,29 +23,25 @@ def name_of(code: int, beta: float, mark: bool = False) -> str:
     return f"z_{'mark_' if mark else ''}event{code}_beta{beta:g}".replace(".", "p")
 
 
-def block_of(beta: float, unit: int) -> int:
-    return round(30 / beta * unit)
-
-
-def scan(rows: DataFrame, keys: list[str], betas, codes, before: bool, mark: bool = False, unit: int = UNIT) -> DataFrame:
-    """keys and the decayed sums of each code and beta up to the row in the order (time, kind, seq), or before it.
+def scan(rows: DataFrame, betas, codes, before: bool, mark: bool = False, unit: int = UNIT) -> DataFrame:
+    """rows that `keep` asks for with the decayed sums of each code and beta up to the row in the order (time, kind, seq), or before it.
 
-    rows: symbol, time, kind, seq, event_code (null if not an event), weight, keep (whether the row is asked for) and
-    keys, which name a row. Each row stands once per beta, so one pass serves all of them.
+    rows: symbol, time, kind, seq, event_code (null if not an event), weight, keep and others, which pass through.
     """
-    each = F.explode(F.array(*(F.struct(F.lit(p).alias("p"), F.lit(float(b)).alias("beta"), F.lit(block_of(b, unit)).cast("long").alias("size")) for p, b in enumerate(betas))))
-    x = rows.withColumn("__b", each).select("*", F.col("__b.p").alias("__p"), F.expr("time div __b.size").alias("__k"))
-    x = x.withColumn("__g", F.exp(F.col("__b.beta") * (F.col("time") - F.col("__k") * F.col("__b.size")) / unit))
-    own = {c: F.when(F.col("event_code") == c, F.col("weight") * F.col("__g")) for c in codes}
-    sums = x.where("event_code IS NOT NULL").groupBy("symbol", "__p", "__k", F.expr("exp(-__b.beta * __b.size / %d)" % unit).alias("__d")).agg(*(F.sum(own[c]).alias(f"__s{c}") for c in codes))
-    later = F.inline(F.array(F.struct(F.lit(1).alias("__n"), F.col("__d").alias("__f")), F.struct(F.lit(2).alias("__n"), (F.col("__d") * F.col("__d")).alias("__f"))))
-    carry = sums.select("symbol", "__p", "__k", later, *(f"__s{c}" for c in codes)).select("symbol", "__p", (F.col("__k") + F.col("__n")).alias("__k"), *((F.col(f"__s{c}") * F.col("__f")).alias(f"__s{c}") for c in codes))
-    carry = carry.groupBy("symbol", "__p", "__k").agg(*(F.sum(f"__s{c}").alias(f"__s{c}") for c in codes))
-    w = Window.partitionBy("symbol", "__p", "__k").orderBy("time", "kind", "seq").rowsBetween(Window.unboundedPreceding, -1 if before else 0)
-    x = x.withColumns({f"__r{c}": F.sum(own[c]).over(w) for c in codes}).where("keep").join(carry, ["symbol", "__p", "__k"], "left")
+    size = max(1, round(600 / max(betas) * unit))
+    x = rows.withColumn("__k", F.expr(f"time div {size}")).withColumn("__at", (F.col("time") - F.col("__k") * size) / unit)
+    pairs = [(c, p, b) for p, b in enumerate(betas) for c in codes]
+    own = {(c, p): F.when(F.col("event_code") == c, F.col("weight") * F.exp(b * F.col("__at"))) for c, p, b in pairs}
+    sums = x.where("event_code IS NOT NULL").groupBy("symbol", "__k").agg(*(F.sum(own[c, p]).alias(f"__s{c}_{p}") for c, p, _ in pairs))
+    steps = [F.struct(F.lit(n).alias("n"), F.lit(p).alias("p"), F.lit(float(b)).alias("b")) for p, b in enumerate(betas) for n in range(1, ceil(60 * unit / (b * size)) + 2)]
+    later = sums.withColumn("__l", F.explode(F.array(*steps))).withColumn("__d", F.exp(-F.col("__l.b") * F.col("__l.n") * size / unit))
+    of = lambda c, p: F.sum(F.when(F.col("__l.p") == p, F.col(f"__s{c}_{p}") * F.col("__d"))).alias(f"__c{c}_{p}")
+    carry = later.groupBy("symbol", (F.col("__k") + F.col("__l.n")).alias("__k")).agg(*(of(c, p) for c, p, _ in pairs))
+    w = Window.partitionBy("symbol", "__k").orderBy("time", "kind", "seq").rowsBetween(Window.unboundedPreceding, -1 if before else 0)
+    x = x.withColumns({f"__r{c}_{p}": F.sum(own[c, p]).over(w) for c, p, _ in pairs}).where("keep").join(carry, ["symbol", "__k"], "left")
     zero = F.lit(0.0)
-    x = x.select(*keys, "__p", *(((F.coalesce(F.col(f"__r{c}"), zero) + F.coalesce(F.col(f"__s{c}"), zero)) / F.col("__g")).alias(f"__z{c}") for c in codes))
-    return x.groupBy(*keys).agg(*(F.max(F.when(F.col("__p") == p, F.col(f"__z{c}"))).alias(name_of(c, b, mark)) for p, b in enumerate(betas) for c in codes))
+    z = lambda c, p, b: (F.coalesce(F.col(f"__r{c}_{p}"), zero) + F.coalesce(F.col(f"__c{c}_{p}"), zero)) / F.exp(b * F.col("__at"))
+    return x.select(*rows.columns, *(z(c, p, b).alias(name_of(c, b, mark)) for c, p, b in pairs)).drop("time", "kind", "seq", "weight", "keep")
 
 
 def sampled(events: DataFrame, samples: DataFrame, betas=BETAS, codes=CODES, weight: str | None = None, unit: int = UNIT) -> DataFrame:
@@ -53,31 +52,27 @@ def sampled(events: DataFrame, samples: DataFrame, betas=BETAS, codes=CODES, wei
     """
     e = events.select("symbol", F.col("event_time").alias("time"), F.lit(0).alias("kind"), F.col("event_time").alias("seq"), "event_code", (F.col(weight) if weight else F.lit(1.0)).cast("double").alias("weight"), F.lit(None).cast("long").alias("tick"), F.lit(False).alias("keep"))
     s = samples.select("symbol", (F.col("tick") * unit).alias("time"), F.lit(1).alias("kind"), F.col("tick").alias("seq"), F.lit(None).cast("int").alias("event_code"), F.lit(0.0).alias("weight"), "tick", F.lit(True).alias("keep"))
-    return scan(e.unionByName(s), ["symbol", "tick"], betas, codes, False, bool(weight), unit)
+    return scan(e.unionByName(s), betas, codes, False, bool(weight), unit).drop("event_code")
 
 
-def before_events(events: DataFrame, betas=BETAS, codes=CODES, weight: str | None = None, time: Column | None = None, unit: int = UNIT) -> DataFrame:
-    """events with the states just before each: the event itself doesn't count, earlier ones of its time do.
-
-    (symbol, event_time) must name an event, as it does in an aligned stream.
-    """
+def before_events(events: DataFrame, betas=BETAS, codes=CODES, weight: str | None = None, time: Column | None = None, unit: int = UNIT, keep: Column | None = None) -> DataFrame:
+    """events (those that `keep` asks for) with the states just before each: the event itself doesn't count, earlier
+    ones of its time do. (symbol, event_time) must name an event, as it does in an aligned stream."""
     t = F.col("event_time") if time is None else time
-    x = events.select("symbol", "event_time", "event_code", t.cast("long").alias("time"), F.lit(0).alias("kind"), F.col("event_time").alias("seq"), (F.col(weight) if weight else F.lit(1.0)).cast("double").alias("weight"), F.lit(True).alias("keep"))
-    return events.join(scan(x, ["symbol", "event_time"], betas, codes, True, bool(weight), unit), ["symbol", "event_time"])
+    w = F.col(weight) if weight else F.lit(1.0)
+    x = events.withColumns({"time": t.cast("long"), "kind": F.lit(0), "seq": F.col("event_time"), "weight": w.cast("double"), "keep": F.lit(True) if keep is None else keep})
+    return scan(x, betas, codes, True, bool(weight), unit)
 
 
-def before_events_masked(events: DataFrame, touch, betas=BETAS, codes=CODES) -> DataFrame:
+def before_events_masked(events: DataFrame, touch, betas=BETAS, codes=CODES, keep: Column | None = None) -> DataFrame:
     """before_events() on the ticks' clock, where in a tick with both a trade and a move of the touch the events of
     the other feed in the same tick don't count: touch moves for a trade, trades for a touch move."""
-    x = before_events(events, betas, codes, None, F.col("tick"), 1)
     trade, moved = F.col("event_code") >= 8, F.col("event_code").isin(*touch)
     tick = Window.partitionBy("symbol", "tick")
     past = tick.orderBy("event_time").rowsBetween(Window.unboundedPreceding, -1)
     both = F.max(trade).over(tick) & F.max(moved).over(tick)
-    for c in codes:
-        other = trade if c in touch else moved if c >= 8 else None
-        if other is None:
-            continue
-        same = F.when(both & other, F.coalesce(F.sum(F.when(F.col("event_code") == c, 1)).over(past), F.lit(0))).otherwise(0)
-        x = x.withColumns({name_of(c, b): F.greatest(F.lit(0.0), F.col(name_of(c, b)) - same) for b in betas})
-    return x
+    others = {c: trade if c in touch else moved for c in codes if c in touch or c >= 8}
+    x = events.withColumns({f"__same{c}": F.when(both & other, F.coalesce(F.sum(F.when(F.col("event_code") == c, 1)).over(past), F.lit(0))).otherwise(0) for c, other in others.items()})
+    x = before_events(x, betas, codes, None, F.col("tick"), 1, keep)
+    x = x.withColumns({name_of(c, b): F.greatest(F.lit(0.0), F.col(name_of(c, b)) - F.col(f"__same{c}")) for c in others for b in betas})
+    return x.drop(*(f"__same{c}" for c in others))

@@ -134,10 +134,10 @@ def seasonality(seconds: Column) -> dict[str, Column]:
 
 def seasonal_rate(design: dict[str, Column], eta: float, harmonic: list[float], funding: list[float], eps: float = 1e-9) -> Column:
     """Intensity of a positive harmonic baseline times the effect of the indicators."""
-    from math import exp, hypot
+    from math import exp, sqrt
 
     names = list(design)
-    amplitude = sum(hypot(a, b) for a, b in zip(harmonic[::2], harmonic[1::2], strict=True))
+    amplitude = sum(sqrt(a * a + b * b + eps) for a, b in zip(harmonic[::2], harmonic[1::2], strict=True))
     wave = sum((design[n] * w for n, w in zip(names[:16], harmonic, strict=True)), F.lit(eps + exp(eta) + amplitude))
     tilt = sum((design[n] * w for n, w in zip(names[16:], funding, strict=True)), F.lit(0.0))
     return F.greatest(wave * F.exp(F.least(F.lit(20.0), F.greatest(F.lit(-20.0), tilt))), F.lit(eps))

@@ -8,38 +8,52 @@ sampling weights, and compensators that one aggregation over all events gives; e
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ..sources.files import small
 from .align import UNIT
-from .decay import BETAS, CODES, before_events, name_of
-from .features import seasonality
+from .decay import BETAS, CODES, before_events, before_events_masked, name_of
 
 FLOOR = 1e-9
 FIT = "target int, mu double, alpha array<double>, loglik double, converged boolean, n long"
 
 
-def stratified(events: DataFrame, most: int, seed: int = 20240330) -> DataFrame:
-    """Of each (symbol, code) the most // 10 events that come first by a hash; all, if there are no more.
+LOWEST = -(2.0**63)  # of a 64-bit hash
 
-    A first cut keeps somewhat more than needed by the hash alone, so that the ranking sees few rows.
+
+def drawn(events: DataFrame, most: int, seed: int = 7) -> tuple[DataFrame, Column]:
+    """events with stratum (how many of the symbol and code there are), and which of them a sample takes: of each (symbol,
+    code) the most // 10 that come first by a hash; all, if there are no more.
+
+    What is ranked are the few rows whose hash is low enough to be in question; the last of them bounds the sample.
     """
     k = max(1, most // 10)
     h = F.xxhash64("symbol", "event_time", "event_code", F.lit(seed))
-    x = events.withColumn("__h", h)
-    n = x.groupBy("symbol", "event_code").agg(F.count("*").alias("stratum"))
-    x = x.join(F.broadcast(n), ["symbol", "event_code"])  # ten rows a symbol
-    share = F.least(F.lit(1.0), F.lit(k * 1.1 + 100) / F.col("stratum"))
-    x = x.where(F.pmod("__h", F.lit(1_000_003)) < share * 1_000_003 + 1)
-    x = x.withColumn("__r", F.row_number().over(Window.partitionBy("symbol", "event_code").orderBy("__h", "event_time"))).where(f"__r <= {k}")
-    return x.drop("__h", "__r")
+    n = small(events.groupBy("symbol", "event_code").agg(F.count("*").alias("stratum")), "strata")  # ten rows a symbol
+    low = events.select("symbol", "event_code", h.alias("h")).join(n, ["symbol", "event_code"])
+    low = low.where(F.col("h") <= LOWEST + 2.0**64 * F.least(F.lit(1.0), F.lit(k * 1.1 + 100) / F.col("stratum")))
+    place = F.row_number().over(Window.partitionBy("symbol", "event_code").orderBy("h"))
+    cut = low.withColumn("r", place).where(f"r <= {k}").groupBy("symbol", "event_code").agg(F.max("h").alias("__cut"))
+    return events.join(small(n.join(cut, ["symbol", "event_code"]), "cuts"), ["symbol", "event_code"]), h <= F.col("__cut")
+
+
+def stratified(events: DataFrame, most: int, seed: int = 7) -> DataFrame:
+    """The sample of drawn(), with stratum."""
+    x, taken = drawn(events, most, seed)
+    return x.where(taken).drop("__cut")
+
+
+def spans(events: DataFrame, unit: int = UNIT) -> DataFrame:
+    """symbol, first and end (its first and last event's times) and span in ticks."""
+    return events.groupBy("symbol").agg(F.min("event_time").alias("first"), F.max("event_time").alias("end")).withColumn("span", (F.col("end") - F.col("first")) / unit)
 
 
 def compensators(events: DataFrame, end: int | None = None, betas=BETAS, codes=CODES, weight: str | None = None, unit: int = UNIT) -> DataFrame:
     """symbol, source, scale, c: the integral of the decayed counts to `end` (each symbol's last event by default)."""
-    last = events.groupBy("symbol").agg(F.max("event_time").alias("end")) if end is None else events.select("symbol").distinct().withColumn("end", F.lit(end).cast("long"))
-    x = events.join(F.broadcast(last), "symbol")
+    last = small(spans(events).select("symbol", "end") if end is None else events.select("symbol").distinct().withColumn("end", F.lit(end).cast("long")), "ends")
+    x = events.join(last, "symbol")
     age = (F.col("end") - F.col("event_time")) / unit
     w = F.col(weight) if weight else F.lit(1.0)
     sums = x.groupBy("symbol", F.col("event_code").alias("source")).agg(*(F.sum(w * (1 - F.exp(-b * age)) / b).alias(f"c{p}") for p, b in enumerate(betas)))
@@ -93,34 +107,46 @@ def solve(x: np.ndarray, weight: float, c: np.ndarray, span: float, l2: float =
     return float(theta[0] / scale[0]), alpha, float(-value(theta)), done
 
 
-def fit(events: DataFrame, most: int = 20_000, betas=BETAS, l2: float = 1e-6, unit: int = UNIT, states: DataFrame | None = None, mark: str | None = None) -> DataFrame:
+def sample_states(events: DataFrame, most: int, betas=BETAS, unit: int = UNIT, mark: str | None = None, masked=None) -> DataFrame:
+    """symbol, event_time, target, stratum and x (the states just before it, 10 sources times the scales, then the marked
+    ones) of a sample. Only sampled events leave the windows that make states; masked: see before_events_masked()."""
+    drawn_, taken = drawn(events, most)
+    names = [name_of(j, b) for j in CODES for b in betas]
+    x = before_events_masked(drawn_, masked, betas, keep=taken) if masked else before_events(drawn_, betas, unit=unit, keep=taken)
+    if mark:
+        marked = before_events(drawn_, betas, weight=mark, unit=unit, keep=taken)
+        own = [name_of(j, b, True) for j in CODES for b in betas]
+        x, names = x.join(marked.select("symbol", "event_time", *own), ["symbol", "event_time"]), names + own
+    return x.select("symbol", "event_time", F.col("event_code").alias("target"), "stratum", F.array(*names).alias("x"))
+
+
+def every_target(symbols: DataFrame) -> DataFrame:
+    """symbols with a row for each of the ten types as target."""
+    return symbols.withColumn("target", F.explode(F.sequence(F.lit(0), F.lit(9))))
+
+
+def fit(events: DataFrame, most: int = 100_000, betas=BETAS, l2: float = 1e-6, unit: int = UNIT, mark: str | None = None, masked=None) -> DataFrame:
     """symbol, target, mu, alpha (10 sources times the scales, source by source), loglik, converged, n: a fit for each type.
 
-    states: events with their states, if not those of before_events(). Types without events get mu at its floor.
-    mark: a column of weights; the states weighted by it stand beside the plain ones, with alpha_mark of their own.
+    Types without events get mu at its floor. mark: a column of weights; the states weighted by it stand beside the
+    plain ones, with alpha_mark of their own. masked: codes of touch moves, for states that ignore the other feed.
     """
-    names = [name_of(j, b) for j in CODES for b in betas]
-    plain = len(names)
-    span = events.groupBy("symbol").agg(((F.max("event_time") - F.min("event_time")) / unit).alias("span"))
+    plain = len(CODES) * len(betas)
     comp = compensators(events, None, betas, CODES, None, unit)
     if mark:
-        names += [name_of(j, b, True) for j in CODES for b in betas]
         comp = comp.unionByName(compensators(events, None, betas, CODES, mark, unit).withColumn("source", F.col("source") + len(CODES)))
-        if states is None:
-            states = before_events(before_events(events, betas, unit=unit), betas, weight=mark, unit=unit)
     vector = comp.groupBy("symbol").agg(F.map_from_entries(F.collect_list(F.struct((F.col("source") * len(betas) + F.col("scale")).alias("k"), "c"))).alias("c"))
-    sample = stratified(before_events(events, betas, unit=unit) if states is None else states, most)
-    rows = sample.select("symbol", F.col("event_code").alias("target"), "stratum", F.array(*names).alias("x"))
-    targets = span.select("symbol", F.explode(F.sequence(F.lit(0), F.lit(9))).alias("target"))
-    rows = targets.join(rows, ["symbol", "target"], "left").join(F.broadcast(span.join(vector, "symbol")), "symbol")
+    sides = every_target(spans(events, unit).select("symbol", "span").join(vector, "symbol"))  # ten rows a symbol
+    rows = sides.join(sample_states(events, most, betas, unit, mark, masked).drop("event_time"), ["symbol", "target"], "left")
 
     def run(key, pdf):
         import pandas as pd
 
         some = pdf[pdf["x"].notna()]
-        x = np.array(some["x"].tolist(), float).reshape(len(some), len(names))
+        size = plain * 2 if mark else plain
+        x = np.array(some["x"].tolist(), float).reshape(len(some), size)
         at = dict(pdf["c"].iloc[0])
-        c = np.array([at.get(i, 0.0) for i in range(len(names))])
+        c = np.array([at.get(i, 0.0) for i in range(size)])
         weight = float(some["stratum"].iloc[0]) / len(some) if len(some) else 0.0
         mu, alpha, loglik, done = solve(x, weight, c, float(pdf["span"].iloc[0]), l2)
         out = pd.DataFrame([(key[0], int(key[1]), mu, alpha[:plain].tolist(), loglik, done, len(some))], columns=["symbol", "target", "mu", "alpha", "loglik", "converged", "n"])
@@ -180,70 +206,127 @@ def profile_mu(excess: np.ndarray, weight: float, span: float) -> float:
     return (low + high) / 2
 
 
-def profiled(events: DataFrame, fits: DataFrame, most: int = 20_000, betas=BETAS, unit: int = UNIT) -> DataFrame:
-    """symbol, target, mu: the base rates of `events` under the alpha of `fits` (which may come from elsewhere)."""
-    names = [name_of(j, b) for j in CODES for b in betas]
-    span = events.groupBy("symbol").agg(((F.max("event_time") - F.min("event_time")) / unit).alias("span"))
-    x = stratified(before_events(events, betas, unit=unit), most).select("symbol", F.col("event_code").alias("target"), "stratum", F.array(*names).alias("x"))
-    x = x.join(F.broadcast(fits.select("symbol", "target", "alpha")), ["symbol", "target"]).join(F.broadcast(span), "symbol")
-    x = x.withColumn("e", F.aggregate(F.zip_with("x", "alpha", lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)).select("symbol", "target", "stratum", "e", "span")
+def excited(events: DataFrame, fits: DataFrame, most: int, betas=BETAS, unit: int = UNIT) -> DataFrame:
+    """For each row of fits (symbol, target, alpha): span, and the sampled events' time, stratum and excitation e under
+    alpha; one row with nulls for a type without events."""
+    own = every_target(spans(events, unit).select("symbol", "first", "span")).join(fits.select("symbol", "target", "alpha"), ["symbol", "target"])
+    x = own.join(sample_states(events, most, betas, unit), ["symbol", "target"], "left")
+    e = F.aggregate(F.zip_with("x", "alpha", lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
+    return x.select("symbol", "target", "first", "span", "event_time", "stratum", e.alias("e"))
+
+
+def profiled(events: DataFrame, fits: DataFrame, most: int = 100_000, betas=BETAS, unit: int = UNIT) -> DataFrame:
+    """symbol, target, mu: the base rates of `events` under the alpha of `fits` (which may come from elsewhere); FLOOR
+    for types without events."""
 
     def run(key, pdf):
         import pandas as pd
 
-        mu = profile_mu(pdf["e"].to_numpy(), float(pdf["stratum"].iloc[0]) / len(pdf), float(pdf["span"].iloc[0]))
+        e = pdf["e"].dropna().to_numpy()
+        mu = profile_mu(e, float(pdf["stratum"].iloc[0]) / len(e), float(pdf["span"].iloc[0])) if len(e) else FLOOR
         return pd.DataFrame([(key[0], int(key[1]), mu)], columns=["symbol", "target", "mu"])
 
-    return x.groupBy("symbol", "target").applyInPandas(run, "symbol string, target int, mu double")
+    return excited(events, fits, most, betas, unit).groupBy("symbol", "target").applyInPandas(run, "symbol string, target int, mu double")
+
+
+WAVES, EDGES = 16, 6  # columns of features.seasonality(): harmonics, then indicators
+LIMITS = np.array([20.0] + [np.inf] * WAVES + [5.0] * EDGES)
 
 
-def seasonal_profile(events: DataFrame, tick_seconds: float = 60.0, most: int = 20_000, steps: int = 60, step_seconds: int = 600, unit: int = UNIT) -> DataFrame:
-    """symbol, target, eta, harmonic, funding, loglik, constant: a daily rate exp(eta + harmonics + indicators) for each
-    type, fitted by Newton's method with a quadrature over the day, and the likelihood of a constant rate."""
-    design = seasonality(F.expr(f"event_time / {unit} * {tick_seconds}"))
-    span = events.groupBy("symbol").agg(((F.max("event_time") - F.min("event_time")) / unit).alias("span"))
-    x = stratified(events, most).select("symbol", F.col("event_code").alias("target"), "stratum", F.array(*design.values()).alias("x")).join(F.broadcast(span), "symbol")
+def day_design(seconds: np.ndarray) -> np.ndarray:
+    """features.seasonality() in NumPy, a row for each of the seconds since the epoch."""
+    s = np.mod(seconds, 86_400.0)
+    turn = 2 * np.pi * s[:, None] * np.arange(1, WAVES // 2 + 1) / 86_400
+    waves = np.stack([np.cos(turn), np.sin(turn)], 2).reshape(len(s), WAVES)
+    d = np.mod(s[:, None] - np.array([0, 8, 16]) * 3600.0 + 43_200, 86_400) - 43_200
+    return np.hstack([waves, np.stack([(d >= -300) & (d < 0), (d >= 0) & (d <= 300)], 2).reshape(len(s), EDGES)])
 
-    def day() -> np.ndarray:
-        s = np.arange(0, 86_400, step_seconds) + step_seconds / 2
-        cols = []
-        for k in range(1, 9):
-            cols += [np.cos(2 * np.pi * k * s / 86_400), np.sin(2 * np.pi * k * s / 86_400)]
-        for h in (0, 8, 16):
-            d = (s - h * 3600 + 43_200) % 86_400 - 43_200
-            cols += [((d >= -300) & (d < 0)) * 1.0, ((d >= 0) & (d <= 300)) * 1.0]
-        return np.column_stack([np.ones(len(s)), *cols])
+
+def exposure(first: float, span: float, step: float = 60.0) -> tuple[np.ndarray, np.ndarray]:
+    """Seconds of the day and how long each stands for, over `span` seconds from `first`: midpoints of steps.
+
+    Steps that share a second of the day are added up, so there are at most as many as a day has.
+    """
+    n = max(1, int(np.ceil(span / step)))
+    k = np.arange(min(n, round(86_400 / step)))
+    lasts = step * ((n - 1 - k) // len(k) + 1.0)
+    lasts[(n - 1) % len(k)] -= n * step - span  # the last step may end early
+    return np.mod(first + step * (k + 0.5), 86_400.0), lasts
+
+
+def harmonic_rate(theta: np.ndarray, design: np.ndarray, eps: float = 1e-9) -> tuple[np.ndarray, np.ndarray]:
+    """features.seasonal_rate() of parameters (eta, harmonics, indicators) and its gradient, by rows of the design."""
+    pairs = theta[1 : 1 + WAVES].reshape(-1, 2)
+    size = np.sqrt((pairs**2).sum(1) + eps)
+    tilt = np.exp(np.clip(design[:, WAVES:] @ theta[1 + WAVES :], -20, 20))
+    rate = np.maximum((eps + np.exp(theta[0]) + size.sum() + design[:, :WAVES] @ theta[1 : 1 + WAVES]) * tilt, eps)
+    return rate, np.column_stack([np.exp(theta[0]) * tilt, tilt[:, None] * (design[:, :WAVES] + (pairs / size[:, None]).ravel()), rate[:, None] * design[:, WAVES:]])
+
+
+def seasonal_solve(design: np.ndarray, e: np.ndarray, weight: float, grid: np.ndarray, lasts: np.ndarray, mu: float, steps: int = 300) -> tuple[np.ndarray, float, bool]:
+    """Parameters that maximise weight * sum ln(rate + e) - integral of the rate, the value, and whether it converged.
+
+    Damped scoring steps from the constant rate mu, with the events' gradients for the curvature; eta within 20 and
+    the indicators within 5 of 0.
+    """
+
+    def at(t):
+        own, d = harmonic_rate(t, design)
+        over, dg = harmonic_rate(t, grid)
+        lam = np.maximum(own + e, 1e-12)
+        scores = d / lam[:, None]
+        return weight * np.log(lam).sum() - lasts @ over, weight * scores.sum(0) - lasts @ dg, weight * scores.T @ scores
+
+    theta = np.zeros(1 + WAVES + EDGES)
+    theta[0] = np.log(max(mu, 1e-6))
+    theta[1 : 1 + WAVES] = 1e-3 * mu  # off the kink at 0, where the scores of a harmonic vanish
+    now, grad, curve = at(theta)
+    damp = 1e-3
+    for _ in range(steps):
+        free = ~((np.abs(theta) >= LIMITS) & (np.sign(grad) == np.sign(theta)))
+        scale = np.diag(curve) + 1e-9 * max(1.0, np.diag(curve).max())
+        move = np.zeros_like(theta)
+        move[free] = np.linalg.solve(curve[np.ix_(free, free)] + damp * np.diag(scale[free]), grad[free])
+        new = np.clip(theta + move, -LIMITS, LIMITS)
+        got = at(new)
+        if got[0] > now:
+            gain, theta, damp = got[0] - now, new, max(damp / 4, 1e-9)
+            now, grad, curve = got
+            if gain <= 1e-10 * max(1.0, abs(now)):
+                return theta, float(now), True
+        else:
+            damp *= 8
+            if damp > 1e12:
+                return theta, float(now), True
+    return theta, float(now), False
+
+
+SEASON = "symbol string, target int, eta double, harmonic array<double>, funding array<double>, loglik double, constant double, converged boolean"
+
+
+def seasonal_profile(events: DataFrame, fits: DataFrame, tick_seconds: float = 60.0, most: int = 100_000, betas=BETAS, unit: int = UNIT) -> DataFrame:
+    """symbol, target, eta, harmonic, funding, loglik, constant, converged: for each row of fits (symbol, target, mu, alpha)
+    a daily base rate in place of mu, with the kernels of alpha held, and both likelihoods without the excitation's
+    integral, which is the same in both. Types without events keep a constant rate at its floor."""
+    x = excited(events, fits, most, betas, unit).join(fits.select("symbol", "target", "mu"), ["symbol", "target"])
 
     def run(key, pdf):
         import pandas as pd
 
-        a = np.hstack([np.ones((len(pdf), 1)), np.array(pdf["x"].tolist())])
-        w, span = float(pdf["stratum"].iloc[0]) / len(pdf), float(pdf["span"].iloc[0])
-        q = day()
-        dt = span / len(q)
-        n = w * len(a)
-        theta = np.zeros(23)
-        theta[0] = np.log(n / span)
-        constant = n * theta[0] - n
-        value = lambda t: w * (a @ t).sum() - dt * np.exp(np.clip(q @ t, -50, 20)).sum() - 0.5e-3 * (t[1:] ** 2).sum()
-        now = value(theta)
-        for _ in range(steps):
-            rate = dt * np.exp(np.clip(q @ theta, -50, 20))
-            grad = w * a.sum(0) - rate @ q
-            grad[1:] -= 1e-3 * theta[1:]
-            move = np.linalg.solve((q * rate[:, None]).T @ q + 1e-3 * np.eye(23), grad)
-            size = 1.0
-            while size > 1e-8 and value(np.clip(theta + size * move, -20, 20)) < now:
-                size /= 2
-            theta = np.clip(theta + size * move, -20, 20)
-            got = value(theta)
-            if got - now < 1e-9 * max(1.0, abs(now)):
-                break
-            now = got
-        fitted = w * (a @ theta).sum() - dt * np.exp(np.clip(q @ theta, -50, 20)).sum()
-        return pd.DataFrame([(key[0], int(key[1]), theta[0], theta[1:17].tolist(), theta[17:].tolist(), fitted, constant)], columns=["symbol", "target", "eta", "harmonic", "funding", "loglik", "constant"])
+        some = pdf[pdf["e"].notna()]
+        first, span, mu = (float(pdf[c].iloc[0]) for c in ("first", "span", "mu"))
+        at, lasts = exposure(first / unit * tick_seconds, span * tick_seconds)
+        lasts = lasts / tick_seconds
+        if len(some):
+            e, w = some["e"].to_numpy(), float(some["stratum"].iloc[0]) / len(some)
+            constant = w * np.log(np.maximum(mu + e, 1e-12)).sum() - mu * span
+            theta, value, done = seasonal_solve(day_design(some["event_time"].to_numpy() / unit * tick_seconds), e, w, day_design(at), lasts, mu)
+        else:
+            theta, value, constant, done = np.zeros(1 + WAVES + EDGES), -mu * span, -mu * span, True
+            theta[0] = np.log(FLOOR)
+        return pd.DataFrame([(key[0], int(key[1]), theta[0], theta[1 : 1 + WAVES].tolist(), theta[1 + WAVES :].tolist(), value, constant, done)], columns=["symbol", "target", "eta", "harmonic", "funding", "loglik", "constant", "converged"])
 
-    return x.groupBy("symbol", "target").applyInPandas(run, "symbol string, target int, eta double, harmonic array<double>, funding array<double>, loglik double, constant double")
+    return x.groupBy("symbol", "target").applyInPandas(run, SEASON)
 
 
 def windowed_radius(events: DataFrame, width: int, least: int = 100, known_gaps: DataFrame | None = None, betas=BETAS, unit: int = UNIT) -> DataFrame:

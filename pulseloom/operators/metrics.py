@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from math import erfc, floor, isfinite, sqrt
+from math import ceil, erfc, floor, isfinite, sqrt
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
+
+from ..sources.files import small
 
 
 def brier(y: Column, p: Column) -> Column:
@@ -19,43 +22,66 @@ def log_loss(y: Column, p: Column) -> Column:
     return -(y * F.ln(p) + (1 - y) * F.ln(1 - p))
 
 
-def ranked(df: DataFrame, score: str, order: list[str], buckets: int = 64) -> DataFrame:
-    """df with rank, the row's place by falling score, then by `order`.
+def ranked(df: DataFrame, score: str, order: list[str], by: list[str] | None = None, y: Column | None = None, buckets: int = 64) -> DataFrame:
+    """df with rank, the row's place in its group by falling score, then by `order`; with y also ones, the sum of y up to it.
 
-    Scores are cut into ranges by approximate quantiles; a row's place is its place in its range plus the rows of
-    the ranges above, so no task holds more than a range or the rows of one score.
+    Scores are cut into ranges by each group's approximate quantiles. A score that takes several quantiles is a range
+    of its own, cut again by ranges of the first of `order`, if that is a number. A row's place is its place in its
+    range plus the rows of the ranges before; no task holds more than a range.
+    """
+    by = by or []
+    steps = F.array(*(F.lit(i / buckets) for i in range(1, buckets)))
+    number = isinstance(df.schema[order[0]].dataType, NumericType)
+    cuts = [F.percentile_approx(score, steps, 10_000).alias("__c"), (F.percentile_approx(order[0], steps, 10_000) if number else F.array().cast("array<double>")).alias("__o")]
+    found = small(df.groupBy(*by).agg(*cuts), "cuts")  # a row per group
+    x = df.join(found, by) if by else df.crossJoin(found)
+    often = F.size(F.filter("__c", lambda c: c == F.col(score))) > 1
+    x = x.withColumn("__part", 2 * F.size(F.filter(F.array_distinct("__c"), lambda c: c > F.col(score))) + often.cast("int"))
+    x = x.withColumn("__sub", F.when(often, F.size(F.filter("__o", lambda o: o < F.col(order[0])))).otherwise(0)).drop("__c", "__o")
+    ones = F.lit(0) if y is None else y
+    sizes = x.groupBy(*by, "__part", "__sub").agg(F.count("*").alias("__n"), F.sum(ones).alias("__m"))
+    before = Window.partitionBy(*by, F.lit(0)).orderBy("__part", "__sub").rowsBetween(Window.unboundedPreceding, -1)  # a row per range
+    above = sizes.select(*by, "__part", "__sub", *(F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}_above") for c in ("__n", "__m")))
+    own = Window.partitionBy(*by, "__part", "__sub").orderBy(F.col(score).desc(), *order)
+    x = x.withColumn("rank", F.row_number().over(own)).withColumn("ones", F.sum(ones).over(own.rowsBetween(Window.unboundedPreceding, 0)))
+    x = x.join(above, [*by, "__part", "__sub"]).withColumns({"rank": F.col("rank") + F.col("__n_above"), "ones": F.col("ones") + F.col("__m_above")})
+    return x.drop("__part", "__sub", "__n_above", "__m_above", *([] if y is not None else ["ones"]))
+
+
+def average_precisions(df: DataFrame, by: list[str], y: str, score: str, order: list[str]) -> DataFrame:
+    """by, positives and average_precision (null without positives) of each group. Ties of the score stand in `order`;
+    rows without a score don't count.
+
+    The precision at a positive is its number among positives over its rank.
     """
-    cuts = sorted(set(df.approxQuantile(score, [i / buckets for i in range(1, buckets)], 0.005)))
-    part = F.lit(0)
-    for c in cuts:
-        part = part + (F.col(score) < F.lit(c)).cast("int")
-    df = df.withColumn("__part", part)
-    sizes = df.groupBy("__part").count()
-    above = sizes.select("__part", F.coalesce(F.sum("count").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__above"))
-    place = F.row_number().over(Window.partitionBy("__part").orderBy(F.col(score).desc(), *order))
-    return df.join(F.broadcast(above), "__part").withColumn("rank", place + F.col("__above")).drop("__part", "__above")
+    x = ranked(df.where(F.col(score).isNotNull()), score, order, by, F.col(y).cast("long"))
+    return x.groupBy(*by).agg(F.coalesce(F.sum(y), F.lit(0)).cast("long").alias("positives"), F.avg(F.when(F.col(y) == 1, F.col("ones") / F.col("rank"))).alias("average_precision"))
 
 
 def average_precision(df: DataFrame, y: str, score: str, order: list[str]) -> DataFrame:
-    """One row: positives, average_precision (null without positives). Ties of the score stand in `order`.
+    """One row: positives, average_precision."""
+    return average_precisions(df, [], y, score, order)
 
-    The precision at a positive is its number among positives over its rank; both ranks come from ranked().
-    """
-    x = ranked(df, score, order).withColumn("__all", F.col("rank")).drop("rank").where(F.col(y) == 1)
-    if x.isEmpty():
-        return df.sparkSession.createDataFrame([(0, None)], "positives long, average_precision double")
-    x = ranked(x, score, order)
-    return x.agg(F.count("*").alias("positives"), F.avg(F.col("rank") / F.col("__all")).alias("average_precision"))
 
+def order_statistic(df: DataFrame, value: str, share: float, order: list[str]) -> float | None:
+    """The interpolated quantile `share` of a column without nulls, read at its two ranks; None of nothing."""
+    n = df.count()
+    if not n:
+        return None
+    at = (n - 1) * share
+    low, high = n - floor(at), n - ceil(at)  # ranks fall as values rise
+    found = {r["rank"]: float(r[value]) for r in ranked(df, value, order).where(F.col("rank").isin(low, high)).select("rank", value).collect()}
+    return found[low] + (found[high] - found[low]) * (at - floor(at))
 
-def alert_metrics(df: DataFrame, y: str, score: str, lead: str, rate: float = 0.01) -> DataFrame:
+
+def alert_metrics(df: DataFrame, y: str, score: str, lead: str, order: list[str], rate: float = 0.01) -> DataFrame:
     """One row: the score's quantile 1 - rate (interpolated), the share of rows at or above it, the share of positives
     among them, and the median of `lead` over the positives caught."""
-    threshold = df.agg(F.percentile(score, 1.0 - rate).alias("threshold"))
-    x = df.crossJoin(F.broadcast(threshold))  # one row
-    alert = F.col(score) >= F.col("threshold")
-    hit = alert & (F.col(y) == 1)
-    return x.agg(F.first("threshold").alias("threshold"), F.avg(alert.cast("double")).alias("alert_rate"), (F.count_if(hit) / F.greatest(F.lit(1), F.sum(y))).alias("recall"), F.percentile(F.when(hit, F.col(lead)), 0.5).alias("median_lead"))
+    threshold = order_statistic(df, score, 1.0 - rate, order)
+    hit = (F.col(score) >= F.lit(threshold)) & (F.col(y) == 1)
+    median = order_statistic(df.where(hit & F.col(lead).isNotNull()), lead, 0.5, order)
+    x = df.agg(F.avg((F.col(score) >= F.lit(threshold)).cast("double")).alias("alert_rate"), (F.count_if(hit) / F.greatest(F.lit(1), F.sum(y))).alias("recall"))
+    return x.select(F.lit(threshold).cast("double").alias("threshold"), "alert_rate", "recall", F.lit(median).cast("double").alias("median_lead"))
 
 
 def block_means(df: DataFrame, time: Column, loss_a: Column, loss_b: Column) -> DataFrame:
@@ -111,29 +137,25 @@ def day_moments(df: DataFrame, day: str, columns: list[str]) -> DataFrame:
     return df.groupBy(day).agg(F.count("*").alias("n"), *(F.sum(v).alias(f"{c}_s") for c, v in centred.items()), *(F.sum(v * v).alias(f"{c}_ss") for c, v in centred.items()))
 
 
-def romano_wolf(df: DataFrame, day: str, columns: list[str], replications: int = 2000, seed: int = 20240330) -> dict[str, float]:
+def romano_wolf(df: DataFrame, day: str, columns: list[str], replications: int = 2000, seed: int = 5) -> dict[str, float]:
     """Stepdown p-values of the columns' means, by a bootstrap of whole days.
 
-    A replicate's t needs only each day's n, sum and sum of squares, so the days' moments are all that is fetched.
+    A replicate's t needs only how often it draws each day and the days' numbers of rows, sums and sums of squares, so
+    the days' moments are all that is fetched, and a matrix of counts makes all replicates at once.
     """
-    means = df.agg(*(F.avg(c).alias(c) for c in columns)).first()
+    centre = df.agg(*(F.avg(c).alias(c) for c in columns)).first()
     rows = day_moments(df, day, columns).orderBy(day).collect()
-    n = np.array([r["n"] for r in rows], float)
-    s, ss = (np.array([[r[f"{c}_{k}"] for c in columns] for r in rows]) for k in ("s", "ss"))
-
-    def t(n, s, ss, shift=0.0):
-        mean = s / n
-        sd = np.sqrt(np.maximum(ss - n * mean**2, 0) / (n - 1))
-        return np.abs((mean + shift) / np.maximum(sd / np.sqrt(n), 1e-12))
-
-    observed = t(n.sum(), s.sum(0), ss.sum(0), np.array([means[c] for c in columns]))
-    rng = np.random.default_rng(seed)
-    boot = np.empty((replications, len(columns)))
-    for b in range(replications):
-        pick = rng.integers(0, len(rows), len(rows))
-        boot[b] = t(n[pick].sum(), s[pick].sum(0), ss[pick].sum(0))
-    order, out, least = np.argsort(-observed), {}, 0.0
-    for i, c in enumerate(order):
-        least = max(least, float((boot[:, order[i:]].max(1) >= observed[c]).mean()))
-        out[columns[c]] = least
-    return out
+    moments = np.array([[r["n"], *(r[f"{c}_s"] for c in columns), *(r[f"{c}_ss"] for c in columns)] for r in rows], float)
+
+    def size_of_t(sums: np.ndarray, shift) -> np.ndarray:
+        n, s, ss = sums[:, :1], sums[:, 1 : 1 + len(columns)], sums[:, 1 + len(columns) :]
+        spread = np.sqrt(np.maximum(ss - s * s / n, 0) / (n - 1) / n)
+        return np.abs(s / n + shift) / np.maximum(spread, 1e-12)
+
+    observed = size_of_t(moments.sum(0, keepdims=True), np.array([centre[c] for c in columns]))[0]
+    draws = np.random.default_rng(seed).multinomial(len(rows), np.full(len(rows), 1 / len(rows)), replications)
+    rank = np.argsort(-observed, kind="stable")
+    null = size_of_t(draws @ moments, 0.0)[:, rank]
+    rest = np.maximum.accumulate(null[:, ::-1], 1)[:, ::-1]  # the largest of a hypothesis and those after it
+    p = np.maximum.accumulate((rest >= observed[rank]).mean(0))
+    return {columns[i]: float(v) for i, v in zip(rank, p, strict=True)}

@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import align, causality, decay, features, hawkes, labels, marks, metrics, trees
 from ..operators.ordered import bucket_of, last_known
+from ..sources import files
 
 M0 = ["ofi", "micro_minus_mid", "spread", "bid_qty", "ask_qty", "bid_qty_rank", "ask_qty_rank"]
-BETAS = (0.01, 0.25)
-COUNTS = [decay.name_of(c, b) for b in BETAS for c in decay.CODES]
-RATES = [f"hawkes_lambda_{i}" for i in range(10)]
+COUNTS = [decay.name_of(c, b) for b in decay.BETAS for c in decay.CODES]
+#: In the order of a fit's alpha: source by source.
+STATES = [decay.name_of(c, b) for c in decay.CODES for b in decay.BETAS]
+MARKS = [decay.name_of(c, b, True) for b in decay.BETAS for c in (8, 9)]
+KEY = ["symbol", "tick"]
+DAY = 1440
+HORIZONS, DEPLETIONS = (2, 10, 40), (0.25, 0.5, 0.75)
 
 
 def step_function(at: DataFrame, steps: DataFrame, width: int = align.WIDTH) -> DataFrame:
@@ -33,142 +36,201 @@ def train_window(df: DataFrame, time: str, test: int, width: int) -> DataFrame:
     return df.where((F.col(time) >= boundary - width) & (F.col(time) < boundary))
 
 
-def matrix(book: DataFrame, trades: DataFrame, rule: str = "trades_first", horizons=(10,), depletions=(0.5,), with_states: bool = True) -> tuple[DataFrame, list[str]]:
-    """Features of the valid samples with labels, and the features' names."""
+def matrix(book: DataFrame, trades: DataFrame, horizons=(10,), depletions=(0.5,), rule: str = "trades_first", extra: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Features of the valid samples with day, labels and decayed counts (and, with extra, marked counts and the regime),
+    and the aligned stream; both as written tables."""
+    events = files.staged(align.aligned(book, trades, rule), "aligned")
     x = features.l1_features(book)
-    names = list(M0)
-    sampled = features.as_of(x.select("symbol", "tick"), book)
-    x = x.join(labels.labels(sampled, book, list(horizons), list(depletions)), ["symbol", "tick"])
-    if with_states:
-        events = align.aligned(book, trades, rule)
-        x = x.join(decay.sampled(events, features.grid(book, lead=3), BETAS), ["symbol", "tick"])
-        names += COUNTS
-    return x, names
-
-
-def with_rates(x: DataFrame, fits: DataFrame) -> DataFrame:
-    """x (with states of BETAS) with the ten intensities of its symbol's fit. Fits are ten rows a symbol."""
-    names = [decay.name_of(j, b) for j in decay.CODES for b in BETAS]
-    wide = fits.groupBy("symbol").agg(F.map_from_entries(F.collect_list(F.struct("target", F.struct("mu", "alpha")))).alias("__f"))
-    x = x.join(F.broadcast(wide), "symbol")
-    state = F.array(*names)
-    for i in range(10):
-        f = F.col("__f")[F.lit(i)]
-        x = x.withColumn(f"hawkes_lambda_{i}", F.greatest(F.lit(1e-12), f["mu"] + F.aggregate(F.zip_with(state, f["alpha"], lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)))
-    return x.drop("__f")
-
-
-def with_marks_and_regime(x: DataFrame, book: DataFrame, trades: DataFrame, width: int = 1440) -> tuple[DataFrame, list[str]]:
-    """x with the states of trades weighed by their relative size and with the radius of the last finished window (null
-    before the first), and the new columns' names."""
-    events = align.aligned(book, trades)
-    size = marks.trade_size_marks(trades).select("symbol", F.col("id").alias("source_id"), F.lit("trades").alias("source"), "mark")
-    sized = events.where("event_code >= 8").join(size, ["symbol", "source", "source_id"])
-    states = decay.sampled(sized, features.grid(book, lead=3), decay.BETAS, (8, 9), "mark")
-    radius = step_function(x.select("symbol", "tick"), regime(events, width)).withColumnRenamed("value", "regime")
-    names = [decay.name_of(c, b, True) for b in decay.BETAS for c in (8, 9)] + ["regime"]
-    return x.join(states, ["symbol", "tick"]).join(radius, ["symbol", "tick"]), names
+    x = x.join(labels.labels(features.as_of(x.select(*KEY), book), book, list(horizons), list(depletions)), KEY)
+    x = x.join(decay.sampled(events, features.grid(book, lead=3)), KEY)
+    if extra:
+        x = with_marks_and_regime(x, book, trades, events=events)
+    x = x.withColumn("day", F.expr(f"tick div {DAY}"))
+    path = files.shared_path(book.sparkSession, "matrix")
+    files.write_features(x, path, label_names(horizons, depletions))
+    return book.sparkSession.read.parquet(path), events
 
 
-def scores(x: DataFrame, label: str) -> dict:
-    r = x.agg(F.count("*").alias("n"), F.avg(label).alias("prevalence"), metrics.brier(F.col(label), F.col("probability")).alias("brier"), F.avg(metrics.log_loss(F.col(label), F.col("probability"))).alias("log_loss")).first()
-    ap = metrics.average_precision(x.select("symbol", "tick", label, "probability"), label, "probability", ["tick", "symbol"]).first()
-    return r.asDict() | {"pr_auc": ap["average_precision"]}
+def label_names(horizons, depletions) -> list[str]:
+    return [f"a_h{h}" for h in horizons] + [f"b_x{round(100 * d)}_h{h}" for h in horizons for d in depletions]
 
 
-def learning_curve(book: DataFrame, trades: DataFrame, budgets, label: str = "a_h10", test: int = 1440 * 5, rounds: int = 160, most: int = 5000) -> DataFrame:
-    """A row per budget of training time and model: m0 (book), m1 (and decayed counts), m2 (book and intensities), m3 (m1
-    with weighted counts of trades and the regime)."""
+def with_marks_and_regime(x: DataFrame, book: DataFrame, trades: DataFrame, width: int = DAY, events: DataFrame | None = None) -> DataFrame:
+    """x with MARKS, the states of trades weighed by their relative size, and regime, the radius of the last finished
+    window (null before the first)."""
+    events = align.aligned(book, trades) if events is None else events
+    size = marks.trade_size_marks(trades).select("symbol", F.col("id").alias("source_id"), F.lit("trades").alias("source"), "mark")
+    sized = events.where("event_code >= 8").join(size, ["symbol", "source", "source_id"])
+    states = decay.sampled(sized, features.grid(book, lead=3), decay.BETAS, (8, 9), "mark")
+    radius = step_function(x.select(*KEY), regime(events, width)).withColumnRenamed("value", "regime")
+    return x.join(states, KEY).join(radius, KEY)
+
+
+def window_fits(events: DataFrame, windows: dict[str, tuple[int, int]], most) -> dict[str, dict]:
+    """For each window of ticks [start, end), by symbol, the base rates and the matrix of weights of a fit to its events.
+
+    A window of a symbol is a symbol of its own, so all are fitted in one job. most: sampled events of a window, or such
+    numbers by window.
+    """
+    out: dict[str, dict] = {w: {} for w in windows}
+    sizes = most if isinstance(most, dict) else dict.fromkeys(windows, most)
+    for size in sorted(set(sizes.values())):
+        own = {w: t for w, t in windows.items() if sizes[w] == size}
+        inside = [F.when((F.col("tick") >= a) & (F.col("tick") < z), F.lit(w)) for w, (a, z) in own.items()]
+        x = events.withColumn("window", F.explode(F.filter(F.array(*inside), lambda w: w.isNotNull())))
+        x = files.staged(x.withColumn("symbol", F.concat("window", F.lit("|"), "symbol")).select("symbol", "event_time", "tick", "event_code"), "windows")
+        for r in hawkes.fit(x, size).collect():  # ten rows a window and symbol
+            window, symbol = r["symbol"].split("|", 1)
+            mu, alpha = out[window].setdefault(symbol, ([0.0] * 10, [[0.0] * len(STATES) for _ in range(10)]))
+            mu[r["target"]], alpha[r["target"]] = r["mu"], list(r["alpha"])
+    return out
+
+
+def ladder(name: str, label: str, rows, rates: dict | None, rounds: int, models=("m0", "m1", "m2", "m3"), **settings) -> list[trees.Fit]:
+    """The fits of m0 (book), m1 (and decayed counts), m2 (book and intensities) and m3 (m1 with marked counts and the
+    regime; m3r and m3k with only the regime, only the marked counts)."""
+    own = {"m0": M0, "m1": M0 + COUNTS, "m2": M0, "m3": M0 + COUNTS + MARKS + ["regime"], "m3r": M0 + COUNTS + ["regime"], "m3k": M0 + COUNTS + MARKS}
+    return [trees.Fit(f"{m} {name}", own[m], label, rows, rounds, settings, (STATES, rates) if m == "m2" else None) for m in models]
+
+
+def quality(scored: DataFrame, models: dict, y: str) -> DataFrame:
+    """A row per model: its first and second name, n, prevalence, brier, log_loss and pr_auc of its scores."""
+    each = F.explode(F.array(*(F.struct(F.lit(n).alias("name"), F.col(f"`{n}`").alias("p")) for n in models)))
+    x = files.staged(scored.select(*KEY, F.col(y).cast("int").alias("y"), each.alias("s")).select(*KEY, "y", "s.*").where("p IS NOT NULL"), "scores")
+    plain = x.groupBy("name").agg(F.count("*").alias("n"), F.avg("y").alias("prevalence"), metrics.brier(F.col("y"), F.col("p")).alias("brier"), F.avg(metrics.log_loss(F.col("y"), F.col("p"))).alias("log_loss"))
+    ap = metrics.average_precisions(x, ["name"], "y", "p", ["tick", "symbol"]).select("name", F.col("average_precision").alias("pr_auc"))
+    return plain.join(ap, "name").withColumn("model", F.substring_index("name", " ", 1)).withColumn("part", F.substring_index("name", " ", -1)).drop("name")
+
+
+def budget_windows(x: DataFrame, budgets, test: int) -> tuple[int, dict[str, tuple[int, int]]]:
+    """The first tick of the test, and the training window of each budget of ticks before it."""
+    start = x.agg(F.max("tick")).first()[0] - test
+    return start, {str(w): (start - w, start) for w in budgets}
+
+
+def within(window: tuple[int, int]):
+    return (F.col("tick") >= window[0]) & (F.col("tick") < window[1])
+
+
+CURVE = "model string, budget long, n long, prevalence double, brier double, log_loss double, pr_auc double"
+
+
+def learning_curve(book: DataFrame, trades: DataFrame, budgets, label: str = "a_h10", test: int = DAY * 5, rounds: int = 160, most: int | None = 100_000, models=("m0", "m1", "m2", "m3"), tune: int = 0) -> DataFrame:
+    """A row per budget of training time and model, scored on the last `test` ticks: model, budget, n, prevalence, brier,
+    log_loss, pr_auc. A budget whose rows show one label has no row.
+
+    most: sampled events of a Hawkes fit; None scales it with the budget, from 100,000 for the smallest. tune: candidate
+    settings of each model, judged on the last part of its training rows; with it, base (the default's score there) and
+    best stand beside.
+    """
+    x, events = matrix(book, trades, extra=True)
+    if x.isEmpty():
+        return book.sparkSession.createDataFrame([], CURVE)
+    start, windows = budget_windows(x, budgets, test)
+    sizes = {w: most or 100_000 * max(1, round((z - a) / min(budgets))) for w, (a, z) in windows.items()}
+    rates = window_fits(events, windows, {w: min(n, 5_000_000) for w, n in sizes.items()}) if "m2" in models else dict.fromkeys(windows)
+    y = f"target_{label}"
+    fits = [f for w, t in windows.items() for f in ladder(w, y, within(t), rates[w], rounds, models)]
+    made = trees.tuned(x, fits, "tick", KEY, tune) if tune else trees.fit_all(x, fits, KEY)
+    if not made:
+        return book.sparkSession.createDataFrame([], CURVE)
+    models_ = {n: m[:2] for n, m in made.items()}
+    out = quality(trees.score_all(x.where(F.col("tick") >= start), models_, [*KEY, y]), models_, y)
+    out = out.select("model", F.col("part").cast("long").alias("budget"), "n", "prevalence", "brier", "log_loss", "pr_auc")
+    if tune:
+        found = book.sparkSession.createDataFrame([(n.split()[0], int(n.split()[1]), m[3], m[2]) for n, m in made.items()], "model string, budget long, base double, best double")
+        out = out.join(found, ["model", "budget"])
+    return out
+
+
+def folds_of(x: DataFrame, training_days: int) -> dict[str, tuple[int, int]]:
+    """The training window of each day that has so many days before it."""
+    days = sorted(r[0] for r in x.select("day").distinct().collect())  # a row per day
+    return {str(d): ((d - training_days) * DAY, d * DAY) for d in days[training_days:]}
+
+
+def walk_forward(book: DataFrame, trades: DataFrame, training_days: int, label: str = "a_h10", rounds: int = 120, most: int = 100_000, models=("m0", "m1", "m2", "m3"), path: str | None = None) -> DataFrame:
+    """symbol, tick, day, y and a forecast per model: of each day by models of the days before it.
+
+    Folds are kept under `path`, one per day; a day that is there is read and not made again.
+    """
     spark = book.sparkSession
-    x, names = matrix(book, trades)
-    x, extra = with_marks_and_regime(x, book, trades)
-    x = x.persist()
-    last = x.agg(F.max("tick")).first()[0]
-    held = x.where(F.col("tick") >= last - test)
-    events = align.aligned(book, trades).persist()
-    rows = []
-    for width in budgets:
-        train = train_window(x, "tick", test, width)
-        if train.select(label).distinct().count() < 2:
-            continue
-        span = events.where((F.col("tick") >= last - test - width) & (F.col("tick") < last - test))
-        fits = hawkes.fit(span, most, BETAS)
-        for model, own in (("m0", M0), ("m1", names), ("m2", M0 + RATES), ("m3", names + extra)):
-            a, b = (with_rates(train, fits), with_rates(held, fits)) if model == "m2" else (train, held)
-            got = scores(trees.predict(trees.fit(a, own, label, rounds), b, own), label)
-            rows.append((model, width, got["n"], got["prevalence"], got["brier"], got["log_loss"], got["pr_auc"]))
-    x.unpersist()
-    events.unpersist()
-    return spark.createDataFrame(rows, "model string, budget long, n long, prevalence double, brier double, log_loss double, pr_auc double")
-
-
-def walk_forward(book: DataFrame, trades: DataFrame, training_days: int, label: str = "a_h10", rounds: int = 120, most_folds: int | None = None) -> DataFrame:
-    """symbol, tick, day, y, m0, m1: forecasts of each day by models of the days before it."""
-    x, names = matrix(book, trades)
-    x = x.withColumn("day", F.expr("tick div 1440")).persist()
-    days = sorted(r[0] for r in x.select("day").distinct().collect())[training_days:]
-    out = []
-    for day in days[:most_folds]:
-        train, test = x.where((F.col("day") >= day - training_days) & (F.col("day") < day)), x.where(F.col("day") == day)
-        if train.select(label).distinct().count() < 2:
-            continue
-        p = trees.predict(trees.fit(train, M0, label, rounds), test, M0, "m0")
-        out.append(trees.predict(trees.fit(train, names, label, rounds), p, names, "m1").select("symbol", "tick", "day", F.col(label).alias("y"), "m0", "m1"))
-    empty = x.limit(0).select("symbol", "tick", "day", F.col(label).alias("y"), F.lit(0.0).alias("m0"), F.lit(0.0).alias("m1"))
-    return reduce(DataFrame.unionByName, out, empty)
-
-
-def gamma_of(events: DataFrame, most: int, symbol: str | None = None, states: DataFrame | None = None) -> DataFrame:
-    g = hawkes.gamma(hawkes.fit(events, most, BETAS, states=states), BETAS)
-    return g.where(F.col("symbol") == symbol).drop("symbol") if symbol else g
-
-
-def tie_sensitivity(book: DataFrame, trades: DataFrame, most: int = 100_000, symbol: str = "S0") -> DataFrame:
-    """How gamma changes, by block, when the other feed stands first in shared ticks, typing included."""
-    a, b = (gamma_of(align.aligned(book, trades, r).where(F.col("symbol") == symbol), most, symbol) for r in align.RULES)
-    return causality.gamma_change(a, b)
-
-
-def order_only(book: DataFrame, trades: DataFrame, most: int = 100_000, symbol: str = "S0") -> DataFrame:
+    path = path or files.shared_path(spark, "folds")
+    x, events = matrix(book, trades, extra="m3" in models)
+    y = f"target_{label}"
+    kind = "symbol string, tick bigint, day bigint, y int, " + ", ".join(f"{m} double" for m in models)
+    folds = {d: t for d, t in folds_of(x, training_days).items() if not files.exists(spark, f"{path}/forecast_day={d}")}
+    if folds:
+        rates = window_fits(events, folds, most) if "m2" in models else dict.fromkeys(folds)
+        made = trees.fit_all(x, [f for d, t in folds.items() for f in ladder(d, y, within(t), rates[d], rounds, models)], KEY)
+        scored = trees.score_all(x.where(F.col("day").isin([int(d) for d in folds])), made, [*KEY, "day", y], {n: F.col("day") == int(n.split()[1]) for n in made})
+        own = {m: F.coalesce(F.lit(None).cast("double"), *(F.col(f"`{n}`") for n in made if n.startswith(m + " "))) for m in models}
+        out = scored.select(*KEY, "day", F.col(y).alias("y"), *(c.alias(m) for m, c in own.items())).where(" AND ".join(f"{m} IS NOT NULL" for m in models))
+        out.withColumn("forecast_day", F.col("day")).repartition("forecast_day").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("forecast_day").parquet(path)
+    if not files.exists(spark, path):
+        return spark.createDataFrame([], kind)
+    return files.with_columns(spark.read.parquet(path), [*KEY, "day", "y", *models], path)
+
+
+def marks_tested(book: DataFrame, trades: DataFrame, training_days: int, label: str = "a_h10", models=("m1", "m3", "m3r")) -> DataFrame:
+    """A row per variant of m3: the test of equal predictive ability of m1 and it, on rolling forecasts."""
+    x = files.staged(walk_forward(book, trades, training_days, label, models=models), "forecasts")
+    loss = lambda m: metrics.log_loss(F.col("y"), F.col(m))
+    rows = [(m, *metrics.giacomini_white(x, F.expr("tick div 60"), loss("m1"), loss(m)).values()) for m in models[1:]]
+    return book.sparkSession.createDataFrame(rows, "model string, blocks long, mean double, statistic double, p_value double")
+
+
+def tie_sensitivity(book: DataFrame, trades: DataFrame, most: int = 100_000) -> DataFrame:
+    """How each symbol's gamma changes, by block, when the other feed stands first in shared ticks, typing included."""
+    a, b = (hawkes.gamma(hawkes.fit(files.staged(align.aligned(book, trades, r), "aligned"), most)) for r in align.RULES)
+    return causality.gamma_change(a, b, ["symbol"])
+
+
+def order_only(book: DataFrame, trades: DataFrame, most: int = 100_000) -> DataFrame:
     """The same when only the order changes; and, as masked, with states that ignore the other feed in mixed ticks."""
     from ..sources.feeds import TOUCH
 
-    events = align.aligned(book, trades).where(F.col("symbol") == symbol).persist()  # read by four fits
-    turned = causality.quotes_first(events)
-    plain = causality.gamma_change(gamma_of(events, most, symbol), gamma_of(turned, most, symbol)).withColumn("states", F.lit("ordered"))
-    a, b = (gamma_of(e, most, symbol, decay.before_events_masked(e, TOUCH, BETAS)) for e in (events, turned))
-    return plain.unionByName(causality.gamma_change(a, b).withColumn("states", F.lit("masked")))
-
-
-def label_grid(book: DataFrame, trades: DataFrame, horizons=(2, 10), depletions=(0.25, 0.5), rounds: int = 160, test: int = 1440 * 5) -> DataFrame:
-    """A row per label: the difference of the log losses of m0 and m1 on the last days, and its stepdown p-value."""
-    x, names = matrix(book, trades, horizons=horizons, depletions=depletions)
-    x = x.persist()
-    last = x.agg(F.max("tick")).first()[0]
-    train, held = x.where(F.col("tick") < last - test), x.where(F.col("tick") >= last - test)
-    specs = [f"a_h{h}" for h in horizons] + [f"b_x{round(100 * d)}_h{h}" for h in horizons for d in depletions]
-    held, done = held.withColumn("day", F.expr("tick div 1440")), []
-    for s in specs:
-        if train.select(s).distinct().count() < 2:
-            continue
-        p = trees.predict(trees.fit(train, M0, s, rounds), held, M0, "p0")
-        held = trees.predict(trees.fit(train, names, s, rounds), p, names, "p1")
-        held = held.withColumn(f"d_{s}", metrics.log_loss(F.col(s), F.col("p0")) - metrics.log_loss(F.col(s), F.col("p1"))).drop("p0", "p1")
-        done.append(s)
-    spark = book.sparkSession
+    events = files.staged(align.aligned(book, trades), "aligned")
+    turned = files.staged(causality.quotes_first(events), "turned")
+    change = lambda masked: causality.gamma_change(*(hawkes.gamma(hawkes.fit(e, most, masked=masked)) for e in (events, turned)), ["symbol"])
+    return change(None).withColumn("states", F.lit("ordered")).unionByName(change(TOUCH).withColumn("states", F.lit("masked")))
+
+
+def label_grid(book: DataFrame, trades: DataFrame, horizons=HORIZONS, depletions=DEPLETIONS, rounds: int = 160, test: int = DAY * 5, most: int = 100_000, training_days: int | None = None) -> DataFrame:
+    """A row per label: days, the mean difference of the log losses of m2 and m1, and its stepdown p-value over all labels.
+
+    Static: models of all rows before the last `test` ticks, scored on these. With training_days, models of so many days
+    before each day, scored on it. The Hawkes fits of a window serve all labels.
+    """
+    x, events = matrix(book, trades, horizons, depletions)
+    kind = "label string, days long, gain double, p_value double"
+    if x.isEmpty():
+        return book.sparkSession.createDataFrame([], kind)
+    if training_days is None:
+        start = x.agg(F.max("tick")).first()[0] - test
+        windows, held = {"all": (0, start)}, {"all": F.col("tick") >= start}
+    else:
+        windows = folds_of(x, training_days)
+        held = {d: F.col("day") == int(d) for d in windows}
+    rates, specs = window_fits(events, windows, most), label_names(horizons, depletions)
+    fits = [f for w, t in windows.items() for s in specs for f in ladder(f"{s} {w}", f"target_{s}", within(t), rates[w], rounds, ("m1", "m2"))]
+    made = trees.fit_all(x, fits, KEY)
+    scored = trees.score_all(x, made, [*KEY, "day", *(f"target_{s}" for s in specs)], {n: held[n.split()[2]] for n in made})
+    loss = lambda m, s: F.coalesce(F.lit(None).cast("double"), *(metrics.log_loss(F.col(f"target_{s}"), F.col(f"`{n}`")) for n in made if n.startswith(f"{m} {s} ")))
+    done = [s for s in specs if any(n.startswith(f"m1 {s} ") for n in made)]
     if not done:
-        return spark.createDataFrame([], "label string, gain double, p_value double")
-    held = held.select("day", *(f"d_{s}" for s in done)).persist()
-    means = held.agg(*(F.avg(f"d_{s}").alias(s) for s in done)).first()
-    p = metrics.romano_wolf(held, "day", [f"d_{s}" for s in done])
-    return spark.createDataFrame([(s, means[s], p[f"d_{s}"]) for s in done], "label string, gain double, p_value double")
+        return book.sparkSession.createDataFrame([], kind)
+    d = files.staged(scored.select("day", *((loss("m2", s) - loss("m1", s)).alias(s) for s in done)).where(" AND ".join(f"{s} IS NOT NULL" for s in done)), "differences")
+    means = d.agg(F.countDistinct("day").alias("days"), *(F.avg(s).alias(s) for s in done)).first()
+    p = metrics.romano_wolf(d, "day", done)
+    return book.sparkSession.createDataFrame([(s, means["days"], means[s], p[s]) for s in done], kind)
 
 
-def marked_fit(events: DataFrame, trades: DataFrame, most: int) -> DataFrame:
+def marked_fit(events: DataFrame, trades: DataFrame, most: int = 100_000) -> DataFrame:
     """A fit with plain states and, beside them, states in which trades count by their size relative to the median before."""
     size = marks.trade_size_marks(trades).select("symbol", F.col("id").alias("source_id"), F.lit("trades").alias("source"), "mark")
     x = events.join(size, ["symbol", "source", "source_id"], "left").withColumn("mark", F.coalesce("mark", F.lit(1.0)))
-    return hawkes.fit(x, most, mark="mark")
+    return hawkes.fit(files.staged(x, "marked"), most, mark="mark")
 
 
 def regime(events: DataFrame, width: int = 1440) -> DataFrame:
@@ -177,9 +239,8 @@ def regime(events: DataFrame, width: int = 1440) -> DataFrame:
     return r.select("symbol", (F.col("start") + width).alias("tick"), F.col("radius").alias("value"))
 
 
-def transfer(events: DataFrame, source: str, most: int) -> DataFrame:
+def transfer(events: DataFrame, source: str, most: int = 100_000) -> DataFrame:
     """Base rates of every symbol under the alpha fitted on one."""
-    fits = hawkes.fit(events.where(F.col("symbol") == source), most)
-    others = events.select("symbol").distinct()
-    spread = others.crossJoin(F.broadcast(fits.drop("symbol")))  # ten rows
-    return hawkes.profiled(events, spread, most)
+    fits = hawkes.fit(events.where(F.col("symbol") == source), most).drop("symbol")
+    spread = events.select("symbol").distinct().withColumn("target", F.explode(F.sequence(F.lit(0), F.lit(9)))).join(fits, "target")
+    return hawkes.profiled(events, files.small(spread, "spread"), most)

@@ -80,9 +80,7 @@ def events(spark: SparkSession, sf_dir: str, rule: str = "trades_first") -> Data
 
 def stored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The aligned stream as a written table, for what reads it several times."""
-    path = files.shared_path(spark, "aligned")
-    events(spark, sf_dir).write.parquet(path)
-    return spark.read.parquet(path)
+    return files.staged(events(spark, sf_dir), "aligned")
 
 
 # Sources and sinks
@@ -385,7 +383,7 @@ def mth5_seasonality(spark, sf_dir):
     return g.select("symbol", "tick", *((r6(v) if k[:3] in ("cos", "sin") else v).alias(k) for k, v in d.items()))
 
 
-@query(grid(11) + f" SELECT symbol, tick, {s6('greatest((1e-9 + exp(-1.0) + 0.5 + 0.3 * cos(2 * pi() * (tick * 60 % 86400) / 86400) + 0.4 * sin(2 * pi() * (tick * 60 % 86400) / 86400)) * exp(CASE WHEN (tick * 60 % 86400) <= 300 THEN 0.7 ELSE 0 END), 1e-9)')} AS rate FROM g")
+@query(grid(11) + f" SELECT symbol, tick, {s6('greatest((1e-9 + exp(-1.0) + sqrt(0.25 + 1e-9) + 7 * sqrt(1e-9) + 0.3 * cos(2 * pi() * (tick * 60 % 86400) / 86400) + 0.4 * sin(2 * pi() * (tick * 60 % 86400) / 86400)) * exp(CASE WHEN (tick * 60 % 86400) <= 300 THEN 0.7 ELSE 0 END), 1e-9)')} AS rate FROM g")
 def mth7_seasonal_rate(spark, sf_dir):
     g = features.grid(feeds.derived_book(spark, sf_dir))
     rate = features.seasonal_rate(features.seasonality(F.col("tick") * 60), -1.0, [0.3, 0.4] + [0.0] * 14, [0.0, 0.7, 0.0, 0.0, 0.0, 0.0])
@@ -428,7 +426,7 @@ def win17_average_precision(spark, sf_dir):
 
 @query(FC + f", t AS (SELECT quantile_cont(p, 0.99) AS t FROM f) SELECT {s6('max(t)')} AS threshold, {s6('avg((p >= t)::INT)')} AS alert_rate, {s6('count(*) FILTER (p >= t AND y = 1) / greatest(1, sum(y))')} AS recall, median(tick % 1440) FILTER (p >= t AND y = 1) AS median_lead FROM f, t")
 def agg9_alert_metrics(spark, sf_dir):
-    x = metrics.alert_metrics(forecasts(spark, sf_dir).withColumn("lead", F.col("tick") % 1440), "y", "p", "lead")
+    x = metrics.alert_metrics(forecasts(spark, sf_dir).withColumn("lead", F.col("tick") % 1440), "y", "p", "lead", ["event_id"])
     return x.select(r6("threshold").alias("threshold"), r6("alert_rate").alias("alert_rate"), r6("recall").alias("recall"), "median_lead")
 
 
@@ -606,29 +604,29 @@ def win16_windows(spark, sf_dir):
 
 @query()
 def mdl1_hawkes_fit(spark, sf_dir):
-    return hawkes.fit(stored(spark, sf_dir), 5000)
+    return hawkes.fit(stored(spark, sf_dir))
 
 
 @query()
 def mdl2_stationary_gamma(spark, sf_dir):
-    return hawkes.gamma(hawkes.stationary(hawkes.fit(stored(spark, sf_dir), 5000)))
+    return hawkes.gamma(hawkes.stationary(hawkes.fit(stored(spark, sf_dir))))
 
 
 @query()
 def mdl3_marked_fit(spark, sf_dir):
-    b, t = book_trades(spark, sf_dir)
-    return experiments.marked_fit(align.aligned(b, t), t, 5000)
+    return experiments.marked_fit(stored(spark, sf_dir), feeds.derived_trades(spark, sf_dir))
 
 
 @query()
 def mdl4_profiled_mu(spark, sf_dir):
     e = stored(spark, sf_dir)
-    return hawkes.profiled(e, hawkes.fit(e, 5000), 5000)
+    return hawkes.profiled(e, files.staged(hawkes.fit(e), "fits"))
 
 
 @query()
 def mdl5_seasonal_profile(spark, sf_dir):
-    return hawkes.seasonal_profile(stored(spark, sf_dir), most=5000)
+    e = stored(spark, sf_dir)
+    return hawkes.seasonal_profile(e, files.staged(hawkes.fit(e), "fits"))
 
 
 @query()
@@ -636,26 +634,29 @@ def mdl6_windowed_radius(spark, sf_dir):
     return hawkes.windowed_radius(stored(spark, sf_dir), 1440)
 
 
+def one_model(spark, sf_dir, make) -> DataFrame:
+    """Probabilities of all samples by the model that make(matrix, fits) gives."""
+    x, events = experiments.matrix(*book_trades(spark, sf_dir))
+    made = make(x, experiments.ladder("all", "target_a_h10", None, None, 160, ("m1",)))
+    p = trees.score_all(x, {"probability": m[:2] for m in made.values()}, ["symbol", "tick", "target_a_h10"])
+    return p.withColumnRenamed("target_a_h10", "a_h10")
+
+
 @query()
 def mdl7_boosted_trees(spark, sf_dir):
-    x, names = experiments.matrix(*book_trades(spark, sf_dir))
-    x = x.persist()  # boosting passes over it many times
-    return trees.predict(trees.fit(x, names, "a_h10"), x, names).select("symbol", "tick", "a_h10", "probability")
+    return one_model(spark, sf_dir, lambda x, fits: trees.fit_all(x, fits, ["symbol", "tick"]))
 
 
 @query()
 def mdl8_tuned_trees(spark, sf_dir):
-    x, names = experiments.matrix(*book_trades(spark, sf_dir))
-    x = x.persist()  # boosting passes over it many times
-    model, _ = trees.tuned(x, names, "a_h10", "tick", candidates=16, rounds=160)
-    return trees.predict(model, x, names).select("symbol", "tick", "a_h10", "probability")
+    return one_model(spark, sf_dir, lambda x, fits: trees.tuned(x, fits, "tick", ["symbol", "tick"]))
 
 
 @query()
 def sta3_marks_and_regime(spark, sf_dir):
     b, t = book_trades(spark, sf_dir)
-    x, names = experiments.with_marks_and_regime(features.grid(b, lead=3), b, t)
-    return x.select("symbol", "tick", *names)
+    x = experiments.with_marks_and_regime(features.grid(b, lead=3), b, t, events=stored(spark, sf_dir))
+    return x.select("symbol", "tick", *experiments.MARKS, "regime")
 
 
 BUDGETS = (120, *(1440 * days for days in (1, 3, 7, 14, 23, 31)))  # ticks of training; more than the table has is all of it
@@ -673,12 +674,12 @@ def exp2_walk_forward(spark, sf_dir):
 
 @query()
 def exp3_tie_sensitivity(spark, sf_dir):
-    return experiments.tie_sensitivity(*book_trades(spark, sf_dir), most=5000)
+    return experiments.tie_sensitivity(*book_trades(spark, sf_dir))
 
 
 @query()
 def exp4_order_only_gamma(spark, sf_dir):
-    return experiments.order_only(*book_trades(spark, sf_dir), most=5000)
+    return experiments.order_only(*book_trades(spark, sf_dir))
 
 
 @query()
@@ -686,14 +687,39 @@ def exp5_label_grid(spark, sf_dir):
     return experiments.label_grid(*book_trades(spark, sf_dir))
 
 
+@query()
+def exp5_rolling_label_grid(spark, sf_dir):
+    return experiments.label_grid(*book_trades(spark, sf_dir), rounds=120, training_days=10)
+
+
+@query()
+def exp6_budget_sweep(spark, sf_dir):
+    return experiments.learning_curve(*book_trades(spark, sf_dir), budgets=BUDGETS, most=None, models=("m2",))
+
+
+@query()
+def exp6_tuned_budgets(spark, sf_dir):
+    return experiments.learning_curve(*book_trades(spark, sf_dir), budgets=BUDGETS, models=("m1", "m2"), tune=16)
+
+
+@query()
+def exp6_static_variants(spark, sf_dir):
+    return experiments.learning_curve(*book_trades(spark, sf_dir), budgets=BUDGETS, models=("m1", "m3", "m3r", "m3k"))
+
+
+@query()
+def exp6_rolling_variants(spark, sf_dir):
+    return experiments.marks_tested(*book_trades(spark, sf_dir), training_days=10)
+
+
 @query()
 def exp7_seasonal_gain(spark, sf_dir):
-    return hawkes.seasonal_profile(stored(spark, sf_dir), most=5000).select("symbol", "target", (F.col("loglik") - F.col("constant")).alias("gain"))
+    return mdl5_seasonal_profile(spark, sf_dir).select("symbol", "target", (F.col("loglik") - F.col("constant")).alias("gain"))
 
 
 @query()
 def exp8_transfer(spark, sf_dir):
-    return experiments.transfer(stored(spark, sf_dir), "S0", 5000)
+    return experiments.transfer(stored(spark, sf_dir), "S0")
 
 
 # Streaming

@@ -8,27 +8,49 @@ import uuid
 import zipfile
 from datetime import date, timedelta
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from .feeds import FEEDS
 
+FILE_ROWS = 5_000_000
+
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that driver and executors share; in a temporary one where the session names none."""
+    """A new path in the folder that driver and executors share; in a temporary one only on a local master that names none."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         at = "file://" + tempfile.mkdtemp(prefix="pulseloom-")
         spark.conf.set("spark.checkpoint.dir", at)
     return f"{at.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """df written to the shared folder and read back: what reads it several times doesn't make it again."""
+    path, schema = shared_path(df.sparkSession, name), df.schema
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(schema).parquet(path)
+
+
+def small(df: DataFrame, name: str, most: int = 100_000) -> DataFrame:
+    """df staged, with a hint to broadcast it if it has at most `most` rows."""
+    x = staged(df, name)
+    return F.broadcast(x) if x.count() <= most else x
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def days(start: date, end: date) -> list[date]:
     if end < start:
         raise ValueError("end lies before start")
@@ -38,9 +60,9 @@ def days(start: date, end: date) -> list[date]:
 def items(spark: SparkSession, start: date, end: date, feeds=tuple(FEEDS), symbol: str = "S0") -> DataFrame:
     """symbol, feed and day of every file that the range needs."""
     if unknown := set(feeds) - set(FEEDS):
-        raise ValueError(f"unknown feeds: {sorted(unknown)}")
+        raise ValueError(f"no such feed: {sorted(unknown)}")
     if end < start:
-        raise ValueError("end lies before start")
+        raise ValueError(f"{end} is before {start}")
     x = spark.range(1).select(F.lit(symbol).alias("symbol"), F.explode(F.array(*map(F.lit, feeds))).alias("feed"))
     return x.withColumn("day", F.explode(F.sequence(F.lit(start), F.lit(end)))).withColumn("day", F.col("day").cast("string"))
 
@@ -73,26 +95,49 @@ def read_zip(spark: SparkSession, path: str, schema: StructType, chunk: int = 50
 
 
 def write_days(df: DataFrame, path: str, by=("symbol", "day"), rows: int | None = None) -> int:
-    """Writes a partition per (symbol, day), replaces only the partitions at hand, and checks the count of rows."""
+    """Writes a partition per (symbol, day), replaces only the partitions at hand, checks the count of rows, and returns
+    the number of partitions.
+
+    The partitions are listed as they are written, in a table beside; only those are counted.
+    """
     spark = df.sparkSession
-    df = df.repartition(*by)
-    writer = df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd").option("maxRecordsPerFile", 5_000_000).partitionBy(*by)
-    keys = [tuple(r) for r in df.select(*by).distinct().limit(10_001).collect()]
-    writer.parquet(path)
-    if rows is not None:
-        at = spark.read.parquet(path)
-        if len(keys) <= 10_000:
-            at = at.join(F.broadcast(spark.createDataFrame(keys, df.select(*by).schema)), list(by), "left_semi") if keys else at.limit(0)
-        if (n := at.count()) != rows:
-            raise RuntimeError(f"{n} rows were written, {rows} expected")
-    return len(keys)
-
-
-def convert_once(spark: SparkSession, source: str, target: str, schema: StructType) -> bool:
-    """Converts CSV to Parquet unless the target is there; whether it did."""
+    at = staged(df, "days")
+    keys = staged(at.groupBy(*by).agg(F.count("*").alias("n")), "keys")
+    have, total = keys.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    if rows is not None and total != rows:
+        raise RuntimeError(f"{total} rows are at hand, {rows} expected")
+    salt = F.pmod(F.xxhash64(F.struct(*at.columns)), F.ceil(F.col("n") / FILE_ROWS))  # a large day is several tasks
+    spread = at.join(keys, list(by)).withColumn("__salt", salt).repartition(*by, "__salt").drop("n", "__salt")
+    spread.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd").option("maxRecordsPerFile", FILE_ROWS).partitionBy(*by).parquet(path)
+    if (n := spark.read.schema(df.schema).parquet(path).join(keys, list(by), "left_semi").count()) != total:
+        raise RuntimeError(f"{n} rows were written, {total} expected")
+    return have
+
+
+def write_features(df: DataFrame, path: str, labels: list[str], by=("symbol", "day")) -> list[str]:
+    """Writes a feature matrix by day, its doubles as floats, in row groups of about a hundred thousand rows; labels are
+    named target_<label>. Returns these names."""
+    kinds = dict(df.dtypes)
+    names = {c: f"target_{c}" for c in labels}
+    x = df.select(*(F.col(c).cast("float").alias(c) if kinds[c] == "double" else F.col(c).alias(names.get(c, c)) for c in df.columns))
+    width = 4 * len(df.columns)
+    x.repartition(*by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd").option("parquet.block.size", 100_000 * width).partitionBy(*by).parquet(path)
+    return list(names.values())
+
+
+def convert_once(spark: SparkSession, source: str, target: str, schema: StructType, discard: bool = False) -> bool:
+    """Converts CSV to Parquet unless the target is there; whether it did.
+
+    With discard, the CSV is deleted once the table holds as many rows as it.
+    """
     if exists(spark, f"{target}/_SUCCESS"):
         return False
-    read_csv(spark, source, schema).write.mode("overwrite").option("compression", "zstd").parquet(target)
+    seen = Observation()
+    read_csv(spark, source, schema).observe(seen, F.count("*").alias("n")).write.mode("overwrite").option("compression", "zstd").parquet(target)
+    if discard:
+        if (n := spark.read.schema(schema).parquet(target).count()) != seen.get["n"]:
+            raise RuntimeError(f"{n} rows were written, {seen.get['n']} read")
+        remove(spark, source)
     return True
 
 
@@ -116,10 +161,14 @@ def fold_once(spark: SparkSession, path: str, make, columns: list[str]) -> DataF
     """A fold's rows: read if they are at `path`, else made and written. Columns that they lack are an error."""
     if not exists(spark, f"{path}/_SUCCESS"):
         make().write.mode("overwrite").parquet(path)
-    x = spark.read.parquet(path)
+    return with_columns(spark.read.parquet(path), columns, path)
+
+
+def with_columns(x: DataFrame, columns: list[str], path: str) -> DataFrame:
+    """The columns of x, which was read from path; those that it lacks are an error."""
     if missing := set(columns) - set(x.columns):
         raise ValueError(f"{path} lacks {sorted(missing)}")
-    return x
+    return x.select(columns)
 
 
 def write_json(df: DataFrame, path: str) -> None:

@@ -149,7 +149,7 @@ def test_metrics(spark):
     x = spark.createDataFrame([(i, s, y) for i, (s, y) in enumerate([(0.9, 1), (0.9, 0), (0.5, 1), (0.1, 0)])], "id int, p double, y int")
     assert metrics.average_precision(x, "y", "p", ["id"]).first()["average_precision"] == pytest.approx((1 + 2 / 3) / 2)
     assert metrics.average_precision(x.where("y = 0"), "y", "p", ["id"]).first()["average_precision"] is None
-    a = metrics.alert_metrics(x.withColumn("lead", F.col("id") * 10), "y", "p", "lead", 0.5).first()
+    a = metrics.alert_metrics(x.withColumn("lead", F.col("id") * 10), "y", "p", "lead", ["id"], 0.5).first()
     assert (a["threshold"], a["alert_rate"], a["recall"], a["median_lead"]) == (0.7, 0.5, 0.5, 0.0)
     few = spark.createDataFrame([(1, 0.5), (2, 0.1)], "block long, diff double")
     assert math.isnan(metrics.mean_test(few)["p_value"])
@@ -167,9 +167,9 @@ def test_romano_wolf(spark):
     day = np.arange(400) // 40
     x = spark.createDataFrame([(int(d), float(a), float(b)) for d, (a, b) in zip(day, v, strict=True)], "day long, a double, b double")
     p = metrics.romano_wolf(x, "day", ["a", "b"], 300, 9)
-    rng, c = np.random.default_rng(9), v - v.mean(0)
+    draws, c = np.random.default_rng(9).multinomial(10, [0.1] * 10, 300), v - v.mean(0)
     t = lambda x, m=0: np.abs((x.mean(0) + m) / (x.std(0, ddof=1) / math.sqrt(len(x))))
-    boot = np.array([t(np.concatenate([c[day == i] for i in rng.integers(0, 10, 10)])) for _ in range(300)])
+    boot = np.array([t(np.concatenate([c[day == i] for i, n in enumerate(draw) for _ in range(n)])) for draw in draws])
     obs = t(v)
     first, second = (1, 0) if obs[1] > obs[0] else (0, 1)
     p1 = (boot.max(1) >= obs[first]).mean()
@@ -230,58 +230,166 @@ def test_marks_have_their_own_block(spark):
             assert r["loglik"] == pytest.approx(own[r["target"]]["loglik"], rel=1e-3, abs=1e-2)
 
 
+def test_seasonal_gradient_and_exposure():
+    """The gradient against differences; five minutes for each indicator and day, and the whole span in sum."""
+    rng = np.random.default_rng(4)
+    at, lasts = hawkes.exposure(1_000_000 * 86_400 + 1_800, 3 * 86_400)
+    assert lasts.sum() == pytest.approx(3 * 86_400)
+    grid = hawkes.day_design(at)
+    assert (lasts @ grid[:, hawkes.WAVES :]).tolist() == [900.0] * 6
+    at, lasts = hawkes.exposure(7.0, 130.0)
+    assert at.tolist() == [37.0, 97.0, 157.0] and lasts.tolist() == [60.0, 60.0, 10.0]
+    theta = rng.normal(0, 0.3, 23)
+    rate, d = hawkes.harmonic_rate(theta, grid)
+    assert (rate > 0).all()
+    for i in range(23):
+        step = np.zeros(23)
+        step[i] = 1e-6
+        assert (hawkes.harmonic_rate(theta + step, grid)[0] - hawkes.harmonic_rate(theta - step, grid)[0]) / 2e-6 == pytest.approx(d[:, i], abs=1e-5)
+
+
+def test_day_design_is_the_seasonality(spark):
+    x = spark.range(0, 200_000, 137)
+    got = x.select(*features.seasonality(F.col("id")).values()).toPandas().to_numpy(float)
+    assert np.abs(got - hawkes.day_design(np.arange(0, 200_000, 137.0))).max() < 1e-9
+
+
+def test_seasonal_solver_finds_the_wave():
+    """Events of a rate that swings with the day: the wave is found, and beats a constant rate; no step makes it better."""
+    rng = np.random.default_rng(1)
+    at, lasts = hawkes.exposure(0.0, 20 * 86_400)
+    true = lambda s: 1e-3 * (1 + 0.8 * np.cos(2 * np.pi * s / 86_400))
+    s = rng.uniform(0, 20 * 86_400, 60_000)
+    s = s[rng.uniform(0, 2e-3, len(s)) < true(s)]
+    grid, own = hawkes.day_design(at), hawkes.day_design(s)
+    w = 20 * 86_400 * 1e-3 / len(s)
+    theta, value, done = hawkes.seasonal_solve(own, np.zeros(len(s)), w, grid, lasts, 1e-3)
+    assert done and value > w * len(s) * np.log(1e-3) - 20 * 86.4 * 1 + 100
+    fitted = hawkes.harmonic_rate(theta, grid)[0]
+    assert np.corrcoef(fitted, true(at))[0, 1] > 0.95
+    for _ in range(40):
+        new = theta + rng.normal(0, 1e-4, 23)
+        r = hawkes.harmonic_rate(new, own)[0]
+        assert w * np.log(r).sum() - lasts @ hawkes.harmonic_rate(new, grid)[0] <= value + 0.5
+
+
 def test_seasonal_profile_is_no_worse_than_constant(spark):
     _, e = events(spark, 400, 5, 30)
-    for r in hawkes.seasonal_profile(e, most=400).collect():
-        assert r["loglik"] >= r["constant"] - 1e-3 and len(r["harmonic"]) == 16
+    e = e.where("event_code <> 7")
+    fits = hawkes.fit(e, 400)
+    got = hawkes.seasonal_profile(e, fits, most=400).collect()
+    assert sorted(r["target"] for r in got) == list(range(10))
+    for r in got:
+        assert r["loglik"] >= r["constant"] - 0.05 and len(r["harmonic"]) == 16 and len(r["funding"]) == 6
+    mu = {r["target"]: r["mu"] for r in hawkes.profiled(e, fits, 400).collect()}
+    assert len(mu) == 10 and mu[7] == hawkes.FLOOR
+
+
+def test_sample_has_the_states_of_the_whole(spark):
+    _, e = events(spark, 300, 3)
+    whole = {(r["event_time"], r["event_code"]): [r[decay.name_of(j, b)] for j in decay.CODES for b in (0.05, 0.5)] for r in decay.before_events(e, (0.05, 0.5)).collect()}
+    got = hawkes.sample_states(e, 100, (0.05, 0.5)).collect()
+    assert 50 < len(got) <= 100
+    for r in got:
+        assert r["x"] == pytest.approx(whole[r["event_time"], r["target"]])
 
 
 def test_trees(spark):
-    rng = random.Random(0)
-    rows = [(i, rng.random(), None if i % 7 == 0 else rng.random()) for i in range(600)]
-    x = spark.createDataFrame([(t, a, b, int(a + rng.random() / 4 > 0.6)) for t, a, b in rows], "t long, a double, b double, y int").persist()
-    p = trees.predict(trees.fit(x, ["a", "b"], "y", 4), x, ["a", "b"])
-    s = p.groupBy("y").agg(F.avg("probability").alias("p"), F.min("probability").alias("lo"), F.max("probability").alias("hi")).collect()
-    by = {r["y"]: r for r in s}
-    assert by[1]["p"] > by[0]["p"] and all(0 <= r["lo"] <= r["hi"] <= 1 for r in s)
+    rng = np.random.default_rng(0)
+    n = 3000
+    a, b, c = rng.random(n), rng.random(n), rng.random(n)
+    y = (((a > 0.6) ^ (b > 0.5)) | (rng.random(n) < 0.05)).astype(int)
+    rows = [("S", t, float(u), None if t % 7 == 0 else float(v), float("nan") if t % 5 == 0 else float(w), int(k)) for t, (u, v, w, k) in enumerate(zip(a, b, c, y, strict=True))]
+    x = spark.createDataFrame(rows, "symbol string, t long, a double, b double, c double, y int").persist()
+    fits = [trees.Fit("all", ["a", "b", "c"], "y", None, 60), trees.Fit("early", ["b", "a"], "y", F.col("t") < 2000, 150, {"least": 20, "fraction": 1.0}), trees.Fit("none", ["a"], "y", F.col("t") < 0), trees.Fit("lam", ["a"], "y", None, 150, {"least": 20, "fraction": 1.0}, (["b"], {"S": ([0.5], [[2.0]])}))]
+    made = trees.fit_all(x, fits, ["symbol", "t"])
+    assert set(made) == {"all", "early", "lam"}
+    p = trees.score_all(x, made, ["symbol", "t", "y"], {"early": F.col("t") >= 2000}).toPandas()
+    assert p["early"].isna().sum() == 2000 and p["all"].between(0, 1).all()
+    right = lambda q: ((p[q] > 0.5) == p["y"])[p[q].notna()].mean()
+    assert right("all") > 0.85 and right("early") > 0.75 and right("lam") > 0.75
+    again = trees.fit_all(x.repartition(7), fits, ["symbol", "t"])
+    assert again["all"][1] == made["all"][1]
     with pytest.raises(ValueError):
-        trees.tuned(x, ["a"], "y", "t", share=1.5)
+        trees.tuned(x, fits[:1], "t", ["symbol", "t"], share=1.5)
+    tuned = trees.tuned(x, [trees.Fit("own", ["a", "b"], "y", None, 10)], "t", ["symbol", "t"], 4)
+    assert tuned["own"][2] >= tuned["own"][3] > 0
+
+
+def test_trees_against_brute_force():
+    """A tree of two leaves takes the cut of the largest gain, and its leaves the regularised means."""
+    rng = np.random.default_rng(2)
+    for _ in range(20):
+        x = rng.integers(0, 6, (60, 3)).astype(float)
+        x[rng.random(x.shape) < 0.1] = np.nan
+        y = rng.integers(0, 2, 60)
+        m = trees.Boosting(x, y, 1, 2, 5, 1.0, 1.0, rate=1.0)
+        w = np.where(y == 1, (60 - y.sum()) / y.sum(), 1.0)
+        g, h = w * (0.5 - y), w * 0.25
+        gain = lambda on: sum(g[k].sum() ** 2 / (h[k].sum() + 1) for k in (on, ~on))
+        cuts = [np.where(np.isnan(x[:, i]), gone, x[:, i] <= v) for i in range(3) for v in range(6) for gone in (False, True)]
+        best = max(gain(on) for on in cuts if 5 <= on.sum() <= 55)
+        f, cut, gone = m.nodes[0][:3]
+        on = np.where(np.isnan(x[:, f]), gone, x[:, f] <= cut)
+        assert gain(on) == pytest.approx(best)
+        value = np.where(on, -g[on].sum() / (h[on].sum() + 1), -g[~on].sum() / (h[~on].sum() + 1))
+        assert trees.Scorer(m.model())(x) == pytest.approx(1 / (1 + np.exp(-value)))
+
+
+def test_ranks_of_tied_scores(spark):
+    rng = random.Random(1)
+    rows = [(i, rng.choice("ab"), rng.choice([0.5, 0.5, 0.5, 0.1, 0.9, rng.random()]), rng.randrange(2)) for i in range(3000)]
+    x = spark.createDataFrame(rows, "id int, g string, p double, y int")
+    got = {(r["g"], r["id"]): (r["rank"], r["ones"]) for r in metrics.ranked(x, "p", ["id"], ["g"], F.col("y")).collect()}
+    for g in "ab":
+        ones = 0
+        for place, (i, _, _, y) in enumerate(sorted((r for r in rows if r[1] == g), key=lambda r: (-r[2], r[0])), 1):
+            ones += y
+            assert got[g, i] == (place, ones)
 
 
 def test_registered_studies_are_whole(monkeypatch):
-    """No fewer folds, budgets, rounds or candidates than the operators' own and the reference's."""
+    """No fewer folds, budgets, rounds, labels or candidates than the studies have."""
     import inspect
 
-    class Frame:
-        def __getattr__(self, name):
-            return lambda *a, **b: self
-
     calls = {}
+    monkeypatch.setattr(queries, "book_trades", lambda *a: (None, None))
+    for name in ("learning_curve", "walk_forward", "label_grid", "marks_tested"):
+        own = inspect.signature(getattr(experiments, name))
 
-    def record(module, name, result):
-        own = inspect.signature(getattr(module, name))
-
-        def call(*a, **b):
+        def call(*a, own=own, **b):
             bound = own.bind(*a, **b)
             bound.apply_defaults()
-            calls[name] = bound.arguments
-            return result
-
-        monkeypatch.setattr(module, name, call)
-
-    monkeypatch.setattr(queries, "book_trades", lambda *a: (Frame(), Frame()))
-    monkeypatch.setattr(experiments, "matrix", lambda *a: (Frame(), []))
-    for name in ("learning_curve", "walk_forward", "label_grid"):
-        record(experiments, name, Frame())
-    record(trees, "fit", None)
-    record(trees, "tuned", (None, {}))
-    monkeypatch.setattr(trees, "predict", lambda *a: Frame())
-    for name in ("exp1_learning_curve", "exp2_walk_forward", "exp5_label_grid", "mdl7_boosted_trees", "mdl8_tuned_trees"):
-        queries.QUERIES[name](None, SF)
-    assert calls["walk_forward"]["most_folds"] is None and calls["walk_forward"]["rounds"] == 120
-    assert len(calls["learning_curve"]["budgets"]) == 7
-    assert [calls[n]["rounds"] for n in ("learning_curve", "label_grid", "fit", "tuned")] == [160] * 4
-    assert calls["tuned"]["candidates"] == 16
+            calls[key] = bound.arguments
+
+        monkeypatch.setattr(experiments, name, call)
+    for key in ("exp1_learning_curve", "exp2_walk_forward", "exp5_label_grid", "exp5_rolling_label_grid", "exp6_budget_sweep", "exp6_tuned_budgets", "exp6_static_variants", "exp6_rolling_variants"):
+        queries.QUERIES[key](None, SF)
+    assert calls["exp2_walk_forward"]["rounds"] == 120 and calls["exp2_walk_forward"]["models"] == ("m0", "m1", "m2", "m3")
+    for key in ("exp1_learning_curve", "exp6_budget_sweep", "exp6_tuned_budgets", "exp6_static_variants"):
+        assert len(calls[key]["budgets"]) == 7 and calls[key]["rounds"] == 160
+    assert calls["exp6_tuned_budgets"]["tune"] == 16
+    assert len(experiments.label_names(calls["exp5_label_grid"]["horizons"], calls["exp5_label_grid"]["depletions"])) == 12
+
+
+def test_walk_forward_keeps_folds(spark, tmp_path, monkeypatch):
+    sf = "/root/testdata/sf0.01"
+    b, t = feeds.derived_book(spark, sf), feeds.derived_trades(spark, sf)
+    first = experiments.walk_forward(b, t, 27, rounds=2, most=100, models=("m0", "m2"), path=f"{tmp_path}/f")
+    assert first.columns == ["symbol", "tick", "day", "y", "m0", "m2"]
+    rows = sorted(map(tuple, first.collect()))
+    days = {r[2] for r in rows}
+    assert rows and all(0 < r[4] < 1 and 0 < r[5] < 1 for r in rows)
+    monkeypatch.setattr(trees, "fit_all", lambda *a: pytest.fail("a fold was made again"))
+    assert sorted(map(tuple, experiments.walk_forward(b, t, 27, rounds=2, most=100, models=("m0", "m2"), path=f"{tmp_path}/f").collect())) == rows
+    assert len(days) >= 1
+
+
+def test_feature_sink(spark, tmp_path):
+    x = spark.createDataFrame([("S", "d", 1, 0.1, 1)], "symbol string, day string, tick long, v double, a_h10 int")
+    assert files.write_features(x, f"{tmp_path}/m", ["a_h10"]) == ["target_a_h10"]
+    got = spark.read.parquet(f"{tmp_path}/m")
+    assert dict(got.dtypes) == {"symbol": "string", "day": "string", "tick": "bigint", "v": "float", "target_a_h10": "int"}
 
 
 def test_files(spark, tmp_path):
@@ -301,6 +409,10 @@ def test_files(spark, tmp_path):
     t.coalesce(1).write.option("header", True).csv(f"{tmp_path}/c")
     assert files.convert_once(spark, f"{tmp_path}/c", f"{tmp_path}/p", feeds.TRADES) and not files.convert_once(spark, f"{tmp_path}/c", f"{tmp_path}/p", feeds.TRADES)
     assert spark.read.parquet(f"{tmp_path}/p").collect() == t.collect()
+    files.convert_once(spark, f"{tmp_path}/c", f"{tmp_path}/q", feeds.TRADES, discard=True)
+    assert not files.exists(spark, f"{tmp_path}/c") and spark.read.parquet(f"{tmp_path}/q").count() == 1
+    with pytest.raises(RuntimeError):
+        files.write_days(x, f"{tmp_path}/d", rows=3)
     import zipfile
 
     with zipfile.ZipFile(f"{tmp_path}/z.zip", "w") as z:
