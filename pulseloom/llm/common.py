@@ -15,9 +15,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none (tests)."""
+    """The folder that driver and executors share; a temporary one only on a local master that names none (tests)."""
     at = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         at = "file://" + tempfile.mkdtemp(prefix="pulseloom-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
@@ -46,11 +48,32 @@ def unused(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+FILTER = 1 << 24  # bits of a key filter, 2 MB whatever the keys
+
+
+def filtered(rows: DataFrame, keys: DataFrame, on: list[str], name: str) -> DataFrame:
+    """rows with the column `name`: false where (by a Bloom filter of one hash and FILTER bits) no row of keys has the
+    same values of `on`, nulls equal. It is broadcast; with very many keys it is true for most rows, and only less useful."""
+    word, mask = unused(rows, "own_word", "own_mask")
+    place = F.xxhash64(*(F.col(f"`{c}`") for c in on)).bitwiseAND(F.lit(FILTER - 1))
+    bit = lambda f, x: F.call_function(f, x, place.bitwiseAND(F.lit(63)).cast("int"))
+    at = F.call_function("shiftright", place, F.lit(6))
+    bits = keys.select(at.alias(word), bit("shiftleft", F.lit(1).cast("long")).alias(mask)).groupBy(word).agg(F.bit_or(mask).alias(mask))
+    x = rows.withColumn(word, at).join(F.broadcast(bits), word, "left")  # FILTER / 64 rows at most
+    return x.withColumn(name, F.coalesce(bit("shiftright", F.col(mask)).bitwiseAND(F.lit(1)) == 1, F.lit(False))).drop(word, mask)
+
+
 HOT = 10_000  # a key with more than this part of all rows is hot; there are fewer than that
 
 
+def sorted_side(df: DataFrame) -> DataFrame:
+    """df with the hint to join it by sorting: each small table that is broadcast instead takes a page of tens of MB in
+    every executor, and skew is split where both sides are sorted."""
+    return df.hint("merge")
+
+
 def spread_join(rows: DataFrame, keyed: DataFrame, keys: list[str]) -> DataFrame:
-    """rows joined with keyed, a staged table with a row for each key and with n, how many of the rows have it.
+    """rows joined with keyed, which has a row for each key and n, how many of the rows have it.
 
     Hot keys are fewer than HOT, so they are broadcast and their rows stay where they are. The others go through an
     exchange in which no key holds more than its part in HOT of the rows.
@@ -58,7 +81,7 @@ def spread_join(rows: DataFrame, keyed: DataFrame, keys: list[str]) -> DataFrame
     most = (keyed.agg(F.sum("n")).first()[0] or 0) // HOT + 1
     hot = F.broadcast(keyed.where(F.col("n") > most))
     rest = rows.join(hot.select(keys), keys, "left_anti")
-    return rows.join(hot, keys).unionByName(rest.join(keyed.where(F.col("n") <= most), keys))
+    return rows.join(hot, keys).unionByName(rest.join(sorted_side(keyed.where(F.col("n") <= most)), keys))
 
 
 def stars(edges: DataFrame, name: str = "cc", rounds: int | None = None) -> DataFrame:
@@ -80,9 +103,8 @@ def stars(edges: DataFrame, name: str = "cc", rounds: int | None = None) -> Data
     while before[0] and rounds != 0:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        low2 = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(low2, "u")
+        large = both.join(sorted_side(low), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        joined = large.join(sorted_side(large.groupBy("u").agg(F.min("v").alias("m"))), "u")
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(joined.select("u", F.col("m").alias("v")))
         e, after = written(small.where("u <> v"))
         if after == before:

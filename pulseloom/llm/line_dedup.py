@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import spread_join, staged, unused
+from .common import filtered, spread_join, staged, unused
 
 SPAN = 3
 
@@ -50,11 +50,13 @@ def dedup_lines(docs: DataFrame, count: str = "n_removed", drop_emptied: bool =
     that loses every line becomes empty; drop_emptied drops such rows. Other columns pass through whatever
     their names, one named like the count is replaced. An empty table gives an empty result.
     """
-    cover = later_windows(docs).groupBy("d", "t").agg(F.collect_set("j").alias("js"))  # at most a document's lines
+    cover = staged(later_windows(docs).groupBy("d", "t").agg(F.collect_set("j").alias("js")), "cover")  # at most a document's lines
     x = docs.drop(count)
-    d, t, u, js, text, n = unused(x, "own_d", "own_t", "own_u", "own_js", "own_text", "own_n")
+    d, t, u, js, text, n, maybe = unused(x, "own_d", "own_t", "own_u", "own_js", "own_text", "own_n", "own_maybe")
+    x = filtered(x.withColumn(t, F.xxhash64("text")), cover.select(F.col("d").alias("doc_id"), F.col("t").alias(t)), ["doc_id", t], maybe)
     cover = cover.select(F.col("d").alias(d), F.col("t").alias(u), F.col("js").alias(js))
-    x = x.withColumn(t, F.xxhash64("text")).join(cover.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col(d)) & (F.col(t) == F.col(u)), "left")
+    hit = x.where(maybe).join(cover, F.col("doc_id").eqNullSafe(F.col(d)) & (F.col(t) == F.col(u)), "left")
+    x = hit.drop(d, u).unionByName(x.where(~F.col(maybe)).withColumn(js, F.lit(None).cast("array<int>")))  # most rows lose nothing and stay where they are
     solid = lambda lines: F.filter(F.sequence(F.lit(0), F.size(lines) - 1), lambda i: F.get(lines, i).rlike(r"\S"))
     covered = lambda places: F.array_distinct(F.flatten(F.transform(js, lambda j: F.slice(places, j + 1, SPAN))))
     without = lambda lines, gone: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone), lambda i: F.get(lines, i)), "\n")

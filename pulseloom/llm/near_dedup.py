@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from .common import kept, labels, small_batches, spread_join, staged, stars, unused
+from .common import filtered, kept, labels, small_batches, sorted_side, spread_join, staged, stars, unused
 
 T = 64  # coordinates of a signature
 SMALL = 1024  # classes in a node that are compared exhaustively
@@ -293,7 +293,7 @@ def node_links(rows: DataFrame, docs: DataFrame, classes: DataFrame, least: floa
     pairs = staged(found.where("a IS NOT NULL").select("a", "b").distinct(), "pairs")
     dense = found.where("cid IS NOT NULL")
     texts = texts_of(dense.select("cid").unionByName(ends_of(pairs)).distinct(), docs, classes)
-    dense = by_node(dense.join(texts, "cid"), ["cid", "comp", "sig", "text"], second, "a binary, b binary")
+    dense = by_node(dense.join(sorted_side(texts), "cid"), ["cid", "comp", "sig", "text"], second, "a binary, b binary")
     return confirm(pairs, texts, k, percent).unionByName(dense).distinct()
 
 
@@ -307,10 +307,11 @@ def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
 
 
 def texts_of(ids: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """cid and text, once for each cid of ids."""
-    wanted = ids.join(classes.select("cid", F.col("doc_id").alias("d"), F.col("rk").alias("r")), "cid")
-    rows = docs.select("doc_id", F.xxhash64("text").alias("rk"), "text")
-    texts = rows.join(wanted, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("rk") == F.col("r"))).select("cid", "text")
+    """cid and text, once for each cid of ids. A filter of the wanted rows keeps most other texts out of the exchange."""
+    wanted = staged(ids.join(sorted_side(classes.select("cid", "doc_id", "rk")), "cid"), "wanted")
+    rows = filtered(docs.select("doc_id", F.xxhash64("text").alias("rk"), "text"), wanted, ["doc_id", "rk"], "maybe").where("maybe")
+    wanted = wanted.select("cid", F.col("doc_id").alias("d"), F.col("rk").alias("r"))
+    texts = rows.join(sorted_side(wanted), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("rk") == F.col("r"))).select("cid", "text")
     return staged(texts, "texts").dropDuplicates(["cid"])
 
 
@@ -381,7 +382,7 @@ def confirm(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFra
                     keep.append(i)
             yield b.select(["a", "b"]).take(pa.array(keep, pa.int64()))
 
-    x = pairs.join(texts.select(F.col("cid").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("cid").alias("b"), F.col("text").alias("tb")), "b")
+    x = pairs.join(sorted_side(texts.select(F.col("cid").alias("a"), F.col("text").alias("ta"))), "a").join(sorted_side(texts.select(F.col("cid").alias("b"), F.col("text").alias("tb"))), "b")
     return x.select("a", "b", "ta", "tb").mapInArrow(run, "a binary, b binary")
 
 
@@ -395,7 +396,7 @@ def groups(docs: DataFrame, k: int, threshold: float, trees: int = 10, rounds: i
     linked = comps = None
     for step, own in enumerate((list(range(FEW)), list(range(trees)))):
         rows = classes.select("cid", "sig")
-        rows = rows.join(comps, rows.cid == comps.node, "left").select("cid", F.coalesce("comp", "cid").alias("comp"), "sig") if comps is not None else rows.withColumn("comp", F.col("cid"))
+        rows = rows.join(sorted_side(comps), rows.cid == comps.node, "left").select("cid", F.coalesce("comp", "cid").alias("comp"), "sig") if comps is not None else rows.withColumn("comp", F.col("cid"))
         every = step == 1
         rows = split_nodes(rows, own, threshold, rounds if every else 1, step, every)
         if every:
@@ -406,9 +407,9 @@ def groups(docs: DataFrame, k: int, threshold: float, trees: int = 10, rounds: i
         edges = staged(new, "links") if linked is None else staged(new, "links").unionByName(linked.select(F.col("u").alias("a"), F.col("v").alias("b")))
         linked = stars(edges, rounds=None if every else EARLY)
         comps = labels(linked)
-    lowest = classes.join(comps, classes.cid == comps.node, "left").select("cid", F.coalesce("comp", "cid").alias("comp"), "low", "n")
+    lowest = classes.join(sorted_side(comps), classes.cid == comps.node, "left").select("cid", F.coalesce("comp", "cid").alias("comp"), "low", "n")
     ids = lowest.groupBy("comp").agg(F.min("low").alias("component_id"))
-    owner = staged(lowest.select("cid", "comp", "n").join(ids, "comp"), "owners")
+    owner = staged(lowest.select("cid", "comp", "n").join(sorted_side(ids), "comp"), "owners")
     out = spread_join(sigs.where("cid IS NOT NULL").select("doc_id", "rk", "n_shingles", "cid"), owner, ["cid"]).select("doc_id", "rk", "n_shingles", "comp", "component_id")
     return out.unionByName(sigs.where("cid IS NULL").select("doc_id", "rk", "n_shingles", F.lit(None).cast("binary").alias("comp"), F.col("doc_id").alias("component_id")))
 
@@ -431,14 +432,15 @@ def one_of_each(docs: DataFrame, k: int = 5, threshold: float = 0.8) -> DataFram
     """One row of docs of each group of near duplicates: of the smallest doc_id, null last, then of the smallest hash
     of the text; of rows equal in both any one, as they are copies. Rows without shingles (null, empty or blank texts)
     all stay. Other columns pass through whatever their names; an empty table gives an empty result."""
-    found = groups(docs, k, threshold).where("comp is not null")
-    rows = found.groupBy("comp", "doc_id", "rk").agg(F.count("*").alias("n"))
-    first = rows.groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "rk", "n")).alias("f"))
-    d, r, n, rk = unused(docs, "own_d", "own_r", "own_n", "own_rk")
-    first = staged(first.select(F.col("f.doc_id").alias(d), F.col("f.rk").alias(r), F.col("f.n").alias(n)), "first")
-    blank = F.coalesce(F.col("text"), F.lit("")).rlike("^[\\x20\\x09-\\x0D]*$")
-    x = docs.where(~blank).withColumn(rk, F.xxhash64("text"))
-    x = x.join(first, F.col("doc_id").eqNullSafe(F.col(d)) & (F.col(rk) == F.col(r)))
-    out = x.where(F.col(n) == 1).unionByName(x.where(F.col(n) > 1).dropDuplicates(["doc_id", rk]))
+    found = staged(groups(docs, k, threshold).where("comp is not null").groupBy("comp", "doc_id", "rk").agg(F.count("*").alias("n")), "rows")
+    first = found.groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "rk")).alias("f")).select("comp", F.col("f.doc_id").alias("fd"), F.col("f.rk").alias("fr"))
+    kept = F.col("doc_id").eqNullSafe(F.col("fd")) & (F.col("rk") == F.col("fr"))
+    maybe, rk, d, r, one = unused(docs, "own_maybe", "own_rk", "own_d", "own_r", "own_one")
+    # What goes, or has copies of which one stays. Most rows are neither; a filter keeps them out of the join.
+    known = staged(found.join(sorted_side(first), "comp").withColumn("one", kept).where("n > 1 OR NOT one").select("doc_id", "rk", "one"), "known")
+    x = filtered(docs.withColumn(rk, F.xxhash64("text")), known.select("doc_id", F.col("rk").alias(rk)), ["doc_id", rk], maybe)
+    there = F.col("doc_id").eqNullSafe(F.col(d)) & (F.col(rk) == F.col(r))
+    out = x.where(maybe).join(known.select(F.col("doc_id").alias(d), F.col("rk").alias(r), F.col("one").alias(one)), there, "left")
     columns = [F.col(f"`{c}`") for c in docs.columns]
-    return out.select(columns).unionByName(docs.where(blank))
+    plain = x.where(~F.col(maybe)).select(columns).unionByName(out.where(F.col(one).isNull()).select(columns))
+    return plain.unionByName(out.where(one).dropDuplicates(["doc_id", rk]).select(columns))
