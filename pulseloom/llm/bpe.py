@@ -35,7 +35,7 @@ def byte_letters() -> list[str]:
 class Bpe:
     """Of a byte-level BPE file of the tokenizers library."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, words: int = CACHE):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         vocab, letters = spec["model"]["vocab"], byte_letters()
@@ -54,7 +54,7 @@ class Bpe:
         self.special = {k: np.uint32(i).astype("<u4").tobytes() for k, i in own.items()}
         self.split = regex.compile("(" + "|".join(map(regex.escape, sorted(own, key=len, reverse=True))) + ")") if own else None
         self.words = regex.compile(PATTERN)
-        self.known = Memory(self.ids, CACHE)
+        self.known = Memory(self.ids, words)
 
     def merge(self, words: list[bytes]) -> list[list[int]]:
         """The ids of each word."""
@@ -154,11 +154,12 @@ def decode(rows: DataFrame, path: str, ids: str = "ids", to: str = "decoded") ->
     return annotate(rows, run, f"`{to}` string", ids)
 
 
-def encode_and_decode(docs: DataFrame, path: str, ids: str = "token_ids", to: str = "decoded") -> DataFrame:
-    """docs with n_tokens, ids and the text of the ids, made in one pass."""
+def encode_and_decode(docs: DataFrame, path: str, ids: str = "token_ids", to: str = "decoded", words: int = CACHE) -> DataFrame:
+    """docs with n_tokens, ids and the text of the ids, made in one pass; null texts count as empty, input columns that
+    have a result's name are replaced. words: how many of a generation a worker remembers."""
 
     def run():
-        bpe = kept(("bpe", path), lambda: Bpe(path))
+        bpe = kept(("bpe", path, words), lambda: Bpe(path, words))
 
         def work(texts):
             made = bpe.encode(texts)
@@ -170,7 +171,7 @@ def encode_and_decode(docs: DataFrame, path: str, ids: str = "token_ids", to: st
 
 
 def round_trip(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 and decoded_sha256 for every row of docs (doc_id, text)."""
+    """doc_id, n_tokens, ids_sha256 and decoded_sha256 for every row of docs (doc_id, text); null texts count as empty."""
 
     def run():
         bpe = kept(("bpe", path), lambda: Bpe(path))

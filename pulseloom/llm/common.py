@@ -125,7 +125,10 @@ def components(edges: DataFrame, name: str = "cc") -> DataFrame:
 
 
 def small_batches(spark: SparkSession, most: int = 4 << 20) -> None:
-    """Bounds the bytes of a batch that goes to a Python worker; by rows alone, long texts would make it any size."""
+    """Bounds the bytes of a batch that goes to a Python worker; by rows alone, long texts would make it any size.
+
+    A setting of the session: the registered queries and the pipeline set it, operators don't.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(most))
 
 
@@ -168,7 +171,6 @@ def annotate(docs: DataFrame, run, fields: str, column: str = "text", step: int
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
-    small_batches(docs.sparkSession)
     added = StructType.fromDDL(fields)
     rest = docs.select([F.col(f"`{c}`") for c in docs.columns if c not in added.names])
     passed = [i for i, c in enumerate(rest.columns) if c not in drop]

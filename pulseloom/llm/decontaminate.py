@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import annotate, kept, unused
+from .common import annotate, kept, staged, unused
 
 #: A word is a run of digits, letters and characters beyond ASCII; A-Z count as a-z.
 TO_WORDS = bytes(c + 32 if 65 <= c <= 90 else c if c >= 0x80 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
@@ -199,6 +199,8 @@ def find_items(docs: DataFrame, benchmark: DataFrame, window: int = 13, prefix:
         else:
             state = F.struct(F.col("text").alias("t"), *(F.col(f"`{c}`").alias(k) for c, k in zip(before, "hil", strict=True)))
             docs = annotate(docs.withColumn(f"{prefix}state", state), run, fields, f"{prefix}state", drop=(f"{prefix}state", *(drop if last else ())))
+        if not last:
+            docs = staged(docs, "matched")  # so that one automaton at a time is in a worker's memory
     return docs
 
 

@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import annotate, kept, small_batches
+from .common import annotate, kept
 
 WORD = re.compile(r"[^\W\d_]+")
 ORDERS = (2, 3)
@@ -45,7 +45,6 @@ def learn(docs: DataFrame, use: F.Column, per_language: int = 1500, seed: int =
     That bound on the sample is the only one: rows are taken by a hash of doc_id under a rate that each
     language's count gives. Without a labelled row the model knows no language.
     """
-    small_batches(docs.sparkSession)
     labelled = docs.where(use & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
     counts = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}
     langs = sorted(counts)
@@ -195,7 +194,11 @@ def identify(docs: DataFrame, model: dict, price: float = 8.0, prefix: str = "",
 
 
 def label_spans(docs: DataFrame, model: dict, price: float = 8.0) -> DataFrame:
-    """docs with spans, an array of (first, end, lang) in characters of the text; empty without letters."""
+    """docs with spans, an array of (first, end, lang) in characters of the text.
+
+    A null text, one without letters or a model without languages has none. Of labellings of equal value the one that
+    keeps a word's language longest, looking back, is taken; repeated rows get the same. A column named spans is replaced.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run():

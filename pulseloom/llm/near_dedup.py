@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from .common import filtered, kept, labels, small_batches, sorted_side, spread_join, staged, stars, unused
+from .common import filtered, kept, labels, sorted_side, spread_join, staged, stars, unused
 
 T = 64  # coordinates of a signature
 SMALL = 1024  # classes in a node that are compared exhaustively
@@ -38,7 +38,7 @@ RECALL = 0.99  # least probability that a pair at the threshold shares a node th
 FEW = 3  # trees of the first step
 EARLY = 3  # rounds towards components after it; labels of what is surely connected are enough there
 PART = 128  # classes that are compared at once while links are still few
-CACHE = 300_000  # words whose hashes a worker keeps
+CACHE = 150_000  # words whose hashes a worker keeps
 
 
 class Hashes(dict):
@@ -388,7 +388,6 @@ def confirm(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFra
 
 def groups(docs: DataFrame, k: int, threshold: float, trees: int = 10, rounds: int = 4) -> DataFrame:
     """doc_id, rk, n_shingles, comp (null without shingles) and component_id for every row of docs."""
-    small_batches(docs.sparkSession)
     percent = round(100 * threshold)
     least = threshold - 4 * (threshold * (1 - threshold) / T) ** 0.5
     sigs = staged(signatures(docs, k), "signatures")

@@ -11,10 +11,10 @@ from __future__ import annotations
 import re
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import annotate
+from .common import annotate, staged
 
 WIDTH = 17
 SYMBOL = re.compile(r"[#*$%&|<>^~_=+@\\{}\[\]]")
@@ -152,16 +152,21 @@ def fit(feats: list[np.ndarray], lengths: list[np.ndarray], y: np.ndarray, steps
     return model | {"a": float(np.clip(a, 0.05, 5)), "b": float(np.clip(b, -20, 20))}
 
 
-def learn(docs: DataFrame, labels: DataFrame, use: F.Column, most: int = 6000, seed: int = 5) -> dict:
+def learn(docs: DataFrame, labels: DataFrame, use: F.Column, most: int = 6000, most_lines: int = 500_000, seed: int = 5) -> dict:
     """A model from about `most` of the labelled documents that `use` (of doc_id) admits, taken by a hash of doc_id.
 
-    `most` is the only bound. Labels that are null are left out; of a doc_id's several labels the least counts.
-    Without labels every score is 0.5.
+    These bounds are the only ones: `most` documents and, as their lines' features (204 bytes each) go to the driver,
+    `most_lines` lines; documents with more than a tenth of these are not learned from. Labels that are null are left
+    out; of a doc_id's several labels the least counts. Without labels every score is 0.5.
     """
     known = labels.where(use & F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     n = known.count()
     chance = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1_000_003)) / 1_000_003
-    sample = docs.select("doc_id", "text").join(known.where(chance < min(1.0, most / max(1, n))), "doc_id")
+    drawn = known.where(chance < min(1.0, most / max(1, n))).withColumn("at", chance)
+    sample = staged(docs.select("doc_id", "text").join(drawn, "doc_id").withColumn("lines", F.size(F.split("text", "\n", -1))), "sample").where(F.col("lines") <= most_lines // 10)
+    so_far = Window.partitionBy(F.lit(0)).orderBy("at", "doc_id", "lines").rowsBetween(Window.unboundedPreceding, 0)  # about `most` rows of numbers
+    within = sample.select("doc_id", "at", "lines").withColumn("sum", F.sum("lines").over(so_far)).where(F.col("sum") <= most_lines).select("doc_id").distinct()
+    sample = sample.join(within, "doc_id").select("doc_id", "quality", "text")
 
     def run():
         def work(texts):

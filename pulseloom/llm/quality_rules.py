@@ -11,7 +11,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import annotate, staged
+from .common import annotate, spread_join, staged
 
 SYMBOLS = b"#*$%&|<>"
 SPACES = b" \t\n\x0b\x0c\r"
@@ -44,6 +44,7 @@ def counts_of(text: str | None) -> tuple[int, int, int, int, int]:
 
 
 def base_counts(docs: DataFrame) -> DataFrame:
+    """docs without text and with the five counts of it, all 0 for a null or empty text; a column of such a name is replaced."""
     return annotate(docs, lambda: lambda texts: list(zip(*map(counts_of, texts), strict=True)) or [[]] * 5, COUNTS, drop=("text",))
 
 
@@ -56,15 +57,16 @@ def quality_rules(docs: DataFrame, host: str = "source", min_words: int = 50, re
     kept: it did not fail and its host's rate is at most max_rate. A null text counts as empty and fails. Repeated
     rows count each time; an empty table gives an empty result.
     """
-    x = base_counts(docs.select("doc_id", F.col(host).alias("host"), "text"))
+    x = base_counts(docs.select("doc_id", F.col(f"`{host}`").cast("string").alias("host"), "text"))
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > repeat_percent * F.col("n_words"))
     x = staged(x.withColumn("base_failed", failed), "rules")
-    hosts = x.groupBy("host").agg(F.count("*").alias("n"), F.sum(F.col("base_failed").cast("int")).alias("f"))
+    x = x.withColumns({"h": F.coalesce("host", F.lit("")), "no": F.col("host").isNull()})
+    hosts = staged(x.groupBy("h", "no").agg(F.count("*").alias("n"), F.sum(F.col("base_failed").cast("int")).alias("f")), "hosts")
     m, v = hosts.agg(F.avg(F.col("f") / F.col("n")), F.var_samp(F.col("f") / F.col("n"))).first()
     m = m or 0.0
     s = min(1000.0, max(1.0, m * (1 - m) / v - 1)) if v else 1000.0
-    hosts = hosts.select(F.col("host").alias("h"), ((F.col("f") + s * m) / (F.col("n") + s)).alias("host_rate"))
-    out = x.join(hosts, F.col("host").eqNullSafe(F.col("h")), "left")
+    hosts = hosts.select("h", "no", "n", ((F.col("f") + s * m) / (F.col("n") + s)).alias("host_rate"))
+    out = spread_join(x, hosts, ["h", "no"])
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "host_rate", (~F.col("base_failed") & (F.col("host_rate") <= max_rate)).alias("kept"))
 
 

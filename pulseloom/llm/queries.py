@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, chat_format, decontaminate, html_extract, language_id, line_dedup, quality_crf, quality_rules, token_files
-from .common import new_path, table
+from .common import new_path, small_batches, table
 from .near_dedup import near_duplicates
 
 
@@ -69,5 +69,15 @@ def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
 
 
-QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_chat_format, op3_language_id, op4_quality_crf, op5_quality_rules, op6_token_files, op7_decontaminate, op8_line_dedup, op9_bpe, op10_html_extract)}
+def ready(query):
+    """The query, in a session with bounded batches."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        small_batches(spark)
+        return query(spark, sf_dir)
+
+    return run
+
+
+QUERIES = {f.__name__: ready(f) for f in (op1_near_dedup, op2_chat_format, op3_language_id, op4_quality_crf, op5_quality_rules, op6_token_files, op7_decontaminate, op8_line_dedup, op9_bpe, op10_html_extract)}
 ORACLE_SQL = {"op2_chat_format": chat_format.SQL, "op5_quality_rules": quality_rules.SQL, "op8_line_dedup": line_dedup.SQL}

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bpe import byte_letters
-from .common import kept, small_batches, staged
+from .common import kept, staged
 
 CACHE = 500_000  # words of a generation that a worker remembers
 #: Python's split() takes these for white space, the tokenizers library does not.
@@ -96,10 +96,10 @@ class WordCache:
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, stripe_bytes: int = 16 << 20, stride: int = 2000) -> None:
     """Writes the ids of every row's text, each with end_id after it, to ORC files in the folder `path`.
 
-    Null texts count as empty. Null doc_ids come first; rows with equal doc_ids are ordered by text, nulls first.
+    Null texts count as empty. Null doc_ids come first; rows with equal doc_ids are ordered by the text's hash, then by
+    text, nulls first, so that one doc_id that many rows share is dealt to several files too.
     An empty table makes no rows. Columns other than doc_id and text are not stored.
     """
-    small_batches(docs.sparkSession)
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches):
@@ -114,7 +114,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, stripe
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(at + offsets[:-1]), pa.array(sizes), ids], ["doc_id", "at", "n_tokens", "ids"])
                 at += int(offsets[-1])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("h")).repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h", "text")
     rows = rows.mapInArrow(run, "doc_id long, at long, n_tokens long, ids array<int>")
     writer = rows.write.option("orc.stripe.size", stripe_bytes).option("orc.row.index.stride", stride)
     writer.option("orc.bloom.filter.columns", "doc_id").option("orc.bloom.filter.fpp", 0.01).option("compression", "zstd").orc(path)
@@ -142,5 +142,4 @@ def checksums(tokens: DataFrame) -> DataFrame:
             crc = [zlib.crc32(flat[x:y].tobytes()) for x, y in zip(at[:-1], at[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    small_batches(tokens.sparkSession)
     return tokens.select("doc_id", "start", "n_tokens", "ids").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
