@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pulseloom.llm import bpe, decontaminate, line_dedup, near_dedup, quality_crf
-from pulseloom.llm.common import new_path, table, unused
+from pulseloom.llm.common import new_path, small_batches, table, unused
 from pulseloom.llm.queries import fold, vocabulary
 
 MIN_SCORE = 0.3
@@ -21,6 +21,7 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null, empty and blank texts are scored as one empty line, repeated rows alike; without labels or documents every
     score is 0.5. Other columns pass through whatever their names.
     """
+    small_batches(spark)
     model = quality_crf.learn(docs, table(spark, sf_dir, "labels"), fold(5) != 0)
     (own,) = unused(docs, "own_quality")
     return quality_crf.score(docs, model, own).where(F.col(own) >= MIN_SCORE).drop(own)
@@ -32,6 +33,7 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     Null and empty texts hold no lines and stay; of rows with equal doc_id and text all keep the same lines. The first
     occurrence is that of the smallest doc_id, null first. Other columns pass through whatever their names.
     """
+    small_batches(spark)
     (own,) = unused(docs, "own_removed")
     return line_dedup.dedup_lines(docs, own, drop_emptied=True).drop(own)
 
@@ -41,6 +43,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
     Null, empty and blank texts are near copies of nothing and stay. Other columns pass through whatever their names.
     """
+    small_batches(spark)
     return near_dedup.one_of_each(docs)
 
 
@@ -50,6 +53,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     Null and empty texts hold nothing and stay; repeated rows share their fate. Items without an id or words match
     nothing. Other columns pass through whatever their names.
     """
+    small_batches(spark)
     p = decontaminate.prefix_for(docs)
     x = decontaminate.find_items(docs, table(spark, sf_dir, "benchmark"), prefix=p)
     return x.where(~decontaminate.contaminated(p)).select([F.col(f"`{c}`") for c in docs.columns])
@@ -60,7 +64,8 @@ def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     A null text counts as empty: no tokens, an empty decoded text. Every row stays.
     """
-    return bpe.encode_and_decode(docs, vocabulary("byte_bpe_50k.json"))
+    small_batches(spark)
+    return bpe.encode_and_decode(docs, vocabulary("byte_bpe_50k.json"), words=150_000)  # beside what earlier stages left in memory
 
 
 STAGES = [("quality_classifier", keep_good), ("line_dedup", drop_repeated_lines), ("near_dedup", drop_near_copies), ("decontaminate", drop_contaminated), ("bpe", tokenize)]
