@@ -93,6 +93,13 @@ def merged(quotes: DataFrame, trades: DataFrame, rule: str = "trades_first", mos
     return x.select("symbol", (F.col("tick") * UNIT + rank).alias("event_time"), "tick", "event_code", name.alias("event_type"), "price", "volume", "source", "source_id")
 
 
+def event_counts(events: DataFrame) -> DataFrame:
+    """symbol, event_code, event_type, n of all ten types, 0 for those without events."""
+    kinds = F.posexplode(F.array(*map(F.lit, EVENT_TYPES))).alias("event_code", "event_type")
+    n = events.groupBy("symbol", "event_code").agg(F.count("*").alias("n"))
+    return n.select("symbol").distinct().select("symbol", kinds).join(n, ["symbol", "event_code"], "left").fillna(0, ["n"])
+
+
 def aligned(book: DataFrame, trades: DataFrame, rule: str = "trades_first", width: int = WIDTH) -> DataFrame:
     return merged(attributed(transitions(book, width), trades, rule, width), trades, rule)
 

@@ -5,14 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.files import small
 from .align import WIDTH
 from .ordered import bucket_of, previous
 
 
 def coverage(rows: DataFrame, slot: int = 10, day: int = WIDTH) -> DataFrame:
-    """symbol, day, n, active (distinct slots of `slot` ticks), percent of the day's slots, inside (rows whose tick is of the day)."""
-    x = rows.withColumn("day", F.expr(f"floor(tick / {day})"))
-    return x.groupBy("symbol", "day").agg(F.count("*").alias("n"), F.countDistinct(F.expr(f"floor(tick / {slot})")).alias("active")).withColumn("percent", F.col("active") * 100.0 * slot / day)
+    """symbol, day, n, inside (rows whose tick is of the day that they are filed under), active (distinct slots of `slot`
+    ticks that these take) and percent of the day's slots. rows: symbol, tick and day; without day, that of the tick."""
+    own = F.expr(f"floor(tick / {day})")
+    x = rows if "day" in rows.columns else rows.withColumn("day", own)
+    inside = F.col("day") == own
+    x = x.groupBy("symbol", "day").agg(F.count("*").alias("n"), F.count_if(inside).alias("inside"), F.countDistinct(F.when(inside, F.expr(f"floor(tick / {slot})"))).alias("active"))
+    return x.withColumn("percent", F.col("active") * 100.0 * slot / day)
 
 
 def gaps(rows: DataFrame, slot: int = 10, day: int = WIDTH) -> DataFrame:
@@ -25,10 +30,13 @@ def gaps(rows: DataFrame, slot: int = 10, day: int = WIDTH) -> DataFrame:
     return x.groupBy("symbol", "day").agg(F.count_if(run > 0).alias("n_gaps"), F.coalesce(F.max(run), F.lit(0)).alias("longest"))
 
 
-def order_violations(rows: DataFrame, order: str, time: str = "tick", ident: str = "id", width: int = 1_000_000) -> DataFrame:
-    """symbol, back (rows whose time is below that of the row before, by `order`) and ids (same time, lower id)."""
-    x = previous(rows, ["symbol"], [order], [time, ident], "p", F.expr(f"floor({order} / {width})"))
-    return x.groupBy("symbol").agg(F.count_if(F.col(time) < F.col(f"p.{time}")).alias("back"), F.count_if((F.col(time) == F.col(f"p.{time}")) & (F.col(ident) < F.col(f"p.{ident}"))).alias("ids"))
+def order_violations(rows: DataFrame, order: str = "row", by=("symbol", "file"), time: str = "tick", ident: str = "id", width: int = 1_000_000) -> DataFrame:
+    """by, back (rows whose time is below that of the row before, by `order`) and ids (same time, lower id).
+
+    Rows as files.in_file_order() reads them have the order in which they lie in their files.
+    """
+    x = previous(rows, list(by), [order], [time, ident], "p", F.expr(f"floor({order} / {width})"))
+    return x.groupBy(*by).agg(F.count_if(F.col(time) < F.col(f"p.{time}")).alias("back"), F.count_if((F.col(time) == F.col(f"p.{time}")) & (F.col(ident) < F.col(f"p.{ident}"))).alias("ids"))
 
 
 def spacing(rows: DataFrame, near: int = 10, ident: str = "update_id") -> DataFrame:
@@ -37,6 +45,13 @@ def spacing(rows: DataFrame, near: int = 10, ident: str = "update_id") -> DataFr
     return x.groupBy("symbol").agg(F.count("*").alias("n"), F.avg((F.col("tick") - F.col("p.tick") < near).cast("double")).alias("near"))
 
 
+def crowding(book: DataFrame, trades: DataFrame, near: int = 10) -> DataFrame:
+    """spacing() of the book with share, the part of its ticks that have trades too, and normalised, that over the share of
+    near gaps (null without any)."""
+    x = spacing(book, near).join(shared_ticks(book, trades).select("symbol", "share"), "symbol")
+    return x.withColumn("normalised", F.when(F.col("near") > 0, F.col("share") / F.col("near")))
+
+
 def shared_ticks(book: DataFrame, trades: DataFrame) -> DataFrame:
     """symbol, book_ticks, shared (ticks of the book that have trades too) and their share."""
     b, t = (x.select("symbol", "tick").distinct() for x in (book, trades))
@@ -64,6 +79,6 @@ def robust_z(days: DataFrame, value: str, train: str, limit: float = 3.5) -> Dat
 
 
 def without_gaps(windows: DataFrame, known: DataFrame) -> DataFrame:
-    """windows (start, end) that overlap none of the known gaps (gap_start, gap_end; a short list of fixed size)."""
+    """windows (start, end) that overlap none of the known gaps (gap_start, gap_end), which are broadcast if they are few."""
     hit = (F.col("start") < F.col("gap_end")) & (F.col("gap_start") < F.col("end"))
-    return windows.join(F.broadcast(known), hit, "left_anti")
+    return windows.join(small(known, "gaps"), hit, "left_anti")

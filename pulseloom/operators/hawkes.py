@@ -195,6 +195,34 @@ def intensity(states: DataFrame, mu: list[float], alpha: list[list[float]], beta
     return out
 
 
+def loglikelihood(events: DataFrame, mu: list[float], alpha: list[list[float]], betas=BETAS, unit: int = UNIT) -> DataFrame:
+    """symbol, target, loglik of given parameters over all events: the sum of ln(intensity) at the type's events less the
+    integrals of base rate and excitation."""
+    states = before_events(events, betas, unit=unit)
+    rate = F.element_at(F.array(*intensity(states, mu, alpha, betas).values()), F.col("event_code") + 1)
+    logs = states.groupBy("symbol", F.col("event_code").alias("target")).agg(F.sum(F.ln(rate)).alias("logs"))
+    weights = F.array(*(F.array(*map(F.lit, map(float, a))) for a in alpha))
+    of = lambda t: F.element_at(F.element_at(weights, t + 1), (F.col("source") * len(betas) + F.col("scale") + 1).cast("int"))
+    excitation = compensators(events, None, betas, unit=unit).withColumn("target", F.explode(F.sequence(F.lit(0), F.lit(9)))).groupBy("symbol", "target").agg(F.sum(of(F.col("target")) * F.col("c")).alias("exc"))
+    base = F.element_at(F.array(*map(F.lit, map(float, mu))), F.col("target") + 1) * F.col("span")
+    x = every_target(spans(events, unit)).join(excitation, ["symbol", "target"], "left").join(logs, ["symbol", "target"], "left")
+    return x.select("symbol", "target", (F.coalesce("logs", F.lit(0.0)) - base - F.coalesce("exc", F.lit(0.0))).alias("loglik"))
+
+
+def seasonal_loglikelihood(events: DataFrame, rate, alpha: list[list[float]], betas=BETAS, tick_seconds: float = 60.0, step: float = 60.0, unit: int = UNIT) -> DataFrame:
+    """symbol, target, loglik over all events for a base rate that `rate` makes of seconds since the epoch, without the
+    excitation's integral. The rate is summed at midpoints of `step` seconds from the first to the last event."""
+    x = before_events(events, betas, unit=unit)
+    excess = intensity(x, [0.0] * 10, alpha, betas)
+    own = F.element_at(F.array(*excess.values()), F.col("event_code") + 1)
+    x = x.groupBy("symbol", F.col("event_code").alias("target")).agg(F.sum(F.ln(F.greatest(rate(F.col("event_time") / unit * tick_seconds) + own, F.lit(1e-12)))).alias("logs"))
+    s = spans(events, unit).withColumn("seconds", F.col("span") * tick_seconds)
+    grid = s.select("symbol", "seconds", (F.col("first") / unit * tick_seconds).alias("from"), F.explode(F.sequence(F.lit(0), F.greatest(F.lit(1), F.ceil(F.col("seconds") / step)).cast("int") - 1)).alias("k"))
+    part = F.least(F.lit(step), F.col("seconds") - F.col("k") * step) / tick_seconds
+    base = grid.groupBy("symbol").agg(F.sum(rate(F.col("from") + step * (F.col("k") + 0.5)) * part).alias("base"))
+    return every_target(base).join(x, ["symbol", "target"], "left").select("symbol", "target", (F.coalesce("logs", F.lit(0.0)) - F.col("base")).alias("loglik"))
+
+
 def profile_mu(excess: np.ndarray, weight: float, span: float) -> float:
     """The mu that solves sum weight / (mu + e) = span by bisection, for fixed excitations e; FLOOR if that is too much."""
     if not len(excess) or weight * (1 / (FLOOR + excess)).sum() <= span:

@@ -123,7 +123,12 @@ def mean_test(blocks: DataFrame, lags: int | None = None) -> dict:
     long_run = cov[0] + sum(2 * (1 - k / (last + 1)) * cov[k] for k in range(1, last + 1))
     se = sqrt(max(long_run, 0.0) / n)
     stat = mean / se if se > 0 else nan
-    return {"blocks": n, "mean": mean, "statistic": stat, "p_value": erfc(abs(stat) / sqrt(2)) if isfinite(stat) else nan}
+    return {"blocks": n, "mean": mean, "statistic": stat, "p_value": two_sided(stat)}
+
+
+def two_sided(statistic: float) -> float:
+    """The normal tails beyond a statistic."""
+    return erfc(abs(statistic) / sqrt(2)) if isfinite(statistic) else float("nan")
 
 
 def giacomini_white(df: DataFrame, time: Column, loss_a: Column, loss_b: Column) -> dict:

@@ -156,9 +156,17 @@ def win1_previous_quote(spark, sf_dir):
     return q.select("symbol", "update_id", (F.col("bid_qty") - F.col("prev.bid_qty")).alias("bid_change"), (F.col("ask_qty") - F.col("prev.ask_qty")).alias("ask_change"))
 
 
-@query(EV + " SELECT symbol, event_code, event_type, count(*) AS n FROM ev GROUP BY ALL")
+KINDS = f"(SELECT unnest(range(10))::INT AS event_code, unnest({list(feeds.EVENT_TYPES)}) AS event_type)"
+
+
+@query(EV + f" SELECT symbol, k.event_code, k.event_type, count(ev.tick) AS n FROM (SELECT DISTINCT symbol FROM ev) CROSS JOIN {KINDS} k LEFT JOIN ev USING (symbol, event_code) GROUP BY ALL")
 def agg2_event_counts(spark, sf_dir):
-    return events(spark, sf_dir).groupBy("symbol", "event_code", "event_type").agg(F.count("*").alias("n"))
+    return align.event_counts(events(spark, sf_dir))
+
+
+@query(EV + f" SELECT symbol, k.event_code, k.event_type, count(ev.tick) AS n FROM (SELECT DISTINCT symbol FROM ev WHERE event_code >= 8) CROSS JOIN {KINDS} k LEFT JOIN (SELECT * FROM ev WHERE event_code >= 8) ev USING (symbol, event_code) GROUP BY ALL")
+def agg2_counts_of_trades_alone(spark, sf_dir):
+    return align.event_counts(events(spark, sf_dir).where("event_code >= 8"))
 
 
 @query(EV + " SELECT symbol, tick, source_id, event_code, price, volume FROM ev WHERE source = 'bookTicker'")
@@ -473,9 +481,10 @@ def sta2_romano_wolf(spark, sf_dir):
 # Audits
 
 
-@query(BASE + f" SELECT symbol, tick // 1440 AS day, count(*) AS n, count(DISTINCT tick // 10) AS active, {s6('count(DISTINCT tick // 10) * 1000.0 / 1440')} AS percent FROM book GROUP BY ALL")
+@query(BASE + f", d AS (SELECT *, (tick + CASE WHEN update_id % 50 = 0 THEN 1440 ELSE 0 END) // 1440 AS day FROM book) SELECT symbol, day, count(*) AS n, count(*) FILTER (tick // 1440 = day) AS inside, count(DISTINCT tick // 10) FILTER (tick // 1440 = day) AS active, {s6('count(DISTINCT tick // 10) FILTER (tick // 1440 = day) * 1000.0 / 1440')} AS percent FROM d GROUP BY ALL")
 def agg12_coverage(spark, sf_dir):
-    x = audits.coverage(feeds.derived_book(spark, sf_dir))
+    filed = F.expr("floor((tick + CASE WHEN update_id % 50 = 0 THEN 1440 ELSE 0 END) / 1440)")
+    x = audits.coverage(feeds.derived_book(spark, sf_dir).withColumn("day", filed))
     return x.withColumn("percent", r6("percent"))
 
 
@@ -486,8 +495,10 @@ def agg17_gaps(spark, sf_dir):
 
 @query(BASE + ", x AS (SELECT symbol, tick, id, lag(tick) OVER w AS pt, lag(id) OVER w AS pi FROM trades WINDOW w AS (PARTITION BY symbol ORDER BY id * 7919 % 10007, id)) SELECT symbol, count(*) FILTER (tick < pt) AS back, count(*) FILTER (tick = pt AND id < pi) AS ids FROM x GROUP BY symbol")
 def agg14_order_violations(spark, sf_dir):
-    t = feeds.derived_trades(spark, sf_dir).withColumn("row", F.col("id") * 7919 % 10007 * 1_000_000_000 + F.col("id"))
-    return audits.order_violations(t, "row", width=1_000_000_000_000)
+    path = files.shared_path(spark, "unsorted")
+    t = feeds.derived_trades(spark, sf_dir).withColumn("feed", F.col("symbol")).repartition("symbol").sortWithinPartitions("feed", F.col("id") * 7919 % 10007, "id")
+    t.write.partitionBy("feed").parquet(path)
+    return audits.order_violations(files.in_file_order(spark, path)).select("symbol", "back", "ids")
 
 
 @query(BASE + f", x AS (SELECT symbol, tick - lag(tick) OVER (PARTITION BY symbol ORDER BY tick, update_id) AS g FROM book) SELECT symbol, count(g) AS n, {s6('avg((g < 10)::INT)')} AS near FROM x WHERE g IS NOT NULL GROUP BY symbol")
@@ -495,6 +506,11 @@ def agg13_spacing(spark, sf_dir):
     return audits.spacing(feeds.derived_book(spark, sf_dir)).withColumn("near", r6("near"))
 
 
+@query(BASE + f", x AS (SELECT symbol, tick - lag(tick) OVER (PARTITION BY symbol ORDER BY tick, update_id) AS g FROM book), n AS (SELECT symbol, count(g) AS n, avg((g < 2)::INT) AS near FROM x WHERE g IS NOT NULL GROUP BY symbol), b AS (SELECT DISTINCT symbol, tick FROM book), t AS (SELECT DISTINCT symbol, tick, 1 AS x FROM trades), c AS (SELECT symbol, count(x) / count(*) AS share FROM b LEFT JOIN t USING (symbol, tick) GROUP BY symbol) SELECT symbol, n, {s6('near')} AS near, {s6('share')} AS share, CASE WHEN near > 0 THEN {s6('share / near')} END AS normalised FROM n JOIN c USING (symbol)")
+def agg13_crowding(spark, sf_dir):
+    return audits.crowding(*book_trades(spark, sf_dir), near=2).select("symbol", "n", *(r6(c).alias(c) for c in ("near", "share", "normalised")))
+
+
 @query(BASE + f", b AS (SELECT DISTINCT symbol, tick FROM book), t AS (SELECT DISTINCT symbol, tick, 1 AS x FROM trades) SELECT symbol, count(*) AS book_ticks, count(x) AS shared, {s6('count(x) / count(*)')} AS share FROM b LEFT JOIN t USING (symbol, tick) GROUP BY symbol")
 def jn10_shared_ticks(spark, sf_dir):
     return audits.shared_ticks(*book_trades(spark, sf_dir)).withColumn("share", r6("share"))
@@ -582,8 +598,8 @@ def top1_gamma_terms(spark, sf_dir):
 # Models
 
 
-def compensator_sql() -> str:
-    cols = [f"SELECT symbol, event_code AS source, {p} AS scale, {s6(f'sum((1 - exp(-{b} * (t - event_time) / 10000)) / {b})')} AS c FROM x GROUP BY ALL" for p, b in enumerate(decay.BETAS)]
+def compensator_sql(weight: str = "") -> str:
+    cols = [f"SELECT symbol, event_code AS source, {p} AS scale, {s6(f'sum({weight}(1 - exp(-{b} * (t - event_time) / 10000)) / {b})')} AS c FROM x GROUP BY ALL" for p, b in enumerate(decay.BETAS)]
     return EV + ", x AS (SELECT *, max(event_time) OVER (PARTITION BY symbol) AS t FROM ev) " + " UNION ALL ".join(cols)
 
 
@@ -592,6 +608,11 @@ def agg10_compensators(spark, sf_dir):
     return hawkes.compensators(events(spark, sf_dir)).select("symbol", "source", "scale", r6("c").alias("c"))
 
 
+@query(compensator_sql("volume * "))
+def agg10_marked_compensators(spark, sf_dir):
+    return hawkes.compensators(events(spark, sf_dir), weight="volume").select("symbol", "source", "scale", r6("c").alias("c"))
+
+
 @query(EV + " SELECT symbol, event_code, count(*) AS stratum, least(count(*), 200) AS n FROM ev GROUP BY ALL")
 def smp1_stratified(spark, sf_dir):
     return hawkes.stratified(events(spark, sf_dir), 2000).groupBy("symbol", "event_code", "stratum").agg(F.count("*").alias("n"))
@@ -607,6 +628,50 @@ def mdl1_hawkes_fit(spark, sf_dir):
     return hawkes.fit(stored(spark, sf_dir))
 
 
+def weights() -> list[list[float]]:
+    """Some alpha for SOME: of each target, itself at the slow scale and its mirror at the fast one."""
+    alpha = [[0.0] * 20 for _ in range(10)]
+    for i in range(10):
+        alpha[i][2 * i] += 0.001 * (i + 1)
+        alpha[i][2 * (9 - i) + 1] += 0.02
+    return alpha
+
+
+def excited_sql() -> str:
+    """Events with their excitation under weights()."""
+    raw = state_sql("", "ev", "event_time", "e.event_time < r.event_time AND e.event_time > r.event_time - 10000 * 10000", betas=SOME, keys=("symbol", "event_time", "event_code")).replace("round(", "(").replace(", 6) + 0.0::DOUBLE", ")")
+    own = " ".join(f"WHEN {i} THEN {0.001 * (i + 1)} * z_event{i}_beta0p01 + 0.02 * z_event{9 - i}_beta0p25" for i in range(10))
+    return BEFORE + f", z AS ({raw}), x AS (SELECT symbol, event_time, event_code, CASE event_code {own} END AS exc FROM z), s AS (SELECT symbol, min(event_time) AS a, max(event_time) AS t FROM ev GROUP BY symbol), k AS (SELECT s.*, unnest(range(10))::INT AS target FROM s)"
+
+
+COMPENSATED = " + ".join(f"coalesce(sum({w} * (1 - exp(-{b} * (t - event_time) / 10000)) / {b}) FILTER (ev.event_code = {c}), 0)" for b, w, c in ((0.01, "0.001 * (target + 1)", "target"), (0.25, "0.02", "9 - target")))
+
+
+@query(excited_sql() + f", l AS (SELECT symbol, event_code AS target, sum(ln(0.05 + exc)) AS logs FROM x GROUP BY ALL), c AS (SELECT symbol, target, {COMPENSATED} AS c FROM k JOIN ev USING (symbol) GROUP BY ALL) SELECT symbol, target, round(coalesce(logs, 0) - 0.05 * (t - a) / 10000 - c, 4) + 0.0::DOUBLE AS loglik FROM k JOIN c USING (symbol, target) LEFT JOIN l USING (symbol, target)")
+def mdl1_loglikelihood(spark, sf_dir):
+    x = hawkes.loglikelihood(stored(spark, sf_dir), [0.05] * 10, weights(), SOME)
+    return x.select("symbol", "target", (F.round("loglik", 4) + F.lit(0.0)).alias("loglik"))
+
+
+def rate_sql(s: str) -> str:
+    d = f"((({s} + 43200) % 86400) - 43200)"
+    return f"greatest((1e-9 + exp(-3.0) + sqrt(0.0025 + 1e-9) + 7 * sqrt(1e-9) + 0.03 * cos(2 * pi() * {s} / 86400) + 0.04 * sin(2 * pi() * {s} / 86400)) * exp(CASE WHEN {d} >= 0 AND {d} <= 300 THEN 0.7 ELSE 0 END), 1e-9)"
+
+
+@query(excited_sql() + f", l AS (SELECT symbol, event_code AS target, sum(ln(greatest(1e-12, greatest(exc, 1e-12) + {rate_sql('(event_time / 10000 * 60 % 86400)')}))) AS logs FROM x GROUP BY ALL), g AS (SELECT symbol, a, (t - a) / 10000 * 60 AS n, unnest(range(0, greatest(1, ceil((t - a) / 10000))::BIGINT)) AS i FROM s), b AS (SELECT symbol, sum({rate_sql('((a / 10000 * 60 + 60 * i + 30) % 86400)')} * least(60, n - 60 * i) / 60) AS base FROM g GROUP BY symbol) SELECT symbol, target, round(coalesce(logs, 0) - base, 4) + 0.0::DOUBLE AS loglik FROM k JOIN b USING (symbol) LEFT JOIN l USING (symbol, target)")
+def mdl5_loglikelihood(spark, sf_dir):
+    rate = lambda s: features.seasonal_rate(features.seasonality(s), -3.0, [0.03, 0.04] + [0.0] * 14, [0.0, 0.7, 0.0, 0.0, 0.0, 0.0])
+    x = hawkes.seasonal_loglikelihood(stored(spark, sf_dir), rate, weights(), SOME)
+    return x.select("symbol", "target", (F.round("loglik", 4) + F.lit(0.0)).alias("loglik"))
+
+
+@query("SELECT 'S' AS symbol, t.i::INT AS target, s.i::INT AS source, " + s6(" + ".join(f"((t.i * 50 + s.i * 5 + {p}) * 37 % 101) / 1000 / {b}" for p, b in enumerate(decay.BETAS))) + " AS value FROM range(10) t(i), range(10) s(i)")
+def mdl2_gamma_of_weights(spark, sf_dir):
+    k = F.sequence(F.col("id") * 50, F.col("id") * 50 + 49)
+    fits = spark.range(10).select(F.lit("S").alias("symbol"), F.col("id").cast("int").alias("target"), F.transform(k, lambda i: i * 37 % 101 / 1000).alias("alpha"))
+    return hawkes.gamma(fits).select("symbol", "target", "source", r6("value").alias("value"))
+
+
 @query()
 def mdl2_stationary_gamma(spark, sf_dir):
     return hawkes.gamma(hawkes.stationary(hawkes.fit(stored(spark, sf_dir))))
@@ -659,6 +724,12 @@ def sta3_marks_and_regime(spark, sf_dir):
     return x.select("symbol", "tick", *experiments.MARKS, "regime")
 
 
+@query(L1 + ", v AS (SELECT symbol, tick, bp, ap FROM s2 JOIN s3 USING (symbol, tick) WHERE active AND tick + 3 - lt <= 100 AND tick >= first + 720 AND n >= 60) SELECT v.symbol, v.tick, v.tick // 1440 AS day, coalesce(max((q.bid_price < v.bp OR q.ask_price > v.ap)::INT), 0) AS target_a_h10 FROM v LEFT JOIN q ON q.symbol = v.symbol AND q.tick BETWEEN v.tick + 1 AND v.tick + 11 GROUP BY ALL")
+def snk2_feature_matrix(spark, sf_dir):
+    """Rows, days and labels of the written feature matrix, which all studies learn from."""
+    return experiments.matrix(*book_trades(spark, sf_dir))[0].select("symbol", "tick", "day", "target_a_h10")
+
+
 BUDGETS = (120, *(1440 * days for days in (1, 3, 7, 14, 23, 31)))  # ticks of training; more than the table has is all of it
 
 

@@ -72,6 +72,11 @@ def read_csv(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     return spark.read.schema(schema).option("header", True).option("mode", "FAILFAST").option("enforceSchema", False).csv(path)
 
 
+def in_file_order(spark: SparkSession, path: str) -> DataFrame:
+    """A Parquet table with file and row, where each row lies: taken by the scan, before anything can move it."""
+    return spark.read.parquet(path).select("*", F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+
+
 def read_zip(spark: SparkSession, path: str, schema: StructType, chunk: int = 50_000) -> DataFrame:
     """The CSV members of ZIP files, one task per file, streamed line by line."""
     names = schema.names
