@@ -124,7 +124,7 @@ def components(edges: DataFrame, name: str = "cc") -> DataFrame:
     return labels(stars(edges, name))
 
 
-def small_batches(spark: SparkSession, most: int = 4 << 20) -> None:
+def small_batches(spark: SparkSession, most: int = 1 << 20) -> None:
     """Bounds the bytes of a batch that goes to a Python worker; by rows alone, long texts would make it any size.
 
     A setting of the session: the registered queries and the pipeline set it, operators don't.
