@@ -103,7 +103,8 @@ def stars(edges: DataFrame, name: str = "cc", rounds: int | None = None) -> Data
     while before[0] and rounds != 0:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(sorted_side(low), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        up = e.select(F.col("u").alias("w"), F.col("v").alias("u"))  # from each node to those above it; the centre of a star has most
+        large = up.join(sorted_side(low), "u").select(F.col("w").alias("u"), F.col("m").alias("v"))
         joined = large.join(sorted_side(large.groupBy("u").agg(F.min("v").alias("m"))), "u")
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(joined.select("u", F.col("m").alias("v")))
         e, after = written(small.where("u <> v"))

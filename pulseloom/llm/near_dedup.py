@@ -407,7 +407,8 @@ def groups(docs: DataFrame, k: int, threshold: float, trees: int = 10, rounds: i
         linked = stars(edges, rounds=None if every else EARLY)
         comps = labels(linked)
     lowest = classes.join(sorted_side(comps), classes.cid == comps.node, "left").select("cid", F.coalesce("comp", "cid").alias("comp"), "low", "n")
-    ids = lowest.groupBy("comp").agg(F.min("low").alias("component_id"))
+    lowest = staged(lowest, "lowest")
+    ids = staged(lowest.groupBy("comp").agg(F.min("low").alias("component_id")), "ids")
     owner = staged(lowest.select("cid", "comp", "n").join(sorted_side(ids), "comp"), "owners")
     out = spread_join(sigs.where("cid IS NOT NULL").select("doc_id", "rk", "n_shingles", "cid"), owner, ["cid"]).select("doc_id", "rk", "n_shingles", "comp", "component_id")
     return out.unionByName(sigs.where("cid IS NULL").select("doc_id", "rk", "n_shingles", F.lit(None).cast("binary").alias("comp"), F.col("doc_id").alias("component_id")))
@@ -432,7 +433,8 @@ def one_of_each(docs: DataFrame, k: int = 5, threshold: float = 0.8) -> DataFram
     of the text; of rows equal in both any one, as they are copies. Rows without shingles (null, empty or blank texts)
     all stay. Other columns pass through whatever their names; an empty table gives an empty result."""
     found = staged(groups(docs, k, threshold).where("comp is not null").groupBy("comp", "doc_id", "rk").agg(F.count("*").alias("n")), "rows")
-    first = found.groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "rk")).alias("f")).select("comp", F.col("f.doc_id").alias("fd"), F.col("f.rk").alias("fr"))
+    first = found.groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "rk")).alias("f"))
+    first = staged(first.select("comp", F.col("f.doc_id").alias("fd"), F.col("f.rk").alias("fr")), "first")
     kept = F.col("doc_id").eqNullSafe(F.col("fd")) & (F.col("rk") == F.col("fr"))
     maybe, rk, d, r, one = unused(docs, "own_maybe", "own_rk", "own_d", "own_r", "own_one")
     # What goes, or has copies of which one stays. Most rows are neither; a filter keeps them out of the join.
