@@ -17,9 +17,9 @@ def brier(y: Column, p: Column) -> Column:
 
 
 def log_loss(y: Column, p: Column) -> Column:
-    """Of one row; the probability is kept 1e-12 away from 0 and 1."""
-    p = F.least(F.lit(1 - 1e-12), F.greatest(F.lit(1e-12), p))
-    return -(y * F.ln(p) + (1 - y) * F.ln(1 - p))
+    """Of one row; the probability is kept 1e-12 away from 0 and 1. Null without one."""
+    q = F.least(F.lit(1 - 1e-12), F.greatest(F.lit(1e-12), p))  # these pass over nulls
+    return F.when(p.isNotNull(), -(y * F.ln(q) + (1 - y) * F.ln(1 - q)))
 
 
 def ranked(df: DataFrame, score: str, order: list[str], by: list[str] | None = None, y: Column | None = None, buckets: int = 64) -> DataFrame:
