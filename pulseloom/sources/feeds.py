@@ -10,18 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, LongType, StructType
 
-KINDS = {"long": LongType, "double": DoubleType, "boolean": BooleanType}
-
-
-def schema_of(fields: str) -> StructType:
-    out = StructType()
-    for name, kind in map(str.split, fields.split(",")):
-        out = out.add(name, KINDS[kind]())
-    return out
-
-
-TRADES = schema_of("id long, price double, qty double, quote_qty double, time long, is_buyer_maker boolean")
-QUOTES = schema_of("update_id long, best_bid_price double, best_bid_qty double, best_ask_price double, best_ask_qty double, transaction_time long, event_time long")
+#: The columns of the public feeds' files.
+TRADES = StructType().add("id", LongType()).add("price", DoubleType()).add("qty", DoubleType()).add("quote_qty", DoubleType()).add("time", LongType()).add("is_buyer_maker", BooleanType())
+QUOTES = (
+    StructType().add("update_id", LongType()).add("best_bid_price", DoubleType()).add("best_bid_qty", DoubleType()).add("best_ask_price", DoubleType()).add("best_ask_qty", DoubleType())
+    .add("transaction_time", LongType()).add("event_time", LongType())
+)
 FEEDS = {"trades": TRADES, "bookTicker": QUOTES}
 
 #: Event types by code: changes of the best bid, of the best ask, trades.
