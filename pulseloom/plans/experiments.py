@@ -46,9 +46,7 @@ def matrix(book: DataFrame, trades: DataFrame, horizons=(10,), depletions=(0.5,)
     if extra:
         x = with_marks_and_regime(x, book, trades, events=events)
     x = x.withColumn("day", F.expr(f"tick div {DAY}"))
-    path = files.shared_path(book.sparkSession, "matrix")
-    files.write_features(x, path, label_names(horizons, depletions))
-    return book.sparkSession.read.parquet(path), events
+    return files.write_features(x, files.shared_path(book.sparkSession, "matrix"), label_names(horizons, depletions)), events
 
 
 def label_names(horizons, depletions) -> list[str]:

@@ -119,15 +119,15 @@ def write_days(df: DataFrame, path: str, by=("symbol", "day"), rows: int | None
     return have
 
 
-def write_features(df: DataFrame, path: str, labels: list[str], by=("symbol", "day")) -> list[str]:
+def write_features(df: DataFrame, path: str, labels: list[str], by=("symbol", "day")) -> DataFrame:
     """Writes a feature matrix by day, its doubles as floats, in row groups of about a hundred thousand rows; labels are
-    named target_<label>. Returns these names."""
+    named target_<label>. Returns what was written, also of no rows."""
     kinds = dict(df.dtypes)
     names = {c: f"target_{c}" for c in labels}
     x = df.select(*(F.col(c).cast("float").alias(c) if kinds[c] == "double" else F.col(c).alias(names.get(c, c)) for c in df.columns))
     width = 4 * len(df.columns)
     x.repartition(*by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd").option("parquet.block.size", 100_000 * width).partitionBy(*by).parquet(path)
-    return list(names.values())
+    return df.sparkSession.read.schema(x.schema).parquet(path)
 
 
 def convert_once(spark: SparkSession, source: str, target: str, schema: StructType, discard: bool = False) -> bool:

@@ -151,6 +151,9 @@ def test_metrics(spark):
     assert metrics.average_precision(x.where("y = 0"), "y", "p", ["id"]).first()["average_precision"] is None
     a = metrics.alert_metrics(x.withColumn("lead", F.col("id") * 10), "y", "p", "lead", ["id"], 0.5).first()
     assert (a["threshold"], a["alert_rate"], a["recall"], a["median_lead"]) == (0.7, 0.5, 0.5, 0.0)
+    assert metrics.two_sided(1.959963984540054) == pytest.approx(0.05) and metrics.two_sided(-2.5758293035489004) == pytest.approx(0.01) and math.isnan(metrics.two_sided(float("nan")))
+    loss = x.select(metrics.log_loss(F.col("y"), F.when(F.col("id") > 0, F.col("p"))).alias("l")).collect()
+    assert loss[0]["l"] is None and loss[1]["l"] == pytest.approx(-math.log(0.1))
     few = spark.createDataFrame([(1, 0.5), (2, 0.1)], "block long, diff double")
     assert math.isnan(metrics.mean_test(few)["p_value"])
     rng = np.random.default_rng(0)
@@ -387,9 +390,16 @@ def test_walk_forward_keeps_folds(spark, tmp_path, monkeypatch):
 
 def test_feature_sink(spark, tmp_path):
     x = spark.createDataFrame([("S", "d", 1, 0.1, 1)], "symbol string, day string, tick long, v double, a_h10 int")
-    assert files.write_features(x, f"{tmp_path}/m", ["a_h10"]) == ["target_a_h10"]
-    got = spark.read.parquet(f"{tmp_path}/m")
+    got = files.write_features(x, f"{tmp_path}/m", ["a_h10"])
     assert dict(got.dtypes) == {"symbol": "string", "day": "string", "tick": "bigint", "v": "float", "target_a_h10": "int"}
+    assert [tuple(r) for r in got.select("symbol", "day", "tick", F.round("v", 6), "target_a_h10").collect()] == [("S", "d", 1, pytest.approx(0.1), 1)]
+    assert files.write_features(x.limit(0), f"{tmp_path}/e", ["a_h10"]).count() == 0
+
+
+def test_studies_of_nothing(spark):
+    b, t = book(spark, (1, 10.0, 5.0, 11.0, 5.0)), trades(spark, (1, 10.0, 1.0, True))
+    assert experiments.walk_forward(b, t, 3, rounds=2).count() == 0
+    assert experiments.learning_curve(b, t, (10,), rounds=2).count() == experiments.label_grid(b, t, rounds=2).count() == 0
 
 
 def test_files(spark, tmp_path):
