@@ -233,6 +233,19 @@ def test_marks_have_their_own_block(spark):
             assert r["loglik"] == pytest.approx(own[r["target"]]["loglik"], rel=1e-3, abs=1e-2)
 
 
+def test_marks_that_excite_are_found(spark):
+    """Trades of mark 2 are followed by a move of the touch, those of mark 0 by none: the marked block takes it."""
+    rng, rows = random.Random(6), []
+    for i in range(500):
+        mark = rng.choice([0.0, 2.0])
+        rows.append(("S", (20 * i + 100) * align.UNIT, 20 * i + 100, 8, mark))
+        if mark:
+            rows.append(("S", (20 * i + 101) * align.UNIT, 20 * i + 101, 3, 1.0))
+    e = spark.createDataFrame(rows, "symbol string, event_time long, tick long, event_code int, mark double")
+    r = hawkes.fit(e, 10_000, (0.5,), mark="mark").where("target = 3").first()
+    assert r["alpha_mark"][8] > 0.1 and r["alpha_mark"][8] > 20 * r["alpha"][8] and r["n"] == sum(x[3] == 3 for x in rows)
+
+
 def test_seasonal_gradient_and_exposure():
     """The gradient against differences; five minutes for each indicator and day, and the whole span in sum."""
     rng = np.random.default_rng(4)
