@@ -312,7 +312,7 @@ def texts_of(ids: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
     rows = filtered(docs.select("doc_id", F.xxhash64("text").alias("rk"), "text"), wanted, ["doc_id", "rk"], "maybe").where("maybe")
     wanted = wanted.select("cid", F.col("doc_id").alias("d"), F.col("rk").alias("r"))
     texts = rows.join(sorted_side(wanted), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("rk") == F.col("r"))).select("cid", "text")
-    return staged(texts, "texts").dropDuplicates(["cid"])
+    return staged(texts.dropDuplicates(["cid"]), "texts")  # copies of a row share doc_id and hash
 
 
 def split_nodes(rows: DataFrame, trees: list[int], threshold: float, rounds: int, salt: int, every: bool) -> DataFrame:
