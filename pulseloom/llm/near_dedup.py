@@ -10,11 +10,12 @@ signature, and what looks similar is confirmed on the full sets.
 Each level loses some pairs, so trees are added with depth: classes whose nodes are still large get as many
 more trees as keep a pair at the threshold in a common node with a probability of RECALL.
 
-Classes that are already connected need no comparison with each other. So the trees run in rounds: the
-first links most copies through the likeliest pairs of one tree, later ones only look at pairs across
-components, and the last compares all that is left across components. A large group of near copies is connected by about
-as many confirmed pairs as it has members. Nothing is capped: a node that deepest branching leaves large
-is dealt out as pairs of blocks.
+Classes that are already connected need no comparison with each other. So the trees run in two steps: the
+first links most copies through the likeliest pairs of a few trees, the second compares all that is left
+across components. A large group of near copies is connected by about as many confirmed pairs as it has
+members. Nothing is capped: in a large node the classes of its largest component are dealt out in blocks that
+meet only the blocks of the other classes, and a node that deepest branching leaves with many others as all
+pairs of blocks across components.
 """
 
 from __future__ import annotations
