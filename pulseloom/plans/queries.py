@@ -608,9 +608,10 @@ def agg10_compensators(spark, sf_dir):
     return hawkes.compensators(events(spark, sf_dir)).select("symbol", "source", "scale", r6("c").alias("c"))
 
 
-@query(compensator_sql("volume * "))
+@query("SELECT symbol, source, scale, round(c, 3) + 0.0::DOUBLE AS c FROM (" + compensator_sql("volume * ").replace("round(", "(").replace(", 6) + 0.0::DOUBLE", ")") + ")")
 def agg10_marked_compensators(spark, sf_dir):
-    return hawkes.compensators(events(spark, sf_dir), weight="volume").select("symbol", "source", "scale", r6("c").alias("c"))
+    x = hawkes.compensators(events(spark, sf_dir), weight="volume")  # in the millions, so to three places
+    return x.select("symbol", "source", "scale", (F.round("c", 3) + F.lit(0.0)).alias("c"))
 
 
 @query(EV + " SELECT symbol, event_code, count(*) AS stratum, least(count(*), 200) AS n FROM ev GROUP BY ALL")
