@@ -415,6 +415,31 @@ def test_studies_of_nothing(spark):
     assert experiments.learning_curve(b, t, (10,), rounds=2).count() == experiments.label_grid(b, t, rounds=2).count() == 0
 
 
+@pytest.fixture(scope="module")
+def one_label(spark):
+    """Feeds of which every sample of a_h10 is 1: a quote every five ticks, each at another price than the one before."""
+    quotes = [(5 * i, 10.0 + i % 2, 5.0 + i % 3, 11.0 + i % 2, 5.0) for i in range(4 * 288)]
+    return book(spark, *quotes), trades(spark, *((t, 11.0, 1.0, False) for t in range(7, 4 * 1440, 100)))
+
+
+def test_one_label_is_not_fitted(spark, one_label, monkeypatch):
+    """No model learns from windows of one label, so a budget sweep fits nothing to them; of other models' states m2 needs none."""
+    x, _ = experiments.matrix(*one_label)
+    assert {r[0] for r in x.select("target_a_h10").distinct().collect()} == {1}
+    monkeypatch.setattr(experiments, "window_fits", lambda events, windows, most: pytest.fail("a fit that no model uses") if windows else {})
+    monkeypatch.setattr(experiments, "with_marks_and_regime", lambda *a, **b: pytest.fail("states that no model uses"))
+    got = experiments.learning_curve(*one_label, (120, 1440), test=1440, rounds=2, most=None, models=("m2",))
+    assert got.count() == 0 and got.columns == ["model", "budget", "n", "prevalence", "brier", "log_loss", "pr_auc"]
+
+
+def test_windows_that_teach(spark):
+    x = spark.createDataFrame([(0, 1, 0), (1, 1, 0), (2, 0, 0), (3, None, 1)], "tick long, a int, b int")
+    windows = {"one": (0, 2), "both": (1, 3), "null": (3, 4), "none": (9, 12), "all": (0, 9)}
+    assert list(experiments.taught(x, windows, ["a"])) == ["both", "all"]
+    assert list(experiments.taught(x, {**windows, "null": (1, 4)}, ["a"])) == ["both", "null", "all"]
+    assert list(experiments.taught(x, windows, ["b"])) == ["all"] and experiments.taught(x, {}, ["a"]) == {}
+
+
 def test_files(spark, tmp_path):
     with pytest.raises(ValueError):
         files.items(spark, date(2024, 1, 2), date(2024, 1, 1))
