@@ -432,6 +432,16 @@ def test_one_label_is_not_fitted(spark, one_label, monkeypatch):
     assert got.count() == 0 and got.columns == ["model", "budget", "n", "prevalence", "brier", "log_loss", "pr_auc"]
 
 
+def test_walk_forward_of_one_label(spark, one_label, tmp_path):
+    """No day has a forecast: an empty table, also where an earlier run left its folder without a day."""
+    path = f"{tmp_path}/f"
+    for _ in range(2):
+        got = experiments.walk_forward(*one_label, 2, rounds=2, most=100, models=("m0", "m2"), path=path)
+        assert got.count() == 0 and got.columns == ["symbol", "tick", "day", "y", "m0", "m2"]
+        spark.createDataFrame([], "symbol string").write.mode("overwrite").parquet(path)
+    assert files.has_parts(spark, path, "forecast_day") is False
+
+
 def test_windows_that_teach(spark):
     x = spark.createDataFrame([(0, 1, 0), (1, 1, 0), (2, 0, 0), (3, None, 1)], "tick long, a int, b int")
     windows = {"one": (0, 2), "both": (1, 3), "null": (3, 4), "none": (9, 12), "all": (0, 9)}
