@@ -442,6 +442,13 @@ def test_walk_forward_of_one_label(spark, one_label, tmp_path):
     assert files.has_parts(spark, path, "forecast_day") is False
 
 
+def test_marks_of_one_label(one_label):
+    """Without forecasts the tests have no blocks and no p-value."""
+    got = experiments.marks_tested(*one_label, 2).collect()
+    assert [(r["model"], r["blocks"]) for r in got] == [("m3", 0), ("m3r", 0)]
+    assert all(math.isnan(r[c]) for r in got for c in ("mean", "statistic", "p_value"))
+
+
 def test_windows_that_teach(spark):
     x = spark.createDataFrame([(0, 1, 0), (1, 1, 0), (2, 0, 0), (3, None, 1)], "tick long, a int, b int")
     windows = {"one": (0, 2), "both": (1, 3), "null": (3, 4), "none": (9, 12), "all": (0, 9)}
