@@ -449,6 +449,20 @@ def test_marks_of_one_label(one_label):
     assert all(math.isnan(r[c]) for r in got for c in ("mean", "statistic", "p_value"))
 
 
+def test_fits_are_dealt_out(spark, monkeypatch):
+    """Jobs of a few windows each give the fits of one job but for rounding, and no window is left out."""
+    x = spark.createDataFrame([(s, c) for s, n in (("a", 30), ("b", 5), ("c", 5), ("d", 50)) for c in (0, 1) for _ in range(n)], "symbol string, event_code int")
+    assert experiments.dealt(x, 200, 20) == [["a"], ["b", "c"], ["d"]] and experiments.dealt(x, 100, 40) == [["a", "b", "c"], ["d"]]
+    events, windows = align.aligned(feeds.derived_book(spark, SF), feeds.derived_trades(spark, SF)), {"1": (0, 10**9), "2": (28_410_000, 10**9)}
+    whole = experiments.window_fits(events, windows, 100)
+    own, fits = experiments.dealt, []
+    monkeypatch.setattr(experiments, "dealt", lambda x, most: fits.append(own(x, most, 1)) or fits[-1])
+    got = experiments.window_fits(events, windows, 100)
+    assert len(fits[0]) == sum(map(len, whole.values())) > 1 and {w: set(f) for w, f in got.items()} == {w: set(f) for w, f in whole.items()}
+    for w, g in ((w, g) for w in whole for g in whole[w]):  # rows come in another order, to which fits of few events are sensitive
+        assert np.allclose(got[w][g][0], whole[w][g][0], atol=0.05) and np.allclose(got[w][g][1], whole[w][g][1], atol=0.05)
+
+
 def test_windows_that_teach(spark):
     x = spark.createDataFrame([(0, 1, 0), (1, 1, 0), (2, 0, 0), (3, None, 1)], "tick long, a int, b int")
     windows = {"one": (0, 2), "both": (1, 3), "null": (3, 4), "none": (9, 12), "all": (0, 9)}
