@@ -352,6 +352,19 @@ def test_trees_against_brute_force():
         assert trees.Scorer(m.model())(x) == pytest.approx(1 / (1 + np.exp(-value)))
 
 
+@pytest.mark.parametrize("rare", [False, True])
+def test_cut_between_present_and_missing(rare):
+    """All present values can go low and the missing ones high, also if the largest is too rare for a cut of its own."""
+    rng = np.random.default_rng(0)
+    gone = np.arange(3000) < 600
+    v = np.where(np.arange(3000) % 100 == 99, 9.0, rng.integers(0, 9, 3000)) if rare else rng.random(3000)
+    y = (rng.random(3000) < np.where(gone, 0.9, 0.2)).astype(int)
+    m = trees.Boosting(np.where(gone, np.nan, v)[:, None], y, 1, 2, 200, 1.0, 1.0)
+    assert m.nodes[0][:3] == (0, np.inf, False)
+    p = trees.Scorer(m.model())(np.where(gone, np.nan, v)[:, None])
+    assert len(set(p[gone])) == len(set(p[~gone])) == 1 and p[0] > 0.5 > p[-1]
+
+
 def test_ranks_of_tied_scores(spark):
     rng = random.Random(1)
     rows = [(i, rng.choice("ab"), rng.choice([0.5, 0.5, 0.5, 0.1, 0.9, rng.random()]), rng.randrange(2)) for i in range(3000)]
@@ -388,6 +401,16 @@ def test_registered_studies_are_whole(monkeypatch):
     assert len(experiments.label_names(calls["exp5_label_grid"]["horizons"], calls["exp5_label_grid"]["depletions"])) == 12
 
 
+def test_matrix_is_made_in_parts(spark, monkeypatch):
+    """The plan that writes a matrix with marks and regime makes neither features, radii nor sizes of trades again, which
+    Python makes of groups. With all of them in one plan the driver took more than its memory."""
+    plans, own = [], files.write_features
+    monkeypatch.setattr(files, "write_features", lambda x, *a: plans.append(x._jdf.queryExecution().optimizedPlan().toString()) or own(x, *a))
+    x, _ = experiments.matrix(feeds.derived_book(spark, SF), feeds.derived_trades(spark, SF), extra=True)
+    assert len(plans) == 1 and "FlatMapGroupsIn" not in plans[0]
+    assert set(experiments.M0 + experiments.COUNTS + experiments.MARKS + ["regime", "day", "target_a_h10"]) < set(x.columns)
+
+
 def test_walk_forward_keeps_folds(spark, tmp_path, monkeypatch):
     sf = "/root/testdata/sf0.01"
     b, t = feeds.derived_book(spark, sf), feeds.derived_trades(spark, sf)
