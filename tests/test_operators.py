@@ -1,5 +1,6 @@
 """Operators on small inputs with known answers, invariances, and fits' properties."""
 
+import inspect
 import math
 import random
 from datetime import date
@@ -486,6 +487,59 @@ def test_fits_are_dealt_out(spark, monkeypatch):
         assert np.allclose(got[w][g][0], whole[w][g][0], atol=0.05) and np.allclose(got[w][g][1], whole[w][g][1], atol=0.05)
 
 
+def test_walk_forward_fits_all_events(spark):
+    """The registered study's fits are those of all events of a window, also of more than 10,000 of a type."""
+    rng = np.random.default_rng(5)
+    time, code = np.sort(rng.choice(12_000 * align.UNIT, 24_000, False)), np.where(rng.uniform(size=24_000) < 0.9, 0, 9)
+    most = inspect.signature(experiments.walk_forward).parameters["most"].default
+    rows = [("S", int(t), int(t) // align.UNIT, int(c)) for t, c in zip(time, code, strict=True)]
+    e = spark.createDataFrame(rows, "symbol string, event_time long, tick long, event_code int").repartition(3)
+    rates, t = np.asarray(decay.BETAS), time / align.UNIT
+    z, x = np.zeros((10, len(rates))), np.empty((len(t), 50))
+    for i, j in enumerate(code):
+        z *= np.exp(-rates * (t[i] - t[i - 1])) if i else 1.0
+        x[i] = z.ravel()
+        z[j] += 1
+    c = np.zeros((10, len(rates)))
+    np.add.at(c, code, (1 - np.exp(-rates * (t[-1] - t)[:, None])) / rates)
+    got = experiments.window_fits(e, {"w": (0, 10**9)}, most)["w"]["S"]
+    for i in (0, 9):
+        mu, alpha, _, _ = hawkes.solve(x[code == i], 1.0, c.ravel(), t[-1] - t[0])
+        assert got[0][i] == pytest.approx(mu, rel=1e-3) and got[1][i] == pytest.approx(alpha, abs=1e-4)
+    assert max(got[0][1:9]) < 1e-6
+    fit = {r["target"]: r for r in hawkes.fit_whole(e).collect()}
+    assert [fit[i]["n"] for i in range(10)] == np.bincount(code, minlength=10).tolist()
+
+
+def test_states_and_fits_in_parts(spark, monkeypatch):
+    """States that a task makes are those of the windows, however few it makes at a time, and parts give the fit of the whole."""
+    _, e = events(spark, 400, 5, 30)
+    rows = decay.before_events(e).orderBy("event_time").collect()
+    at, code = np.array([r["event_time"] for r in rows]) / align.UNIT, np.array([r["event_code"] for r in rows])
+    want = np.array([[r[decay.name_of(j, b)] for j in decay.CODES for b in decay.BETAS] for r in rows])
+    at, rates = np.concatenate([at, at + 20_000]), np.asarray(decay.BETAS)  # a gap so long that what is before weighs nothing
+    for slab in (7, 10**6):
+        monkeypatch.setattr(hawkes, "SLAB", slab)
+        for i in range(10):
+            parts = list(hawkes.states_before(at, np.tile(code, 2), i, rates))
+            got, n = np.vstack(parts), (code == i).sum()
+            assert len(got) == 2 * n and (slab > 7 or max(map(len, parts)) <= 7) and np.allclose(got[:n], want[code == i])
+            assert np.allclose(got[n:], want[code == i])
+            whole, own = hawkes.solve(got, 1.0, np.ones(50), 100.0), hawkes.solve(lambda parts=parts: parts, 1.0, np.ones(50), 100.0)
+            assert own[2] == pytest.approx(whole[2], rel=1e-6) and own[0] == pytest.approx(whole[0], abs=1e-3)
+            assert sum(map(len, hawkes.joined(iter(parts)))) == len(got)
+
+
+def test_walk_forward_draws_no_sample(spark, tmp_path, monkeypatch):
+    """Neither the Hawkes fits nor the trees of a fold draw from its rows."""
+    seen, own = [], trees.fit_all
+    monkeypatch.setattr(hawkes, "drawn", lambda *a: pytest.fail("a sample"))
+    monkeypatch.setattr(trees, "fit_all", lambda df, fits, order, most=trees.MOST: seen.append(most) or own(df, fits, order, most))
+    sf = "/root/testdata/sf0.01"
+    got = experiments.walk_forward(feeds.derived_book(spark, sf), feeds.derived_trades(spark, sf), 28, rounds=1, models=("m0", "m2"), path=f"{tmp_path}/f")
+    assert got.count() > 0 and seen == [None]
+
+
 def test_windows_that_teach(spark):
     x = spark.createDataFrame([(0, 1, 0), (1, 1, 0), (2, 0, 0), (3, None, 1)], "tick long, a int, b int")
     windows = {"one": (0, 2), "both": (1, 3), "null": (3, 4), "none": (9, 12), "all": (0, 9)}
